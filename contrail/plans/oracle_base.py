@@ -142,7 +142,35 @@ customers AS (
     round(CASE WHEN risk0 < 0 THEN 0.0 WHEN risk0 > 1 THEN 1.0 ELSE risk0 END, 4) AS churn_risk_score,
     CASE WHEN clv <= (SELECT q1 FROM cs_edges) THEN 'Bronze' WHEN clv <= (SELECT q2 FROM cs_edges) THEN 'Silver'
       WHEN clv <= (SELECT q3 FROM cs_edges) THEN 'Gold' WHEN clv IS NOT NULL THEN 'Platinum' END AS clv_segment
-  FROM cs_risk)"""
+  FROM cs_risk),
+cust_flights AS (
+  SELECT t.*, m.loyalty_card, m.clv, m.cancelled,
+    CASE WHEN t.total_points > 0 THEN least(greatest(t.points_redeemed / t.total_points, 0.0), 1.0) ELSE 0.0 END
+      AS redemption_rate
+  FROM (SELECT member_id, CAST(sum(total_flights) AS BIGINT) AS total_flights,
+          CAST(sum(distance) AS BIGINT) AS total_distance, CAST(sum(points_accumulated) AS BIGINT) AS total_points,
+          CAST(sum(points_redeemed) AS BIGINT) AS points_redeemed,
+          CAST(count_if(total_flights > 0) AS BIGINT) AS active_months
+        FROM master GROUP BY member_id) t
+  JOIN members m ON m.member_id = t.member_id),
+member_vars AS (
+  SELECT coalesce(m.member_id, t.member_id) AS member_id, m.clv, m.salary, t.total_flights, t.distance,
+    t.points_accumulated, t.points_redeemed, t.dollar_cost_points_redeemed
+  FROM members m FULL JOIN (
+    SELECT member_id, CAST(sum(total_flights) AS DOUBLE) AS total_flights, CAST(sum(distance) AS DOUBLE) AS distance,
+      CAST(sum(points_accumulated) AS DOUBLE) AS points_accumulated,
+      CAST(sum(points_redeemed) AS DOUBLE) AS points_redeemed,
+      CAST(sum(CAST(dollar_cost_points_redeemed AS DECIMAL(38,2))) AS DOUBLE) AS dollar_cost_points_redeemed
+    FROM master GROUP BY member_id) t ON m.member_id = t.member_id),
+member_vars_long AS (
+  SELECT 'clv' AS "column", CAST(clv AS DOUBLE) AS value FROM member_vars WHERE clv IS NOT NULL
+  UNION ALL SELECT 'salary', salary FROM member_vars WHERE salary IS NOT NULL
+  UNION ALL SELECT 'total_flights', total_flights FROM member_vars WHERE total_flights IS NOT NULL
+  UNION ALL SELECT 'distance', distance FROM member_vars WHERE distance IS NOT NULL
+  UNION ALL SELECT 'points_accumulated', points_accumulated FROM member_vars WHERE points_accumulated IS NOT NULL
+  UNION ALL SELECT 'points_redeemed', points_redeemed FROM member_vars WHERE points_redeemed IS NOT NULL
+  UNION ALL SELECT 'dollar_cost_points_redeemed', dollar_cost_points_redeemed FROM member_vars
+    WHERE dollar_cost_points_redeemed IS NOT NULL)"""
 
 
 def base(*extra: str) -> str:

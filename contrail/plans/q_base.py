@@ -79,16 +79,7 @@ def customer_summary(L):
     return L.customers
 
 
-@register("customer_flights", query("""
-SELECT t.*, m.loyalty_card, m.clv, m.cancelled,
-  CASE WHEN t.total_points > 0 THEN least(greatest(t.points_redeemed / t.total_points, 0.0), 1.0) ELSE 0.0 END
-    AS redemption_rate
-FROM (SELECT member_id, CAST(sum(total_flights) AS BIGINT) AS total_flights,
-        CAST(sum(distance) AS BIGINT) AS total_distance, CAST(sum(points_accumulated) AS BIGINT) AS total_points,
-        CAST(sum(points_redeemed) AS BIGINT) AS points_redeemed,
-        CAST(count_if(total_flights > 0) AS BIGINT) AS active_months
-      FROM master GROUP BY member_id) t
-JOIN members m ON m.member_id = t.member_id"""), doubles="clv redemption_rate")
+@register("customer_flights", query("SELECT * FROM cust_flights"), doubles="clv redemption_rate")
 def customer_flights(L):
     """E3 + D3 + D5: member totals, months with flights, profile."""
     return L.customer_flights

@@ -21,6 +21,7 @@ DIGITS = 6
 _BUILDERS: dict[str, Callable[[Loyalty], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 _DOUBLES: dict[str, list[str]] = {}
+_DIGITS: dict[str, int] = {}
 
 
 def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -41,7 +42,7 @@ def rounded_sql(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS q"
 
 
-def register(name: str, sql: str | None = None, doubles: str | list[str] = ""):
+def register(name: str, sql: str | None = None, doubles: str | list[str] = "", digits: int = DIGITS):
     if isinstance(doubles, str):
         doubles = doubles.split()
 
@@ -50,8 +51,9 @@ def register(name: str, sql: str | None = None, doubles: str | list[str] = ""):
             raise ValueError(f"duplicate query {name}")
         _BUILDERS[name] = fn
         _DOUBLES[name] = list(doubles)
+        _DIGITS[name] = digits
         if sql is not None:
-            _ORACLE[name] = rounded_sql(sql, list(doubles))
+            _ORACLE[name] = rounded_sql(sql, list(doubles), digits)
         return fn
     return deco
 
@@ -60,7 +62,7 @@ def builder(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = _BUILDERS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finish(fn(Loyalty(spark, sf_dir)))
+        return finish(fn(Loyalty(spark, sf_dir)), _DIGITS[name])
     run.__name__ = name
     return run
 
@@ -87,4 +89,4 @@ def _load():
         importlib.import_module(f"{__package__}.{mod}")
 
 
-QUERY_MODULES = ["q_base"]
+QUERY_MODULES = ["q_base", "q_profiling"]
