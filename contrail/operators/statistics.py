@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import money_sum
-from ..functions.ranking import ordered_cumsum, with_average_rank
+from ..functions.ranking import average_ranks, ordered_cumsum
 
 SUMMARY_VARS = ["clv", "salary", "total_flights", "distance", "points_accumulated", "points_redeemed",
                 "dollar_cost_points_redeemed"]
@@ -86,9 +86,12 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spearman_matrix(df: DataFrame, columns: list[str], key: str = "member_id") -> DataFrame:
     """Pearson of tie-averaged ranks (ranks over each column's non-null values)."""
-    ranked = df.select(key, *columns)
+    base = df.select(key, *columns)
+    ranked = base
     for c in columns:
-        ranked = with_average_rank(ranked, c, f"_r_{c}")
+        # each rank map is built from the same base (plans do not nest)
+        rmap = average_ranks(base, c).select(F.col(c).alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        ranked = ranked.join(rmap, ranked[c].eqNullSafe(rmap[f"_v_{c}"]), "left")
     ranked = ranked.select(key, *[F.col(f"_r_{c}").alias(c) for c in columns])
     return pearson_matrix(ranked, columns)
 

@@ -23,7 +23,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128MB",
+    "spark.ui.showConsoleProgress": "false",
 }
+# Only used when this module starts the JVM itself (local runs and tests).
+LOCAL_CONF = {"spark.driver.memory": "12g"}
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -32,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
