@@ -14,10 +14,10 @@ def rollup_totals(cdf: DataFrame, levels: list[str], root: str = "All", with_cus
     aggs = [esum("total_revenue").alias("revenue")]
     if with_customers:
         aggs.append(F.count(F.lit(1)).alias("customers"))
-    r = cdf.rollup(*levels).agg(*aggs, F.grouping_id().alias("gid"))
     depth = F.lit(len(levels)) - sum((F.grouping(c) for c in levels), F.lit(0))
-    return r.select(F.lit(root).alias("root"), *levels, depth.alias("depth"), *[a for a in
-                    (["revenue", "customers"] if with_customers else ["revenue"])])
+    r = cdf.rollup(*levels).agg(*aggs, depth.cast("int").alias("depth"))
+    return r.select(F.lit(root).alias("root"), *levels, "depth",
+                    *(["revenue", "customers"] if with_customers else ["revenue"]))
 
 
 def sankey_edges(cdf: DataFrame) -> DataFrame:

@@ -103,15 +103,17 @@ def kde(sample: DataFrame, column: str, grid_points: int = 300, lo_q: float = 0.
     st = s.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
                F.percentile("x", [lo_q, hi_q]).alias("q"))
     n, sd, q = st.select("n").scalar(), st.select("sd").scalar(), st.select("q").scalar()
-    bw = sd * F.pow(n.cast("double"), -0.2)
-    step = (q[1] - q[0]) / (grid_points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(grid_points - 1)), lambda i: q[0] + i * step)
-    contrib = F.transform(grid, lambda g: F.exp(-0.5 * F.pow((g - F.col("x")) / bw, 2)))
-    exploded = s.select(F.posexplode(contrib).alias("pos", "k"))
-    norm = n.cast("double") * bw * F.sqrt(F.lit(2 * 3.141592653589793))
-    return (exploded.groupBy("pos").agg(F.sum("k").alias("k"))
-            .select(F.col("pos").alias("point"), (q[0] + F.col("pos") * step).alias("x"),
-                    (F.col("k") / norm).alias("density")))
+    # scalars become columns first: subqueries cannot sit inside a lambda
+    s = s.select("x", q[0].alias("q0"), ((q[1] - q[0]) / (grid_points - 1)).alias("step"),
+                 (sd * F.pow(n.cast("double"), -0.2)).alias("bw"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(grid_points - 1)),
+                       lambda i: F.col("q0") + i * F.col("step"))
+    contrib = F.transform(grid, lambda g: F.exp(-0.5 * F.pow((g - F.col("x")) / F.col("bw"), 2)))
+    exploded = s.select(F.posexplode(contrib).alias("pos", "k"), "q0", "step", "bw")
+    norm = n.cast("double") * F.first("bw") * F.sqrt(F.lit(2 * 3.141592653589793))
+    return (exploded.groupBy("pos").agg((F.sum("k") / norm).alias("density"),
+                                        (F.first("q0") + F.col("pos") * F.first("step")).alias("x"))
+            .select(F.col("pos").alias("point"), "x", "density"))
 
 
 def persona(cust: DataFrame, inclusive: bool = False) -> DataFrame:
