@@ -86,7 +86,8 @@ def rnd(c, digits: int = 6) -> Column:
     as numpy/pandas and DuckDB do; Spark's ``round`` rounds the decimal text,
     which differs on values such as 1.34875."""
     scale = float(10 ** digits)
-    return F.round(col(c).cast("double") * scale, 0) / scale
+    # "+ 0.0" turns -0.0 into 0.0
+    return F.round(col(c).cast("double") * scale, 0) / scale + 0.0
 
 
 def pct(num, den, digits: int = 2) -> Column:

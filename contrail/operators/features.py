@@ -49,14 +49,14 @@ def row_features(master: DataFrame) -> DataFrame:
 def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """H6: scikit-learn ``MinMaxScaler`` arithmetic: x * (1/range) - min/range,
     a zero range counting as 1; the columns are overwritten (quirk 4)."""
-    agg = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in columns],
-                 *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in columns])
+    # one aggregate row read once; its values enter the plan as literals
+    row = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in columns],
+                 *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in columns]).first()
     out = df
     for c in columns:
-        mn, mx = agg.select(f"mn_{c}").scalar(), agg.select(f"mx_{c}").scalar()
-        rng = mx - mn
-        scale = 1.0 / F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-        out = out.withColumn(c, F.col(c).cast("double") * scale + (-mn * scale))
+        mn, mx = row[f"mn_{c}"], row[f"mx_{c}"]
+        scale = 1.0 / ((mx - mn) or 1.0)
+        out = out.withColumn(c, F.col(c).cast("double") * F.lit(scale) + F.lit(-mn * scale))
     return out
 
 

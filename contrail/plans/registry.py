@@ -38,7 +38,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def rounded_sql(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     if not doubles:
         return sql
-    repl = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in doubles)
+    repl = ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS q"
 
 
@@ -89,4 +89,4 @@ def _load():
         importlib.import_module(f"{__package__}.{mod}")
 
 
-QUERY_MODULES = ["q_base", "q_profiling", "q_stats", "q_aggregates", "q_windows", "q_features"]
+QUERY_MODULES = ["q_base", "q_profiling", "q_stats", "q_aggregates", "q_windows", "q_features", "q_model"]
