@@ -122,8 +122,8 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
     gen = (nn.join(ranks, "i").filter(F.col("copies") > 0)
            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
            .withColumn("_pick", F.abs(F.xxhash64("i", "copy", F.lit(seed))) % F.lit(k) + 1)
-           .filter(F.col("r") == F.least(F.col("_pick"),
-                                         F.max("r").over(Window.partitionBy("i", "copy")))))
+           .withColumn("_nk", F.max("r").over(Window.partitionBy("i", "copy")))
+           .filter(F.col("r") == F.least(F.col("_pick"), F.col("_nk"))))
     xi = mino.select(F.col(key).alias("i"), vector_to_array(features).alias("xi"))
     xj = mino.select(F.col(key).alias("j"), vector_to_array(features).alias("xj"))
     u = (F.abs(F.xxhash64("i", "j", "copy", F.lit(seed + 2))) % 1_000_000) / 1_000_000.0

@@ -8,18 +8,40 @@ files.
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, rollups
+from ..session import checkpoint_dir
 from ..sources import adapter
 
+# Shared layers written once per application and input folder.
+_MATERIALIZED: dict = {}
+
 
 class Loyalty:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``materialize``: the master fact and the two member summaries feed
+    almost every query, so they are computed once, written to the shared
+    checkpoint folder (``checkpoint()``: survives executor loss, cuts the
+    lineage so downstream plans stay small) and read back by every query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
+
+    def _shared(self, name: str, build) -> DataFrame:
+        if not self.materialize:
+            return build()
+        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
+        df = _MATERIALIZED.get(key)
+        if df is None:
+            checkpoint_dir(self.spark)
+            df = build().checkpoint(eager=True)
+            _MATERIALIZED[key] = df
+        return df
 
     @cached_property
     def members_raw(self) -> DataFrame:
@@ -52,7 +74,7 @@ class Loyalty:
 
     @cached_property
     def master(self) -> DataFrame:
-        return cleaning.build_master(self.activity_final, self.members)
+        return self._shared("master", lambda: cleaning.build_master(self.activity_final, self.members))
 
     @cached_property
     def activity(self) -> DataFrame:
@@ -61,11 +83,11 @@ class Loyalty:
 
     @cached_property
     def customers(self) -> DataFrame:
-        return rollups.customer_summary(self.activity)
+        return self._shared("customers", lambda: rollups.customer_summary(self.activity))
 
     @cached_property
     def customer_flights(self) -> DataFrame:
-        return rollups.customer_flights(self.master, self.members)
+        return self._shared("customer_flights", lambda: rollups.customer_flights(self.master, self.members))
 
     @cached_property
     def customer_flights_distinct(self) -> DataFrame:

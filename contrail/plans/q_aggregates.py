@@ -514,3 +514,12 @@ def mean_by_level(L):
     return _union([L.master.groupBy(F.col(x).cast("string").alias("level"))
                    .agg(K.eavg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).alias("rows"))
                    .select(F.lit(f"{y}_by_{x}").alias("series"), "level", "mean", "rows") for x, y in LEVEL_PAIRS])
+
+
+@register("monthly_active_distinct", query("""
+SELECT year, month, CAST(count(DISTINCT CASE WHEN total_flights > 0 THEN member_id END) AS BIGINT) AS active_customers
+FROM master GROUP BY year, month"""))
+def monthly_active_distinct(L):
+    """E35 (second variant): distinct members with flights per month."""
+    return (L.master.groupBy("year", "month")
+            .agg(F.count_distinct(F.when(F.col("total_flights") > 0, F.col("member_id"))).alias("active_customers")))

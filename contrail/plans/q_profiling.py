@@ -276,3 +276,30 @@ def outlier_share(L):
     """Share outside p1..p99 for the seven summary variables."""
     from ..operators.statistics import SUMMARY_VARS, member_variables
     return P.outlier_share(member_variables(L), SUMMARY_VARS).select("column", "outlier_share")
+
+
+def _dictionary_sql():
+    from ..sources.files import ACTIVITY_SCHEMA, ACTIVITY_TABLE, FIELD_DOCS, MEMBER_SCHEMA, MEMBER_TABLE
+    parts = []
+    for table, view, schema in ((ACTIVITY_TABLE, "activity_raw", ACTIVITY_SCHEMA),
+                                (MEMBER_TABLE, "members_raw", MEMBER_SCHEMA)):
+        for f in schema.fields:
+            doc = FIELD_DOCS.get(f.name, "").replace("'", "''")
+            parts.append(f"SELECT '{table}' AS \"table\", '{f.name}' AS field, '{doc}' AS description, "
+                         f"CAST(count({f.name}) AS BIGINT) AS non_null FROM {view}")
+    return _union_sql(parts)
+
+
+@register("data_dictionary", query(_dictionary_sql()))
+def data_dictionary(L):
+    """A5: field descriptions attached to both raw feeds, with non-null counts."""
+    from pyspark.sql import functions as F
+    from ..sources.files import ACTIVITY_SCHEMA, ACTIVITY_TABLE, MEMBER_SCHEMA, MEMBER_TABLE, with_docs
+    out = []
+    for table, df, schema in ((ACTIVITY_TABLE, L.activity_raw, ACTIVITY_SCHEMA),
+                              (MEMBER_TABLE, L.members_raw, MEMBER_SCHEMA)):
+        docs = {f.name: f.metadata for f in with_docs(schema).fields}
+        typed = df.select(*[df[c].alias(c, metadata=docs.get(c, {})) for c in df.columns])
+        out.append(P.schema_info(typed).select(F.lit(table).alias("table"), F.col("column").alias("field"),
+                                               "description", "non_null"))
+    return _union(out)

@@ -89,4 +89,4 @@ def _load():
         importlib.import_module(f"{__package__}.{mod}")
 
 
-QUERY_MODULES = ["q_base", "q_profiling", "q_stats", "q_aggregates", "q_windows", "q_features", "q_model"]
+QUERY_MODULES = ["q_base", "q_profiling", "q_stats", "q_aggregates", "q_windows", "q_features", "q_model", "q_insights"]
