@@ -47,26 +47,69 @@ def bucketize(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS, rel_err:
 
 
 def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending: bool = False,
-                   buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3) -> DataFrame:
-    """Inclusive running sums ``cum_<w>`` of ``weights`` in ``order_col`` order.
+                   buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3, by: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums ``cum_<w>`` of ``weights`` in ``order_col`` order,
+    restarting for every ``by`` group.
 
-    ``vc`` must hold one row per distinct ``order_col`` value (use
+    ``vc`` must hold one row per distinct (``by``, ``order_col``) (use
     ``value_counts`` first).  Returns vc's columns plus ``cum_<w>``.
     """
+    by = list(by or [])
     b = bucketize(vc, order_col, buckets, rel_err)
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
-    totals = b.groupBy("_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
-    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    offsets = totals.select("_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
-                                      for w in weights])
+    totals = b.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    # <= buckets rows per group
+    before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
+                                           for w in weights])
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    within = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(F.broadcast(offsets), "_bkt")
+    within = Window.partitionBy(*by, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    # without groups the offsets table has at most `buckets` rows: broadcast;
+    # with groups AQE decides from its measured size
+    out = b.join(F.broadcast(offsets) if not by else offsets, [*by, "_bkt"])
     return out.select(*vc.columns, *[(F.col(f"_o_{w}") + F.sum(w).over(within)).alias(f"cum_{w}")
                                      for w in weights])
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
+                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Linear-interpolated quantiles (numpy / pandas 'linear', Spark
+    ``percentile``, DuckDB ``quantile_cont``) without holding a group's values
+    in one task: distinct values are counted, put in global order by
+    ``ordered_cumsum`` and the order statistics at (n-1)p are picked with one
+    aggregate.  Returns one row per group with columns ``q0, q1, ...``."""
+    by = list(by or [])
+    vc = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    cum = ordered_cumsum(vc, col, ["n"], buckets=buckets, by=by)
+    aggs = []
+    v = F.col(col).cast("double")
+    for i, p in enumerate(probs):
+        h = (F.col("_N") - 1) * p
+        lo = F.floor(h)
+        x_lo = F.min(F.when(F.col("cum_n") > lo, v))
+        x_hi = F.min(F.when(F.col("cum_n") > lo + 1, v))
+        frac = F.first(h - lo)
+        aggs.append((x_lo + frac * (F.coalesce(x_hi, x_lo) - x_lo)).alias(f"q{i}"))
+    if by:
+        w = Window.partitionBy(*by)
+        cum = cum.withColumn("_N", F.max("cum_n").over(w))
+    else:
+        cum = cum.withColumn("_N", vc.select(F.sum("n")).scalar())
+    return cum.groupBy(*by).agg(*aggs)
+
+
+def quantile_array(df: DataFrame, col: str, probs: list[float]):
+    """Scalar array of global quantiles.  ``contrail.quantiles`` = ``exact``
+    uses Spark's ``percentile`` (one task merges all distinct values: small
+    inputs only); the default ``distributed`` uses ``exact_quantiles``."""
+    mode = df.sparkSession.conf.get("contrail.quantiles", "distributed")
+    if mode == "exact":
+        return df.select(F.percentile(col, list(probs))).scalar()
+    q = exact_quantiles(df, col, list(probs))
+    return q.select(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
+
+
 def value_counts(df: DataFrame, col: str, weights: dict | None = None) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows plus optional weight sums."""
     aggs = [F.count(F.lit(1)).alias("n")]

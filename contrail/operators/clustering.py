@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEGMENT_NAMES
+from ..functions.ranking import exact_quantiles
 
 CLUSTER_FEATURES = ["total_flights", "distance", "points_accumulated", "points_redeemed", "clv", "salary", "tenure",
                     "membership_age_months", "redemption_ratio", "avg_distance_per_flight", "points_per_flight",
@@ -41,10 +42,12 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """K2: (x - median) / IQR with exact linear quantiles; IQR 0 -> 1."""
     # one aggregate row (3 numbers per column) read once, used as literals:
     # keeps the plan flat however deep the input's lineage is
-    row = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
+    long = df.select(*columns).unpivot([], columns, "column", "value")
+    q = {r["column"]: (r["q0"], r["q1"], r["q2"])  # one row per column
+         for r in exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"]).collect()}
     out = df
     for c in columns:
-        q1, med, q3 = row[c]
+        q1, med, q3 = q[c]
         iqr = (q3 - q1) or 1.0
         out = out.withColumn(c, (F.col(c) - F.lit(med)) / F.lit(iqr))
     return out

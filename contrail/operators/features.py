@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import quantile_array, exact_quantiles
 from ..functions.exprs import (CLV_ROW_QUARTILES, PREMIUM_CARDS, clip, flight_segment, month_index,
                                quantile_label, rnd, tier_number)
 
@@ -42,7 +43,7 @@ def row_features(master: DataFrame) -> DataFrame:
                       F.col("dollar_cost_points_redeemed") / (F.col("points_redeemed") + 1))
           .withColumn("premium_customer", F.col("loyalty_card").isin(PREMIUM_CARDS).cast("bigint"))
           .withColumn("flight_segment", flight_segment("total_flights")))
-    edges = df.select(F.percentile("clv", [0.25, 0.5, 0.75])).scalar()
+    edges = quantile_array(df, "clv", [0.25, 0.5, 0.75])
     return df.withColumn("clv_segment", quantile_label("clv", edges, CLV_ROW_QUARTILES))
 
 
@@ -175,7 +176,7 @@ def interaction_features(master: DataFrame) -> DataFrame:
     r = rfm(master)
     pts = master.groupBy("member_id").agg(F.sum("points_accumulated").alias("acc"),
                                           F.sum("points_redeemed").alias("red"))
-    med = pts.select(F.percentile("acc", 0.5)).scalar()
+    med = quantile_array(pts, "acc", [0.5])[0]
     return (r.join(pts, "member_id")
             .select("member_id", (F.col("clv") * F.col("recency_months")).alias("clv_x_recency"),
                     (tier_number("loyalty_card") * F.col("flights_per_month")).alias("card_x_frequency"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import quantile_array
 from ..functions.exprs import TIER_ORDER, money_avg, money_sum, order_rank, safe_div
 
 
@@ -220,11 +221,14 @@ def group_profile(df: DataFrame, key: str, flights: str, with_distance: bool = F
 
 def tier_comparison(cust: DataFrame) -> DataFrame:
     """Per tier incl. median CLV (exact, linear)."""
+    from ..functions.ranking import exact_quantiles
+    med = exact_quantiles(cust, "clv", [0.5], by=["loyalty_card"]).select("loyalty_card",
+                                                                           F.col("q0").alias("median_clv"))
     return (cust.groupBy("loyalty_card")
-            .agg(count_rows().alias("members"), eavg("clv").alias("avg_clv"),
-                 F.percentile("clv", 0.5).alias("median_clv"), F.avg("total_flights").alias("avg_flights"),
+            .agg(count_rows().alias("members"), eavg("clv").alias("avg_clv"), F.avg("total_flights").alias("avg_flights"),
                  F.avg("total_distance").alias("avg_distance"), F.avg("total_points").alias("avg_pts_acc"),
-                 F.avg("points_redeemed").alias("avg_pts_red"), F.avg("cancelled").alias("cancellation_rate")))
+                 F.avg("points_redeemed").alias("avg_pts_red"), F.avg("cancelled").alias("cancellation_rate"))
+            .join(med, "loyalty_card", "left"))
 
 
 def cancel_profile(cust_flights: DataFrame, cols: list[str]) -> DataFrame:
@@ -278,7 +282,7 @@ def disengagement_rates(cust_flights: DataFrame) -> DataFrame:
         F.avg((F.col("redemption_rate") == 0).cast("double")).alias("never_redeemed_share"),
         F.avg(F.when(F.col("cancelled") == 1, F.col("total_flights"))).alias("cancelled_avg_flights"),
         F.avg(F.when(F.col("cancelled") == 0, F.col("total_flights"))).alias("active_avg_flights"),
-        F.percentile("total_flights", 0.5).alias("median_flights"),
+        quantile_array(cust_flights, "total_flights", [0.5])[0].alias("median_flights"),
         F.avg("total_flights").alias("mean_flights"))
 
 

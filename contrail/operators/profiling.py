@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.exprs import rnd
+from ..functions.ranking import exact_quantiles, quantile_array
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -103,11 +104,12 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     Long format (column, value) so one grouped aggregate covers all columns."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
         .unpivot([], columns, "column", "value")
-    return (long.groupBy("column")
-            .agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                 F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                 F.percentile("value", 0.25).alias("q25"), F.percentile("value", 0.5).alias("q50"),
-                 F.percentile("value", 0.75).alias("q75"), F.max("value").alias("max")))
+    m = (long.groupBy("column")
+         .agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
+              F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"])
+    return m.join(q, "column", "left").select("column", "count", "mean", "std", "min", F.col("q0").alias("q25"),
+                                              F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def describe_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -185,8 +187,8 @@ def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     outlier count is a second pass joined on the (tiny) per-column bounds."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
         .unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-    b = (long.groupBy("column")
-         .agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
+    b = (exact_quantiles(long, "value", [0.25, 0.75], by=["column"])
+         .select("column", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lower", F.col("q1") - k * F.col("iqr"))
          .withColumn("upper", F.col("q3") + k * F.col("iqr")))
@@ -200,7 +202,7 @@ def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """The rows outside the 1.5 IQR fences of one column."""
-    q = df.select(F.percentile(column, [0.25, 0.75])).scalar()
+    q = quantile_array(df, column, [0.25, 0.75])
     iqr = q[1] - q[0]
     return df.filter((F.col(column) < q[0] - k * iqr) | (F.col(column) > q[1] + k * iqr))
 
@@ -209,8 +211,8 @@ def outlier_share(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float
     """Share of non-null values outside their own p1..p99."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
         .unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-    b = long.groupBy("column").agg(F.percentile("value", lo).alias("p_lo"),
-                                    F.percentile("value", hi).alias("p_hi"))
+    b = exact_quantiles(long, "value", [lo, hi], by=["column"]).select(
+        "column", F.col("q0").alias("p_lo"), F.col("q1").alias("p_hi"))
     return (long.join(F.broadcast(b), "column")
             .groupBy("column")
             .agg(F.avg(((F.col("value") < F.col("p_lo")) | (F.col("value") > F.col("p_hi"))).cast("double"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import quantile_array, exact_quantiles
 from ..functions.exprs import rnd, CLV_MEMBER_QUARTILES, clip, money_avg, money_sum, quantile_label, tier_number
 
 ATTRIBUTES = {
@@ -49,7 +50,7 @@ def customer_summary(activity: DataFrame) -> DataFrame:
             + (1 - F.try_divide(F.col("total_flights").cast("double"), max_flights)) * 0.35
             + F.col("cancelled") * 0.25)
     grp = grp.withColumn("churn_risk_score", rnd(clip(risk, 0.0, 1.0), 4))
-    edges = grp.select(F.percentile("clv", [0.25, 0.5, 0.75])).scalar()
+    edges = quantile_array(grp, "clv", [0.25, 0.5, 0.75])
     return grp.withColumn("clv_segment", quantile_label("clv", edges, CLV_MEMBER_QUARTILES))
 
 

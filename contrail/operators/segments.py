@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import quantile_array, exact_quantiles
 from ..functions.exprs import band, quantile_label
 
 
 def qcut_labels(df: DataFrame, column: str, labels: list[str], out: str) -> DataFrame:
     """Pandas ``qcut(q=len(labels))`` labels from exact linear quantiles."""
     q = len(labels)
-    edges = df.select(F.percentile(column, [i / q for i in range(1, q)])).scalar()
+    edges = quantile_array(df, column, [i / q for i in range(1, q)])
     return df.withColumn(out, quantile_label(column, edges, labels))
 
 
@@ -33,7 +34,7 @@ def decile_share(df: DataFrame, column: str) -> DataFrame:
 def value_bands(df: DataFrame, column: str, lo_q: float = 0.33, hi_q: float = 0.67,
                 labels=("Low Value", "Medium Value", "High Value"), out: str = "value_band") -> DataFrame:
     """``cut`` at (0, p33], (p33, p67], (p67, inf): right-closed, 0 excluded."""
-    q = df.select(F.percentile(column, [lo_q, hi_q])).scalar()
+    q = quantile_array(df, column, [lo_q, hi_q])
     c = F.col(column)
     lab = (F.when((c > 0) & (c <= q[0]), labels[0]).when((c > q[0]) & (c <= q[1]), labels[1])
            .when(c > q[1], labels[2]))
@@ -42,7 +43,7 @@ def value_bands(df: DataFrame, column: str, lo_q: float = 0.33, hi_q: float = 0.
 
 def thresholds(df: DataFrame, column: str) -> DataFrame:
     """Members above p99 / p95 / p90 and below p10."""
-    q = df.select(F.percentile(column, [0.99, 0.95, 0.90, 0.10])).scalar()
+    q = quantile_array(df, column, [0.99, 0.95, 0.90, 0.10])
     c = F.col(column)
     agg = df.agg(F.count_if(c > q[0]).alias("top_1"), F.count_if(c > q[1]).alias("top_5"),
                  F.count_if(c > q[2]).alias("top_10"), F.count_if(c < q[3]).alias("bottom_10"))
@@ -80,10 +81,10 @@ def box_stats(df: DataFrame, value: str, group: str, k: float = 1.5) -> DataFram
     """Quartiles, whiskers (most extreme points inside the 1.5 IQR fences)
     and outlier count per group."""
     d = df.filter(F.col(value).isNotNull())
-    q = (d.groupBy(group)
-         .agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
-         .select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    # per-group quartiles from the bucketed order: no group's values sit in one task
+    q = (exact_quantiles(d, value, [0.25, 0.5, 0.75], by=[group])
+         .join(d.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
+         .select(group, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")))
     fences = q.select(group, (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo_f"),
                       (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi_f"))
     v = F.col(value)
@@ -121,8 +122,8 @@ def persona(cust: DataFrame, inclusive: bool = False) -> DataFrame:
 
     strict: ``>`` p75, ``<`` p25, redemption ``> 0.3``, label 'At-Risk Members';
     inclusive: ``>=`` / ``<=`` / ``>= 0.30``, label 'At Risk Members'."""
-    qc = cust.select(F.percentile("clv", 0.75)).scalar()
-    qf = cust.select(F.percentile("total_flights", [0.25, 0.75])).scalar()
+    qc = quantile_array(cust, "clv", [0.75])[0]
+    qf = quantile_array(cust, "total_flights", [0.25, 0.75])
     clv, fl, rr = F.col("clv"), F.col("total_flights"), F.col("redemption_rate")
     if inclusive:
         high_clv, high_fl, low_fl, high_red = clv >= qc, fl >= qf[1], fl <= qf[0], rr >= 0.30

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import money_sum
-from ..functions.ranking import average_ranks, ordered_cumsum
+from ..functions.ranking import average_ranks, exact_quantiles, ordered_cumsum
 
 SUMMARY_VARS = ["clv", "salary", "total_flights", "distance", "points_accumulated", "points_redeemed",
                 "dollar_cost_points_redeemed"]
@@ -56,18 +56,17 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, std, min, max, skew, kurtosis, IQR, outlier share."""
     long = _long(df, columns)
     g = (long.groupBy("column")
-         .agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
-              F.percentile("value", 0.5).alias("median"), F.stddev_samp("value").alias("std"),
+         .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
               F.min("value").alias("min"), F.max("value").alias("max"),
-              sample_skew().alias("skewness"), sample_kurtosis().alias("kurtosis"),
-              F.percentile("value", [0.01, 0.25, 0.75, 0.99]).alias("_q")))
-    g = g.withColumn("iqr", F.col("_q")[2] - F.col("_q")[1])
-    bounds = g.select("column", F.col("_q")[0].alias("p_lo"), F.col("_q")[3].alias("p_hi"))
+              sample_skew().alias("skewness"), sample_kurtosis().alias("kurtosis")))
+    q = exact_quantiles(long, "value", [0.01, 0.25, 0.5, 0.75, 0.99], by=["column"])
+    g = g.join(q, "column").withColumn("median", F.col("q2")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    bounds = g.select("column", F.col("q0").alias("p_lo"), F.col("q4").alias("p_hi"))
     share = (long.join(F.broadcast(bounds), "column")  # one row per column
              .groupBy("column")
              .agg(F.avg(((F.col("value") < F.col("p_lo")) | (F.col("value") > F.col("p_hi"))).cast("double"))
                   .alias("outlier_share")))
-    return g.drop("_q").join(share, "column")
+    return g.drop("q0", "q1", "q2", "q3", "q4").join(share, "column")
 
 
 def skew_rank(df: DataFrame, columns: list[str]) -> DataFrame:

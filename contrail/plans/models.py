@@ -148,5 +148,11 @@ class Models:
         return M.with_score(self.forest().transform(test))
 
     def scored_rows(self) -> DataFrame:
-        df, _, _ = self.churn_inputs()
-        return M.with_score(self.forest().transform(self.prep().transform(df)))
+        """Every member-month scored once and written to the shared folder
+        (the risk reports all read it)."""
+        key = (self.L.spark.sparkContext.applicationId, os.path.abspath(self.L.sf_dir), "scored")
+        if key not in _FEATURES:
+            df, _, _ = self.churn_inputs()
+            scored = M.with_score(self.forest().transform(self.prep().transform(df)))
+            _FEATURES[key] = scored.select(*M.ID_COLS, M.LABEL, "score", "prediction").checkpoint(eager=True)
+        return _FEATURES[key]

@@ -496,7 +496,8 @@ FROM cust_flights"""), doubles="distance_p1_p99")
 def winsorize(L):
     """Clip to a fixed range (0..60) and to the column's own p1..p99."""
     cf = L.customer_flights
-    q = cf.select(F.percentile("total_distance", [0.01, 0.99])).scalar()
+    from ..functions.ranking import quantile_array
+    q = quantile_array(cf, "total_distance", [0.01, 0.99])
     return cf.select("member_id", F.least(F.greatest(F.col("total_flights"), F.lit(0)), F.lit(60))
                      .alias("flights_0_60"),
                      F.least(F.greatest(F.col("total_distance").cast("double"), q[0]), q[1]).alias("distance_p1_p99"))

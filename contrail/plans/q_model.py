@@ -167,9 +167,11 @@ def impute_scale(L):
     m = L.master
     cols = []
     for c in _IMP_COLS:
-        st = m.agg(F.percentile(c, 0.5).alias("med"), F.avg(F.col(c).cast("double")).alias("mu"),
+        st = m.agg(F.avg(F.col(c).cast("double")).alias("mu"),
                    F.stddev_pop(F.col(c).cast("double")).alias("sd"))
-        med, mu, sd = (st.select(x).scalar() for x in ("med", "mu", "sd"))
+        from ..functions.ranking import quantile_array
+        med = quantile_array(m, c, [0.5])[0]
+        mu, sd = (st.select(x).scalar() for x in ("mu", "sd"))
         cols.append(F.try_divide(F.coalesce(F.col(c).cast("double"), med) - mu, F.nullif(sd, F.lit(0.0))).alias(c))
     return M.fill_modes(m.select("member_id", "year", "month", *cols, "city"), ["city"])
 
@@ -197,12 +199,18 @@ def smote(L):
 def model_compare(L):
     """M9-M12 + M14: each classifier trained on the balanced side, tested on
     the hold-out, sorted by ROC AUC."""
+    from concurrent.futures import ThreadPoolExecutor
     mo = Models(L)
-    train = mo.balanced_train()
+    # the balanced training side feeds four fits: write it once to the shared folder
+    train = mo.balanced_train().checkpoint(eager=True)
     _, test = mo.prepared()
+    clfs = M.classifiers()
+    # independent fits run as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=len(clfs)) as pool:
+        fitted = dict(zip(clfs, pool.map(lambda c: c.fit(train), clfs.values())))
     out = None
-    for name, clf in M.classifiers().items():
-        pred = M.with_score(clf.fit(train).transform(test))
+    for name, model in fitted.items():
+        pred = M.with_score(model.transform(test))
         row = M.binary_metrics(pred).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1",
                                            "roc_auc")
         out = row if out is None else out.unionByName(row)

@@ -180,7 +180,8 @@ def scatter_points(L):
     """S10 + F10: seeded sample of at most 4000 members for a scatter
     (a sample is the feature here), with a median reference line."""
     cf = L.customer_flights
-    med = cf.select(F.percentile("total_flights", 0.5)).scalar()
+    from ..functions.ranking import quantile_array
+    med = quantile_array(cf, "total_flights", [0.5])[0]
     return (seeded_sample(cf, "member_id", 4000, seed=42)
             .select("member_id", "clv", "total_flights", "total_distance", "total_points", "points_redeemed",
                     "cancelled", med.alias("median_total_flights")))

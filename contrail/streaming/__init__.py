@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed loyalty / churn system is batch only: it has no watermarks,
+windows over event time, stateful operators or late-data handling, so this
+package defines no streaming operator.  Every operator in ``contrail`` is a
+batch DataFrame function; a Structured Streaming job can reuse the row-level
+ones (``functions.exprs``, the cleaning projections) inside ``foreachBatch``.
+"""
