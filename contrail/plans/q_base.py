@@ -105,16 +105,15 @@ def customer_flights_distinct(L):
 SELECT member_id, TRY_CAST(CAST(salary AS VARCHAR) AS DOUBLE) AS salary,
   TRY_CAST(CAST(clv AS VARCHAR) AS DOUBLE) AS clv,
   TRY_CAST(CAST(points_accumulated AS VARCHAR) AS DOUBLE) AS points_accumulated,
-  TRY_CAST(CASE WHEN member_id % 7 = 0 THEN 'n/a' ELSE CAST(distance AS VARCHAR) END AS DOUBLE) AS distance
-FROM master"""), doubles="salary clv points_accumulated distance")
+  TRY_CAST(city AS DOUBLE) AS city
+FROM master"""), doubles="salary clv points_accumulated city")
 def coerce_numeric(L):
-    """C11: text to number, unparsable text to null (every 7th member's
-    distance is replaced by junk text to exercise the null path)."""
-    df = L.master.select(
-        "member_id", "salary", "clv", "points_accumulated",
-        F.when(F.col("member_id") % 7 == 0, F.lit("n/a"))
-         .otherwise(F.col("distance").cast("string")).alias("distance"))
-    return cleaning.coerce_numeric(df, ["salary", "clv", "points_accumulated", "distance"])
+    """C11: text to number, unparsable text to null (numbers stored as text
+    parse; the city names do not and become null)."""
+    df = L.master.select("member_id", F.col("salary").cast("string").alias("salary"),
+                         F.col("clv").cast("string").alias("clv"),
+                         F.col("points_accumulated").cast("string").alias("points_accumulated"), "city")
+    return cleaning.coerce_numeric(df, ["salary", "clv", "points_accumulated", "city"])
 
 
 @register("load_clean_counts", query("""
