@@ -7,8 +7,7 @@ need a running total in global order, so they use ``ordered_cumsum``:
 1. collapse to one row per distinct order value (map-side combined, so a hot
    value is one row however many rows carry it);
 2. cut the value range into ``buckets`` ranges at approximate quantiles of
-   the distinct values (``QuantileDiscretizer`` style: B+1 split points are
-   the only thing the driver sees);
+   the distinct values (``percentile_approx``, per group when grouped);
 3. per-bucket totals (<= B rows) -> exclusive prefix over buckets (a window on
    <= B rows), broadcast back (size bounded by B);
 4. running sum inside each bucket with ``partitionBy(bucket)``: every bucket
@@ -20,30 +19,32 @@ value lands in, never its total.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 
 
-def _splits(df: DataFrame, col: str, buckets: int, rel_err: float) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.approxQuantile(col, probs, rel_err) if probs else []
-    inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
-    return [-math.inf] + inner + [math.inf]
-
-
 def bucketize(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3,
-              out: str = "_bkt") -> DataFrame:
-    """Monotone range bucket id of ``col`` (double); nulls get the last id."""
-    tmp = "_bkt_in"
-    d = df.withColumn(tmp, F.col(col).cast("double"))
-    splits = _splits(d.filter(F.col(tmp).isNotNull()), tmp, buckets, rel_err)
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop(tmp)
+              by: list[str] | None = None, out: str = "_bkt") -> DataFrame:
+    """Monotone range bucket id of ``col`` within each ``by`` group.
+
+    Split points are ``percentile_approx`` of the distinct values (per group:
+    one row of B-1 numbers per group, joined back; without groups a scalar
+    subquery).  The id is the number of split points below the value, so
+    equal values share a bucket and ids grow with the value.  Everything stays
+    in the plan: no driver round trip."""
+    by = list(by or [])
+    probs = [i / buckets for i in range(1, buckets)]
+    acc = max(100, int(round(1.0 / rel_err)))
+    v = F.col(col).cast("double")
+    if by:
+        splits = df.groupBy(*by).agg(F.percentile_approx(v, probs, acc).alias("_splits"))
+        d = df.join(splits, by, "left")  # one row per group
+    else:
+        d = df.withColumn("_splits", df.select(F.percentile_approx(v, probs, acc)).scalar())
+    ident = F.size(F.filter("_splits", lambda s: s < v))
+    return d.withColumn(out, F.when(v.isNull(), F.lit(buckets)).otherwise(ident)).drop("_splits")
 
 
 def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending: bool = False,
@@ -55,7 +56,7 @@ def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending
     ``value_counts`` first).  Returns vc's columns plus ``cum_<w>``.
     """
     by = list(by or [])
-    b = bucketize(vc, order_col, buckets, rel_err)
+    b = bucketize(vc, order_col, buckets, rel_err, by=by)
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
     totals = b.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])

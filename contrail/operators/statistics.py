@@ -84,15 +84,18 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: list[str], key: str = "member_id") -> DataFrame:
-    """Pearson of tie-averaged ranks (ranks over each column's non-null values)."""
-    base = df.select(key, *columns)
-    ranked = base
-    for c in columns:
-        # each rank map is built from the same base (plans do not nest)
-        rmap = average_ranks(base, c).select(F.col(c).alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        ranked = ranked.join(rmap, ranked[c].eqNullSafe(rmap[f"_v_{c}"]), "left")
-    ranked = ranked.select(key, *[F.col(f"_r_{c}").alias(c) for c in columns])
-    return pearson_matrix(ranked, columns)
+    """Pearson of tie-averaged ranks (ranks over each column's non-null
+    values).  All columns are ranked in one pass: long format, distinct
+    (column, value) counts, the bucketed order per column, then one pivot back
+    to a row per key."""
+    long = (df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot([key], columns, "column", "value").filter(F.col("value").isNotNull()))
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = ordered_cumsum(vc, "value", ["n"], by=["column"])
+    ranks = cum.select("column", "value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    wide = (long.join(ranks, ["column", "value"])
+            .groupBy(key).pivot("column", columns).agg(F.first("rank")))
+    return pearson_matrix(wide, columns)
 
 
 def target_correlates(df: DataFrame, columns: list[str], target: str) -> DataFrame:
