@@ -77,10 +77,13 @@ def skew_rank(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """S3: all pairwise Pearson r in one aggregate (pairwise-complete rows)."""
-    pairs = [(a, b) for a in columns for b in columns]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    long = agg.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return long.select(F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "r")
+    # the matrix is symmetric: aggregate the upper triangle and mirror it
+    upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in upper])
+    long = agg.unpivot([], [f"{a}|{b}" for a, b in upper], "pair", "r").select(
+        F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "r")
+    mirror = long.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    return long.unionByName(mirror)
 
 
 def spearman_matrix(df: DataFrame, columns: list[str], key: str = "member_id") -> DataFrame:
