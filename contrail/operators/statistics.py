@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import money_sum
-from ..functions.ranking import average_ranks, exact_quantiles, ordered_cumsum
+from ..functions.ranking import exact_quantiles, ordered_cumsum
 
 SUMMARY_VARS = ["clv", "salary", "total_flights", "distance", "points_accumulated", "points_redeemed",
                 "dollar_cost_points_redeemed"]

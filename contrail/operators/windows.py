@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import TIER_ORDER, order_rank
 from ..functions.ranking import ordered_cumsum
-from .kpis import eavg, esum, revenue_by, revenue_monthly
+from .kpis import esum, revenue_by, revenue_monthly
 
 
 def moving_average(series: DataFrame, order: str, value: str, n: int = 3, out: str = "ma") -> DataFrame:

@@ -57,8 +57,9 @@ class Loyalty:
 
     @cached_property
     def members(self) -> DataFrame:
-        """loyalty_final: 14 columns, salary nulls kept."""
-        return cleaning.members_final(self.members_clean)
+        """loyalty_final: 14 columns, salary nulls kept (shared: the member
+        dimension of every join, built from the order rollup once)."""
+        return self._shared("members", lambda: cleaning.members_final(self.members_clean))
 
     @cached_property
     def activity_dedup(self) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SALARY_BANDS, rnd, tier_number
+from ..functions.exprs import SALARY_BANDS, tier_number
 from ..operators import features as FE
 from ..operators import hierarchy as H
 from ..operators import segments as G
@@ -55,10 +55,6 @@ def clv_quartile(L):
             .agg(F.count(F.lit(1)).alias("members"), F.min("clv").alias("min_clv"), F.max("clv").alias("max_clv")))
 
 
-_DECILE_SQL = """
-WITH_E AS (SELECT """ + ", ".join(f"quantile_cont(clv, {i / 10}) AS e{i}" for i in range(1, 10)) + """ FROM members)"""
-
-
 @register("clv_decile", query("""
 SELECT decile, CAST(count(*) AS BIGINT) AS members, CAST(sum(CAST(clv AS DECIMAL(38,10))) AS DOUBLE) AS total,
   CAST(sum(CAST(clv AS DECIMAL(38,10))) AS DOUBLE) * 100.0
@@ -533,5 +529,3 @@ def extract_revenue_summary(L):
     return L.spark.read.schema("province string, loyalty_card string, revenue double, customers long") \
         .option("header", True).csv(path)
 
-
-del rnd
