@@ -21,8 +21,9 @@ ATTRIBUTES = {
 }
 
 
-def customer_summary(activity: DataFrame) -> DataFrame:
-    """E2 ``get_customer_df``: sums, means, attributes, max; then H14, H15, G3.
+def customer_rollup(activity: DataFrame) -> DataFrame:
+    """E2 ``get_customer_df`` part 1: one ``groupBy(member_id)`` with sums,
+    means, attributes and maxima, plus the per-member ratios (H14).
 
     Attributes are functionally dependent on ``member_id`` (they come from the
     member dimension), so ``first`` is deterministic in value.
@@ -42,9 +43,15 @@ def customer_summary(activity: DataFrame) -> DataFrame:
                 F.max("enrollment_duration").alias("months_active")))
     flights_or_one = F.when(F.col("total_flights") == 0, F.lit(1)).otherwise(F.col("total_flights"))
     points_or_one = F.when(F.col("total_points") == 0, F.lit(1)).otherwise(F.col("total_points"))
-    grp = (grp
-           .withColumn("revenue_per_customer", F.col("total_revenue") / flights_or_one)
-           .withColumn("redemption_rate", clip(F.col("points_redeemed") / points_or_one, 0.0, 1.0)))
+    return (grp
+            .withColumn("revenue_per_customer", F.col("total_revenue") / flights_or_one)
+            .withColumn("redemption_rate", clip(F.col("points_redeemed") / points_or_one, 0.0, 1.0)))
+
+
+def customer_scores(grp: DataFrame) -> DataFrame:
+    """E2 part 2: the churn risk score (H15, global max of flights) and the
+    CLV quartile label (G3).  Works on the member-level rollup, so its global
+    statistics read the small table, not the fact."""
     max_flights = grp.select(F.max("total_flights")).scalar()
     risk = ((1 - F.col("redemption_rate")) * 0.4
             + (1 - F.try_divide(F.col("total_flights").cast("double"), max_flights)) * 0.35
@@ -54,6 +61,11 @@ def customer_summary(activity: DataFrame) -> DataFrame:
     return grp.withColumn("clv_segment", quantile_label("clv", edges, CLV_MEMBER_QUARTILES))
 
 
+def customer_summary(activity: DataFrame) -> DataFrame:
+    """E2, H14, H15, G3 in one lazy chain."""
+    return customer_scores(customer_rollup(activity))
+
+
 def customer_flights(activity: DataFrame, members: DataFrame) -> DataFrame:
     """E3 + D3 + D5: member totals, months with flights, redemption rate,
     inner-joined to the member profile (card, CLV, cancelled)."""

@@ -84,7 +84,9 @@ class Loyalty:
 
     @cached_property
     def customers(self) -> DataFrame:
-        return self._shared("customers", lambda: rollups.customer_summary(self.activity))
+        # the per-member rollup is written first; the global scores read it
+        base = self._shared("customer_rollup", lambda: rollups.customer_rollup(self.activity))
+        return self._shared("customers", lambda: rollups.customer_scores(base))
 
     @cached_property
     def customer_flights(self) -> DataFrame:
