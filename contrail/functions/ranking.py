@@ -111,6 +111,21 @@ def quantile_array(df: DataFrame, col: str, probs: list[float]):
     return q.select(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
 
 
+def column_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> dict:
+    """Quantiles of several columns in ONE distributed pass (long format,
+    grouped by column).  Returns {column: [scalar Column per prob]}."""
+    mode = df.sparkSession.conf.get("contrail.quantiles", "distributed")
+    cols = list(spec)
+    if mode == "exact":
+        return {c: [df.select(F.percentile(c, p)).scalar() for p in spec[c]] for c in cols}
+    probs = sorted({p for ps in spec.values() for p in ps})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    # one row per column (bounded by len(spec)), read once and used as literals
+    rows = {r["column"]: r for r in exact_quantiles(long, "value", probs, by=["column"]).collect()}
+    return {c: [F.lit(rows[c][f"q{probs.index(p)}"]).cast("double") if c in rows else F.lit(None).cast("double")
+                for p in spec[c]] for c in cols}
+
+
 def value_counts(df: DataFrame, col: str, weights: dict | None = None) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows plus optional weight sums."""
     aggs = [F.count(F.lit(1)).alias("n")]

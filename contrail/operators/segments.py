@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import quantile_array, exact_quantiles
+from ..functions.ranking import column_quantiles, exact_quantiles, quantile_array
 from ..functions.exprs import band, quantile_label
 
 
@@ -122,8 +122,8 @@ def persona(cust: DataFrame, inclusive: bool = False) -> DataFrame:
 
     strict: ``>`` p75, ``<`` p25, redemption ``> 0.3``, label 'At-Risk Members';
     inclusive: ``>=`` / ``<=`` / ``>= 0.30``, label 'At Risk Members'."""
-    qc = quantile_array(cust, "clv", [0.75])[0]
-    qf = quantile_array(cust, "total_flights", [0.25, 0.75])
+    q = column_quantiles(cust, {"clv": [0.75], "total_flights": [0.25, 0.75]})
+    qc, qf = q["clv"][0], q["total_flights"]
     clv, fl, rr = F.col("clv"), F.col("total_flights"), F.col("redemption_rate")
     if inclusive:
         high_clv, high_fl, low_fl, high_red = clv >= qc, fl >= qf[1], fl <= qf[0], rr >= 0.30
