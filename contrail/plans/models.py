@@ -18,7 +18,23 @@ from pyspark.sql import functions as F
 from ..operators import churn as M
 from ..operators import clustering as K
 from ..operators import features as FE
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, checkpoint_root
+
+
+def _code_version() -> str:
+    """Hash of the package source: saved models are only reused by the code
+    that fitted them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for dirpath, _, names in sorted(os.walk(root)):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                with open(os.path.join(dirpath, n), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+CODE_VERSION = _code_version()
 
 KMEANS_RESTARTS = 20
 _FEATURES: dict = {}
@@ -26,8 +42,9 @@ FINAL_K = 5
 
 
 def _dir(L, name: str) -> str:
+    checkpoint_dir(L.spark)
     tag = hashlib.sha1(os.path.abspath(L.sf_dir).encode()).hexdigest()[:12]
-    return os.path.join(checkpoint_dir(L.spark), "contrail-models", tag, name)
+    return os.path.join(checkpoint_root(L.spark), "contrail-models", CODE_VERSION, tag, name)
 
 
 def _load_or_fit(loader, path: str, fit):

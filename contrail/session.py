@@ -6,7 +6,6 @@ Cluster jobs pass their own session; these defaults only fill in what is unset.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,18 +46,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+# Local runs only (no cluster folder configured): a fixed scratch root, so
+# saved models can be reused by later processes on the same machine.
+LOCAL_CHECKPOINT_ROOT = os.path.join(os.environ.get("TMPDIR", "/tmp"), "contrail-checkpoints")
+
+
+def _configured_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Uses the directory the cluster names in ``spark.checkpoint.dir``; only
-    when none is configured (local tests) a scratch folder is created.
+    when none is configured (local runs, tests) a local scratch root is used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="contrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    sc.setCheckpointDir(_configured_dir(spark) or LOCAL_CHECKPOINT_ROOT)
+    return sc.getCheckpointDir()
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The checkpoint folder itself (Spark writes RDD checkpoints into a
+    per-application sub-folder of it); used for artefacts shared between
+    applications, such as fitted models."""
+    configured = _configured_dir(spark)
+    if configured:
+        return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return os.path.dirname(current.rstrip("/"))
+    return LOCAL_CHECKPOINT_ROOT
