@@ -107,6 +107,9 @@ def quantile_array(df: DataFrame, col: str, probs: list[float]):
     mode = df.sparkSession.conf.get("contrail.quantiles", "distributed")
     if mode == "exact":
         return df.select(F.percentile(col, list(probs))).scalar()
+    if mode == "approx":  # bounded-memory sketch; rank error <= 1 / accuracy
+        acc = int(df.sparkSession.conf.get("contrail.quantiles.accuracy", "100000"))
+        return df.select(F.percentile_approx(F.col(col).cast("double"), list(probs), acc)).scalar()
     q = exact_quantiles(df, col, list(probs))
     return q.select(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
 
