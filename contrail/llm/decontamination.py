@@ -39,7 +39,7 @@ PIECES = 16
 WINDOWS = batch_fields(("item_id", T.StringType()), ("words", T.ArrayType(T.BinaryType())), ("shingles", T.ArrayType(T.LongType())))
 COUNTS = batch_fields(("shingle", T.LongType()), ("n", T.LongType()))
 PLACES = batch_fields(
-    ("doc_id", T.LongType()), ("n_words", T.LongType()),
+    ("doc_id", T.LongType()), ("text_hash", T.LongType()), ("n_words", T.LongType()),
     ("places", T.ArrayType(T.StructType([
         T.StructField("shingle", T.LongType()), T.StructField("at", T.LongType()),
         T.StructField("first", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())),
@@ -145,13 +145,14 @@ def shingle_places(docs: DataFrame, set_: np.ndarray, window: int = WINDOW, shin
                     for o, p, m, x, y in zip(owner.tolist(), at.tolist(), marks.tolist(), low.tolist(), high.tolist(), strict=True):
                         first = int(begins[o])
                         places[o].append({"shingle": m, "at": p - first, "first": x - first, "words": [words[c] for c in codes[x:y]]})
-                yield arrow_batch(schema, batch.column(0).slice(a, b - a), counts, places)
+                yield arrow_batch(schema, batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), counts, places)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PLACES)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, PLACES)
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n_words) of every document, and (row, start, stop, item_id) of
+    """(row, doc_id, text_hash, n_words) of every document, and (row, start, stop, item_id) of
     every occurrence of a window, in word places.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are
@@ -179,11 +180,11 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     near = near.where("start >= first AND start + size <= n_words AND start - first + size <= size(around)")  # bounds of place and length
     hits = near.where("slice(around, int(start - first + 1), int(size)) = words")
     hits = stored(hits.select("row", "start", (F.col("start") + F.col("size")).alias("stop"), "items").distinct(), "hits")
-    return found.select("row", "doc_id", "n_words"), hits
+    return found.select("row", "doc_id", "text_hash", "n_words"), hits
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, n_words, n_hit, item_ids, contaminated) of every document."""
+    """(row, doc_id, text_hash, n_words, n_hit, item_ids, contaminated) of every document."""
     found, hits = find_hits(docs, items, window, shingle)
     earlier = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(earlier), F.lit(0))))
