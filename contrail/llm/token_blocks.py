@@ -5,7 +5,7 @@ Format (version 1).  A store is a folder with two Parquet datasets:
 ``frames``  one row per frame: ``part``, ``frame`` (its number in the part),
             ``doc_ids`` and ``doc_counts`` (the whole documents it holds),
             ``block_starts`` (byte offset of each block) and ``payload``.
-``index``   one row per part: ``part``, ``start`` (ids in all parts before) and ``n_ids``.
+``index``   one row per frame: ``part``, ``frame``, ``start`` (ids in all frames before) and ``n_ids``.
 
 A block holds up to BLOCK ids, little-endian:
 ``u4 minimum, u4 n, u1 width, u4 n_outliers``, then ``n`` offsets from the
@@ -45,7 +45,8 @@ FRAMES = batch_fields(
     ("part", T.LongType()), ("frame", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.ArrayType(T.LongType())),
     ("doc_counts", T.ArrayType(T.LongType())), ("block_starts", T.ArrayType(T.LongType())), ("payload", T.BinaryType()),
 )
-DOCS = batch_fields(("part", T.LongType()), ("frame", T.LongType()), ("doc_id", T.LongType()), ("before", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
+DOCS = batch_fields(("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
+INDEX = "part long, frame long, start long, n_ids long"
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -110,10 +111,13 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*key).sortWithinPartitions(*key)
     dealt.mapInArrow(run, FRAMES).write.option("compression", "zstd").parquet(f"{path}/frames")
     frames = docs.sparkSession.read.schema(FRAMES).parquet(f"{path}/frames")
-    # one row per part: as many as the exchange has partitions
-    parts = frames.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts.select("part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("start"), "n_ids").coalesce(1).write.parquet(f"{path}/index")
+    # sizes only: parts are as many as the exchange has, and each adds up its own frames
+    totals = frames.groupBy("part").agg(F.sum("n_ids").alias("all"))
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", F.coalesce(F.sum("all").over(parts), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    places = frames.select("part", "frame", "n_ids", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("own")).join(totals, "part")
+    places.select("part", "frame", (F.col("before") + F.col("own")).alias("start"), "n_ids").write.parquet(f"{path}/index")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -127,17 +131,13 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = decode_frame(row["block_starts"], row["payload"])
                 counts = np.array(row["doc_counts"], np.int64)
-                n = len(counts)
-                yield arrow_batch(schema, [row["part"]] * n, [row["frame"]] * n, row["doc_ids"], np.cumsum(counts) - counts, counts, binary_slices(ids.astype("<u4"), counts))
+                yield arrow_batch(schema, row["doc_ids"], row["start"] + np.cumsum(counts) - counts, counts, binary_slices(ids.astype("<u4"), counts))
 
     frames = spark.read.schema(FRAMES).parquet(f"{path}/frames")
-    index = spark.read.schema("part long, start long, n_ids long").parquet(f"{path}/index").select("part", F.col("start").alias("part_start"))
-    # where each frame starts in its part: sizes only, one small window per part
-    earlier = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    places = frames.select("part", "frame", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("frame_start")).join(index, "part")
-    places = places.select("part", "frame", (F.col("part_start") + F.col("frame_start")).alias("frame_at"))
-    docs = frames.mapInArrow(run, DOCS).join(places, ["part", "frame"])
-    return docs.select("doc_id", (F.col("frame_at") + F.col("before")).alias("start"), "n_tokens", "ids")
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    # a frame learns its start while it is packed: small rows meet, not ids
+    placed = frames.join(index.select("part", "frame", "start"), ["part", "frame"])
+    return placed.select("start", "doc_ids", "doc_counts", "block_starts", "payload").mapInArrow(run, DOCS)
 
 
 def op10_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
