@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import adam
+from .sampling import adam, hashed_head
 from .textkit import documents
 
 TRAIN_PAGES = 200
@@ -368,7 +368,7 @@ def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS)
     ``pages`` (page_id, html), the first by a seeded hash of the id.  Without any
     page, a plain sentence stands in."""
     chosen = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct()
-    chosen = chosen.orderBy(F.xxhash64(F.lit(3), "page_id"), "page_id").limit(max_pages)
+    chosen = hashed_head(chosen, max_pages, 3, "page_id")
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

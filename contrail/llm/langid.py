@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import adam, rows_of, sigmoid
+from .sampling import adam, rows_of, share_below, sigmoid, spot
 from .textkit import documents, fold, held_out, mix, spans, text_bytes
 
 DIMENSIONS = 2048
@@ -123,13 +123,17 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """
     learn = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     learn = learn.where((fold(F.col("doc_id")) != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    languages = sorted(r[0] for r in learn.select("lang").distinct().collect())  # one row per language code
+    count = dict(learn.groupBy("lang").count().collect())  # one row per language code
+    languages = sorted(count)
     if not languages:
         return Model((), (), (), np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.float32))
     each = max(1, max_rows // len(languages))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id")
-    # at most max_rows ids: a proven bound (the rank limit is applied before the exchange)
-    chosen = learn.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= each).drop("rank")
+    place = spot("doc_id", 5)
+    limits = F.create_map(*[F.lit(x) for v in languages for x in (v, share_below(each, count[v]))])
+    few = learn.select("doc_id", "lang").where(place < limits[F.col("lang")])  # about 4 rows for one that is wanted
+    rank = Window.partitionBy("lang").orderBy(place, "doc_id")
+    # at most max_rows ids: a proven bound
+    chosen = few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= each).drop("rank")
     rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
     found = rows.select("lang", F.xxhash64("doc_id").alias("h"), _vectors(F.coalesce("text", F.lit(""))).alias("x")).orderBy("lang", "h").toArrow()
     x, lang = rows_of(found["x"]), np.array([languages.index(v) for v in found["lang"].to_pylist()])
