@@ -142,8 +142,10 @@ def _hubs(regions: DataFrame, hubs: int) -> DataFrame:
     weight = regions.groupBy("node").agg(F.count("*").alias("weight"))
     order = Window.partitionBy("region").orderBy(F.desc("weight"), "node")  # a top-n per region, taken before the exchange too
     front = regions.join(weight, "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
-    front = front.select("region", F.col("node").alias("hub"))
-    return regions.select("region", "node").join(front, "region").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    front = front.groupBy("region").agg(F.sort_array(F.collect_list("node")).alias("hubs"))
+    # many regions have the same hubs: a node meets them once
+    met = regions.select("region", "node").join(front, "region").select("node", "hubs").distinct()
+    return met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b")
 
 
 def _neighbours(regions: DataFrame, neighbours: int) -> DataFrame:
