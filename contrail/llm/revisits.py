@@ -23,7 +23,7 @@ from .textkit import documents, stored
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not name another page.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid|sid)(=|$)"
-_URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?"
+_URL = r"^\s*(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?"
 
 
 def canonical(url: Column) -> Column:
