@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoder
-from .textkit import arrow_batch, batch_fields, binary_slices, documents, spans, text_bytes
+from .bpe import BATCH_BYTES, encoder
+from .textkit import arrow_batch, batch_fields, binary_slices, documents, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -121,9 +121,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, length: int = L
         sequence = TaskContext.get().partitionId() << 40
         held, held_ids, held_counts, tokens = [], [], [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in spans(texts):
-                ids, counts = bpe.encode(texts[a:b], end_id)
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1), BATCH_BYTES):
+                ids, counts = bpe.encode(texts, end_id)
                 held += doc_ids[a:b]
                 held_ids.append(ids)
                 held_counts.append(counts)

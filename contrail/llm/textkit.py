@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def spans(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of about ``limit`` bytes with their texts; only one range's texts are held."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size + 16)
+    start = 0
+    while start < len(size):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, stop, text_bytes(column.slice(start, stop - start))
+        start = stop
+
+
 def words_of(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Codes of all words in order, words per text, and the word of each code."""
     split = [t.translate(table).split() if table is not SPACED else t.split() for t in texts]

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoder
+from .bpe import BATCH_BYTES, encoder
 from .packing import vocabulary
-from .textkit import arrow_batch, batch_fields, binary_slices, documents, scratch, spans, text_bytes
+from .textkit import arrow_batch, batch_fields, binary_slices, documents, scratch, slices
 
 BLOCK = 4096
 FRAME_IDS = 256 * 1024
@@ -95,9 +95,9 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, frame = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in spans(texts):
-                ids, counts = bpe.encode(texts[a:b], end_id)
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1), BATCH_BYTES):
+                ids, counts = bpe.encode(texts, end_id)
                 cut = np.flatnonzero(np.diff(np.cumsum(counts) // frame_ids, append=-1)) + 1  # frames end with documents
                 rows, first, at = [], 0, 0
                 for last in cut.tolist():
