@@ -4,11 +4,11 @@
    of that set and a MinHash signature.  Texts of one digest are one *node* (a
    partial aggregate, so a group of any number of copies is one row per task).
 2. Every node stands in TREES sorted orders of its signature, each beginning at
-   another value.  Nodes with a common prefix of MIN_DEPTH values are a *region*;
-   one of more than REGION nodes is looked at STEP values deeper, and so on, so
+   another value.  Nodes with a common prefix of the first of DEPTHS are a *region*;
+   one of more than REGION nodes is looked at by the next depth, and so on, so
    the depth adapts to how dense a region is.  Candidates are the neighbours by
    longest common prefix: the nodes of a small region among themselves; in one
-   that is still large at MAX_DEPTH the next NEIGHBOURS of the sorted order.
+   that is still large at the last depth the next NEIGHBOURS of the sorted order.
    In every large region each node also meets its HUBS, the nodes that most
    orders put into large regions: the original that many copies derive from is
    nearer to all of them than they are to each other.  So pairs grow in
@@ -38,7 +38,8 @@ from .textkit import SPACED_LOWER, arrow_batch, batch_fields, documents, hashes,
 SHINGLE = 4
 MIN_PERCENT = 80
 TREES, VALUES = 20, 120
-MIN_DEPTH, STEP, MAX_DEPTH = 3, 3, 24
+#: How many values the nodes of a region share, from the first look to the deepest.
+DEPTHS = (3, 6, 9, 12, 18, 24)
 REGION = 16
 NEIGHBOURS = 4
 HUBS = 2
@@ -103,31 +104,35 @@ def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, nei
     """Candidate pairs (a < b) of ``nodes`` (node, signature)."""
     begin = VALUES // trees
     # the order goes on at the front of the signature where it ends
-    signed = nodes.select("node", F.expr(f"concat(signature, substring(signature, 1, {4 * MAX_DEPTH}))").alias("s"))
-    depths = list(range(MIN_DEPTH, MAX_DEPTH + 1, STEP))
+    signed = nodes.select("node", F.expr(f"concat(signature, substring(signature, 1, {4 * DEPTHS[-1]}))").alias("s"))
     keyed = signed.select("node", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.expr(f"substring(s, {4 * begin * t + 1}, {4 * MIN_DEPTH})")).alias("region"))
+        F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.expr(f"substring(s, {4 * begin * t + 1}, {4 * DEPTHS[0]})")).alias("region"))
         for t in range(trees)
     ])).alias("x")).select("node", "x.tree", "x.region")
     found = []
-    for depth in depths:
+    for i, depth in enumerate(DEPTHS):
         # a region has one row per task before the exchange; regions of one node end here
         size = keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
         sized = stored(keyed.join(size, "region"), f"forest-{depth}")
-        found.append(_small(sized.where(F.col("size") <= region)))
+        pairs = _small(sized.where(F.col("size") <= region))
         large = sized.where(F.col("size") > region)
-        if large.isEmpty():
+        ended = large.isEmpty()
+        if not ended:
+            if i == 0:  # nodes of large regions take along their signature and in how many of these they stand
+                weight = large.groupBy("node").agg(F.count("*").alias("weight"))
+                large = stored(large.join(weight.join(signed, "node"), "node"), "dense")
+            pairs = pairs.unionByName(_hubs(large, hubs))
+            if depth == DEPTHS[-1]:
+                pairs = pairs.unionByName(_neighbours(large, neighbours))
+        found.append(stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{depth}"))
+        if ended or depth == DEPTHS[-1]:
             break
-        found.append(_hubs(large, hubs))
-        if depth == depths[-1]:
-            found.append(_neighbours(large, neighbours))
-        else:
-            prefix = F.expr(f"substring(s, {4 * begin} * tree + 1, {4 * (depth + STEP)})")
-            keyed = large.select("node", "tree").join(signed, "node").select("node", "tree", F.xxhash64("tree", prefix).alias("region"))
+        prefix = F.expr(f"substring(s, {4 * begin} * tree + 1, {4 * DEPTHS[i + 1]})")
+        keyed = large.select("node", "tree", "weight", "s", F.xxhash64("tree", prefix).alias("region"))
     out = found[0]
     for pairs in found[1:]:
         out = out.unionByName(pairs)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.distinct()
 
 
 def _small(regions: DataFrame) -> DataFrame:
@@ -138,10 +143,9 @@ def _small(regions: DataFrame) -> DataFrame:
 
 
 def _hubs(regions: DataFrame, hubs: int) -> DataFrame:
-    """Each node of a region with the few that stand in the most regions of these."""
-    weight = regions.groupBy("node").agg(F.count("*").alias("weight"))
+    """Each node of a region with the few of the largest weight."""
     order = Window.partitionBy("region").orderBy(F.desc("weight"), "node")  # a top-n per region, taken before the exchange too
-    front = regions.join(weight, "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
+    front = regions.select("region", "node", "weight").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
     front = front.groupBy("region").agg(F.sort_array(F.collect_list("node")).alias("hubs"))
     # many regions have the same hubs: a node meets them once
     met = regions.select("region", "node").join(front, "region").select("node", "hubs").distinct()
