@@ -101,15 +101,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
 
 
 def quantile_array(df: DataFrame, col: str, probs: list[float]):
-    """Scalar array of global quantiles.  ``contrail.quantiles`` = ``exact``
-    uses Spark's ``percentile`` (one task merges all distinct values: small
-    inputs only); the default ``distributed`` uses ``exact_quantiles``."""
-    mode = df.sparkSession.conf.get("contrail.quantiles", "distributed")
-    if mode == "exact":
-        return df.select(F.percentile(col, list(probs))).scalar()
-    if mode == "approx":  # bounded-memory sketch; rank error <= 1 / accuracy
-        acc = int(df.sparkSession.conf.get("contrail.quantiles.accuracy", "100000"))
-        return df.select(F.percentile_approx(F.col(col).cast("double"), list(probs), acc)).scalar()
+    """Scalar array of exact global quantiles (see ``exact_quantiles``)."""
     q = exact_quantiles(df, col, list(probs))
     return q.select(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
 
@@ -117,10 +109,7 @@ def quantile_array(df: DataFrame, col: str, probs: list[float]):
 def column_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> dict:
     """Quantiles of several columns in ONE distributed pass (long format,
     grouped by column).  Returns {column: [scalar Column per prob]}."""
-    mode = df.sparkSession.conf.get("contrail.quantiles", "distributed")
     cols = list(spec)
-    if mode == "exact":
-        return {c: [df.select(F.percentile(c, p)).scalar() for p in spec[c]] for c in cols}
     probs = sorted({p for ps in spec.values() for p in ps})
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     # one row per column (bounded by len(spec)), read once and used as literals

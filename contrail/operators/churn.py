@@ -55,7 +55,7 @@ def split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, split_by: s
           keys=ID_COLS) -> tuple[DataFrame, DataFrame]:
     """M2: deterministic hash split (row or member)."""
     ks = ["member_id"] if split_by == "member" else list(keys)
-    u = (F.abs(F.xxhash64(*[F.col(k) for k in ks], F.lit(seed))) % 1_000_000) / 1_000_000.0
+    u = F.pmod(F.xxhash64(*[F.col(k) for k in ks], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     d = df.withColumn("_u", u)
     return d.filter(F.col("_u") >= test_fraction).drop("_u"), d.filter(F.col("_u") < test_fraction).drop("_u")
 
@@ -105,9 +105,8 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
     mino = df.filter(F.col(label) == minority).withColumn(key, F.monotonically_increasing_id())
     # generated ids must stay fixed for the joins below: cut the lineage in the
     # shared checkpoint folder
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    mino = mino.checkpoint(eager=True)
+    from ..session import stored
+    mino = stored(mino, "minority")
     lsh = BucketedRandomProjectionLSH(inputCol=features, outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed).fit(mino)
     pairs = (lsh.approxSimilarityJoin(mino, mino, threshold=float("inf"), distCol="_d")
@@ -125,12 +124,12 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
                                                    .alias("copies"))
     gen = (nn.join(ranks, "i").filter(F.col("copies") > 0)
            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-           .withColumn("_pick", F.abs(F.xxhash64("i", "copy", F.lit(seed))) % F.lit(k) + 1)
+           .withColumn("_pick", F.pmod(F.xxhash64("i", "copy", F.lit(seed)), F.lit(k)) + 1)
            .withColumn("_nk", F.max("r").over(Window.partitionBy("i", "copy")))
            .filter(F.col("r") == F.least(F.col("_pick"), F.col("_nk"))))
     xi = mino.select(F.col(key).alias("i"), vector_to_array(features).alias("xi"))
     xj = mino.select(F.col(key).alias("j"), vector_to_array(features).alias("xj"))
-    u = (F.abs(F.xxhash64("i", "j", "copy", F.lit(seed + 2))) % 1_000_000) / 1_000_000.0
+    u = F.pmod(F.xxhash64("i", "j", "copy", F.lit(seed + 2)), F.lit(1_000_000)) / 1_000_000.0
     syn = (gen.join(xi, "i").join(xj, "j").withColumn("_u", u)
            .select(array_to_vector(F.zip_with("xi", "xj", lambda a, b: a + F.col("_u") * (b - a))).alias(features),
                    F.lit(minority).cast(df.schema[label].dataType).alias(label)))
@@ -285,8 +284,7 @@ def risk_action(p) -> tuple:
     """Plain-language prediction and recommended action per risk band."""
     p = F.col(p) if isinstance(p, str) else p
     pred = F.when(p < 0.40, "Likely to Stay").when(p < 0.70, "At Risk").otherwise("Likely to Churn")
-    act = (F.when(p < 0.40, "Maintain engagement through regular rewards communications and tier-status updates")
-           .when(p < 0.70, "Targeted re-engagement campaign with flight discount or double-points promotion")
-           .otherwise("Immediate personalised retention offer: bonus points, tier upgrade incentive or "
-                      "exclusive loyalty benefit"))
+    act = (F.when(p < 0.40, "Keep in touch: routine news on points and tier")
+           .when(p < 0.70, "Win back interest: a cheaper flight or extra points for a while")
+           .otherwise("Call now: a personal offer such as points or a step up in tier"))
     return pred, act

@@ -96,20 +96,20 @@ def box_stats(df: DataFrame, value: str, group: str, k: float = 1.5) -> DataFram
     return q.join(w, group)
 
 
-def kde(sample: DataFrame, column: str, grid_points: int = 300, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
-    """Gaussian KDE (Scott bandwidth) evaluated on an even grid between the
-    sample's p1 and p99.  Each sample row adds its kernel to the grid points
-    as one fixed-size array; arrays are summed by position."""
-    s = sample.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    st = s.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-               F.percentile("x", [lo_q, hi_q]).alias("q"))
-    n, sd, q = st.select("n").scalar(), st.select("sd").scalar(), st.select("q").scalar()
+def kde(df: DataFrame, column: str, grid_points: int = 300, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
+    """Gaussian KDE (Scott bandwidth) evaluated on an even grid between p1
+    and p99 of all rows.  Each distinct value adds its kernel, times its count, to
+    the grid points as one fixed-size array; arrays are summed by position."""
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    st = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"))
+    n, sd, q = st.select("n").scalar(), st.select("sd").scalar(), quantile_array(rows, "x", [lo_q, hi_q])
+    s = rows.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
     # scalars become columns first: subqueries cannot sit inside a lambda
-    s = s.select("x", q[0].alias("q0"), ((q[1] - q[0]) / (grid_points - 1)).alias("step"),
+    s = s.select("x", "w", q[0].alias("q0"), ((q[1] - q[0]) / (grid_points - 1)).alias("step"),
                  (sd * F.pow(n.cast("double"), -0.2)).alias("bw"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(grid_points - 1)),
                        lambda i: F.col("q0") + i * F.col("step"))
-    contrib = F.transform(grid, lambda g: F.exp(-0.5 * F.pow((g - F.col("x")) / F.col("bw"), 2)))
+    contrib = F.transform(grid, lambda g: F.col("w") * F.exp(-0.5 * F.pow((g - F.col("x")) / F.col("bw"), 2)))
     exploded = s.select(F.posexplode(contrib).alias("pos", "k"), "q0", "step", "bw")
     norm = n.cast("double") * F.first("bw") * F.sqrt(F.lit(2 * 3.141592653589793))
     return (exploded.groupBy("pos").agg((F.sum("k") / norm).alias("density"),

@@ -8,13 +8,12 @@ files.
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, rollups
-from ..session import checkpoint_dir
+from ..session import fingerprint, stored
 from ..sources import adapter
 
 # Shared layers written once per application and input folder.
@@ -24,7 +23,7 @@ _MATERIALIZED: dict = {}
 class Loyalty:
     """``materialize``: the master fact and the two member summaries feed
     almost every query, so they are computed once, written to the shared
-    checkpoint folder (``checkpoint()``: survives executor loss, cuts the
+    checkpoint folder as Parquet (survives executor loss, cuts the
     lineage so downstream plans stay small) and read back by every query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -35,14 +34,18 @@ class Loyalty:
     def _shared(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
-        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
+        key = (self.spark.sparkContext.applicationId, self.data_key, name)
         df = _MATERIALIZED.get(key)
         if df is None:
-            checkpoint_dir(self.spark)
-            df = build().checkpoint(eager=True)
+            df = stored(build(), name)
             _MATERIALIZED[key] = df
         return df
 
+    @cached_property
+    def data_key(self) -> str:
+        """Names the input files with their sizes and times: changed data is computed anew."""
+        return fingerprint(self.spark, self.sf_dir)
+
     @cached_property
     def members_raw(self) -> DataFrame:
         return adapter.members_raw(self.spark, self.sf_dir)

@@ -12,13 +12,13 @@ import os
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import churn as M
 from ..operators import clustering as K
 from ..operators import features as FE
-from ..session import checkpoint_dir, checkpoint_root
+from ..session import checkpoint_root, path_exists, stored
 
 
 def _code_version() -> str:
@@ -42,18 +42,15 @@ FINAL_K = 5
 
 
 def _dir(L, name: str) -> str:
-    checkpoint_dir(L.spark)
-    tag = hashlib.sha1(os.path.abspath(L.sf_dir).encode()).hexdigest()[:12]
-    return os.path.join(checkpoint_root(L.spark), "contrail-models", CODE_VERSION, tag, name)
+    return os.path.join(checkpoint_root(L.spark), "contrail-models", CODE_VERSION, L.data_key, name)
 
 
 def _load_or_fit(loader, path: str, fit):
-    try:
+    if path_exists(SparkSession.active(), path):
         return loader.load(path)
-    except Exception:  # noqa: BLE001 - first use: fit and save
-        model = fit()
-        model.write().overwrite().save(path)
-        return model
+    model = fit()
+    model.write().overwrite().save(path)
+    return model
 
 
 class Models:
@@ -65,10 +62,9 @@ class Models:
         """The engineered table, written once to the shared checkpoint folder:
         clustering and the churn model read it many times, and the cut keeps
         their plans small."""
-        key = (self.L.spark.sparkContext.applicationId, os.path.abspath(self.L.sf_dir))
+        key = (self.L.spark.sparkContext.applicationId, self.L.data_key)
         if key not in _FEATURES:
-            checkpoint_dir(self.L.spark)
-            _FEATURES[key] = FE.feature_table(self.L.master).checkpoint(eager=True)
+            _FEATURES[key] = stored(FE.feature_table(self.L.master), "features")
         return _FEATURES[key]
 
     def cluster_vectors(self) -> DataFrame:
@@ -105,9 +101,9 @@ class Models:
         paths = {k: _dir(self.L, f"kmeans_pca95_{k}_{restarts}") for k in ks}
         out, missing = {}, []
         for k, p in paths.items():
-            try:
+            if path_exists(self.L.spark, p):
                 out[k] = KMeansModel.load(p)
-            except Exception:  # noqa: BLE001 - not fitted yet
+            else:
                 missing.append(k)
         if missing:
             for k, m in K.kmeans_sweep(self.projected(), missing, restarts).items():
@@ -167,9 +163,9 @@ class Models:
     def scored_rows(self) -> DataFrame:
         """Every member-month scored once and written to the shared folder
         (the risk reports all read it)."""
-        key = (self.L.spark.sparkContext.applicationId, os.path.abspath(self.L.sf_dir), "scored")
+        key = (self.L.spark.sparkContext.applicationId, self.L.data_key, "scored")
         if key not in _FEATURES:
             df, _, _ = self.churn_inputs()
             scored = M.with_score(self.forest().transform(self.prep().transform(df)))
-            _FEATURES[key] = scored.select(*M.ID_COLS, M.LABEL, "score", "prediction").checkpoint(eager=True)
+            _FEATURES[key] = stored(scored.select(*M.ID_COLS, M.LABEL, "score", "prediction"), "scored")
         return _FEATURES[key]

@@ -148,9 +148,8 @@ def box_stats(L):
 
 @register("kde")
 def kde(L):
-    """Gaussian KDE of member CLV on 300 points (seeded 5000 sample)."""
-    from ..operators.sampling import seeded_sample
-    return G.kde(seeded_sample(L.members.filter(F.col("clv").isNotNull()), "member_id", 5000, 42), "clv")
+    """Gaussian KDE of member CLV on 300 points, over all members."""
+    return G.kde(L.members, "clv")
 
 
 @register("flight_segment", query("""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import RISK_LEVELS
 from ..operators import churn as M
 from ..operators import clustering as K
-from ..operators.sampling import seeded_sample
+from ..functions.ranking import quantile_array
+from ..session import stored
 from .models import Models
 from .oracle_base import query
 from .q_features import _FEAT_ROWS, _scale_sql
@@ -202,7 +203,7 @@ def model_compare(L):
     from concurrent.futures import ThreadPoolExecutor
     mo = Models(L)
     # the balanced training side feeds four fits: write it once to the shared folder
-    train = mo.balanced_train().checkpoint(eager=True)
+    train = stored(mo.balanced_train(), "balanced-train")
     _, test = mo.prepared()
     clfs = M.classifiers()
     # independent fits run as concurrent Spark jobs
@@ -277,10 +278,9 @@ def risk_by_tier(L):
 
 @register("risk_quadrant")
 def risk_quadrant(L):
-    """Risk (70 %) x CLV (median of a seeded 3000 sample) quadrants."""
-    s = _scored(L)
-    samp = seeded_sample(s.filter(F.col("clv").isNotNull()), "member_id", 3000, seed=7)
-    med = samp.select(F.percentile("clv", 0.5)).scalar()
+    """Risk (70 %) x CLV (median of all members) quadrant of every member."""
+    samp = _scored(L).filter(F.col("clv").isNotNull())
+    med = quantile_array(samp, "clv", [0.5])[0]
     q = (F.when((F.col("churn_pct") >= 70) & (F.col("clv") >= med), "High Risk / High CLV")
          .when(F.col("churn_pct") >= 70, "High Risk / Low CLV")
          .when(F.col("clv") >= med, "Low Risk / High CLV").otherwise("Low Risk / Low CLV"))

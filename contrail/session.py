@@ -5,9 +5,11 @@ Cluster jobs pass their own session; these defaults only fill in what is unset.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on.  AQE re-plans joins from the
 # real shuffle sizes (a broadcast happens only when the measured side is below
@@ -55,6 +57,12 @@ def _configured_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
+def _local_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return LOCAL_CHECKPOINT_ROOT
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
@@ -65,7 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    sc.setCheckpointDir(_configured_dir(spark) or LOCAL_CHECKPOINT_ROOT)
+    sc.setCheckpointDir(_configured_dir(spark) or _local_root(spark))
     return sc.getCheckpointDir()
 
 
@@ -79,4 +87,31 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    return LOCAL_CHECKPOINT_ROOT
+    return _local_root(spark)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Hash of the names, sizes and times of all files below ``folder``, by any
+    file system that Spark reads: changed data has another one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new folder of the shared location and read
+    back: a lineage cut that outlives executors, and later scans are pruned and
+    pushed down."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/contrail-layers/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
