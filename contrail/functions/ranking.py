@@ -22,10 +22,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+#: Copies of the split points of a group, so that a hot group meets them in many tasks.
+SPLIT_SALTS = 16
 
 
-def bucketize(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3,
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, so that a global
+    order runs in as many tasks as any other exchange."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketize(df: DataFrame, col: str, buckets: int | None = None, rel_err: float = 1e-3,
               by: list[str] | None = None, out: str = "_bkt") -> DataFrame:
     """Monotone range bucket id of ``col`` within each ``by`` group.
 
@@ -35,12 +42,16 @@ def bucketize(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS, rel_err:
     equal values share a bucket and ids grow with the value.  Everything stays
     in the plan: no driver round trip."""
     by = list(by or [])
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     acc = max(100, int(round(1.0 / rel_err)))
     v = F.col(col).cast("double")
     if by:
         splits = df.groupBy(*by).agg(F.percentile_approx(v, probs, acc).alias("_splits"))
-        d = df.join(splits, by, "left")  # one row per group
+        # one row per group; the join is salted, so no group meets its splits in one task
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT_SALTS - 1))).alias("_salt")
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SPLIT_SALTS)).cast("int"))
+        d = salted.join(splits.select("*", salts), [*by, "_salt"], "left").drop("_salt")
     else:
         d = df.withColumn("_splits", df.select(F.percentile_approx(v, probs, acc)).scalar())
     ident = F.size(F.filter("_splits", lambda s: s < v))
@@ -48,12 +59,13 @@ def bucketize(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS, rel_err:
 
 
 def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending: bool = False,
-                   buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3, by: list[str] | None = None) -> DataFrame:
+                   buckets: int | None = None, rel_err: float = 1e-3, by: list[str] | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<w>`` of ``weights`` in ``order_col`` order,
     restarting for every ``by`` group.
 
     ``vc`` must hold one row per distinct (``by``, ``order_col``) (use
-    ``value_counts`` first).  Returns vc's columns plus ``cum_<w>``.
+    ``value_counts`` first).  Returns vc's columns plus ``cum_<w>`` and the
+    group's total ``all_<w>``, both from the bucket totals.
     """
     by = list(by or [])
     b = bucketize(vc, order_col, buckets, rel_err, by=by)
@@ -62,19 +74,21 @@ def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending
     totals = b.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     # <= buckets rows per group
     before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
     offsets = totals.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
-                                           for w in weights])
+                                           for w in weights],
+                            *[F.sum(f"_t_{w}").over(group).alias(f"all_{w}") for w in weights])
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     within = Window.partitionBy(*by, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     # without groups the offsets table has at most `buckets` rows: broadcast;
     # with groups AQE decides from its measured size
     out = b.join(F.broadcast(offsets) if not by else offsets, [*by, "_bkt"])
     return out.select(*vc.columns, *[(F.col(f"_o_{w}") + F.sum(w).over(within)).alias(f"cum_{w}")
-                                     for w in weights])
+                                     for w in weights], *[f"all_{w}" for w in weights])
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy / pandas 'linear', Spark
     ``percentile``, DuckDB ``quantile_cont``) without holding a group's values
     in one task: distinct values are counted, put in global order by
@@ -86,17 +100,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] |
     aggs = []
     v = F.col(col).cast("double")
     for i, p in enumerate(probs):
-        h = (F.col("_N") - 1) * p
+        h = (F.col("all_n") - 1) * p
         lo = F.floor(h)
         x_lo = F.min(F.when(F.col("cum_n") > lo, v))
         x_hi = F.min(F.when(F.col("cum_n") > lo + 1, v))
         frac = F.first(h - lo)
         aggs.append((x_lo + frac * (F.coalesce(x_hi, x_lo) - x_lo)).alias(f"q{i}"))
-    if by:
-        w = Window.partitionBy(*by)
-        cum = cum.withColumn("_N", F.max("cum_n").over(w))
-    else:
-        cum = cum.withColumn("_N", vc.select(F.sum("n")).scalar())
     return cum.groupBy(*by).agg(*aggs)
 
 
@@ -126,14 +135,8 @@ def value_counts(df: DataFrame, col: str, weights: dict | None = None) -> DataFr
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """(value, n, rank): 1-based rank with ties averaged (pandas ``rank()``)."""
     vc = value_counts(df, col)
     cum = ordered_cumsum(vc, col, ["n"], buckets=buckets)
     return cum.select(col, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
-
-
-def with_average_rank(df: DataFrame, col: str, out: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Attach the tie-averaged rank of ``col`` to every row (null stays null)."""
-    ranks = average_ranks(df, col, buckets).select(F.col(col).alias("_v"), F.col("rank").alias(out))
-    return df.join(ranks, df[col].eqNullSafe(ranks["_v"]), "left").drop("_v")

@@ -7,8 +7,8 @@ metrics, scoring.
   ``split_by="member"`` keeps a member's months on one side (no leakage).
 * Preprocessing is a Spark ML ``Pipeline`` (median imputer, standard scaler,
   mode fill + string index + one-hot, assembler) fitted on the training side.
-* SMOTE finds minority neighbours with bucketed random-projection LSH
-  (candidate pairs only inside shared buckets), ranks the candidates by exact
+* SMOTE orders the minority along seeded projections, takes the rows next to
+  each point as candidates (pairs grow with the points), ranks them by exact
   distance and keeps the k nearest per point; synthetic rows are drawn on the
   segments with a seeded hash.
 * Metrics come from aggregates over (label, prediction, score); ROC/PR/AUC
@@ -17,18 +17,19 @@ metrics, scoring.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (BucketedRandomProjectionLSH, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, BooleanType
 
 from ..functions.exprs import risk_label, rnd
-from ..functions.ranking import ordered_cumsum
+from ..functions.ranking import bucket_count, ordered_cumsum
+from ..session import stored
 
 LABEL = "cancelled"
 # Speed settings for deep trees (no effect on the fitted model): keep node ids
@@ -87,52 +88,103 @@ def fill_modes(df: DataFrame, cat: list[str]) -> DataFrame:
     return out
 
 
+#: Rows that a range of a projection holds at least, and about which a single value is split.
+RUN = 4096
+
+
+def neighbour_pairs(points: DataFrame, k: int, seed: int = 42, projections: int = 4) -> DataFrame:
+    """(i, j): each of ``points`` (i, v array) with the k points before and after it
+    in the order of each of several seeded projections.
+
+    Every projection is cut into ranges; a value that is a split point by itself
+    is a range of its own and, as all its rows are equally near, dealt out by a
+    hash into runs of about RUN rows.  A range also sees the first k rows of the
+    next one, so neighbours across its edge are found.  At most 2 * k *
+    projections pairs per point."""
+    n, d = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if n < 2:
+        return points.select("i", F.col("i").alias("j")).limit(0)
+    rng = np.random.default_rng(seed)
+    dot = [F.aggregate(F.zip_with("v", F.lit(rng.normal(size=d).tolist()), lambda x, y: x * y), F.lit(0.0),
+                       lambda acc, x: acc + x) for _ in range(projections)]
+    long = points.select("i", F.xxhash64("i", F.lit(seed)).alias("h"), F.posexplode(F.array(*dot)).alias("t", "p"))
+    buckets = min(bucket_count(points), -(-n // RUN))
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        # one row per projection
+        cuts = long.groupBy("t").agg(F.percentile_approx("p", probs, 10_000).alias("s")).collect()
+        below = F.create_map(*[x for r in cuts for x in (F.lit(r["t"]), F.lit(list(r["s"])))])[F.col("t")]
+        under = F.size(F.filter(below, lambda x: x < F.col("p")))
+        alone = F.array_contains(below, F.col("p"))
+        long = long.withColumn("range", (2 * under + alone.cast("int")).cast("long"))
+    else:
+        long = long.withColumn("range", F.lit(0).cast("long"))
+    single = F.pmod("range", F.lit(2)) == 1
+    place = F.pmod("h", F.lit(1 << 30))
+    sizes = long.groupBy("t", "range").agg(F.count(F.lit(1)).alias("size"))  # at most 2 * buckets rows per projection
+    long = long.join(sizes, ["t", "range"])
+    dealt = stored(long.select("i", "t", "p", "range", place.alias("h"), F.when(
+        single, F.floor(place * F.ceil(F.col("size") / RUN) / (1 << 30))).otherwise(0).alias("part")), "projected")
+    # the parts in use, one row each, numbered in order
+    parts = dealt.groupBy("t", "range", "part").agg(F.count(F.lit(1)).alias("rows")).select(
+        "t", "range", "part", F.row_number().over(Window.partitionBy("t").orderBy("range", "part")).alias("at"))
+    dealt = dealt.join(parts, ["t", "range", "part"]).select("i", "t", "p", "h", "at")
+    order = Window.partitionBy("t", "at").orderBy("p", "h", "i")
+    head = dealt.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    seen = dealt.withColumn("own", F.lit(True)).unionByName(
+        head.withColumn("at", F.col("at") - 1).withColumn("own", F.lit(False)))
+    # the rows seen ahead sort behind all own ones
+    ahead = Window.partitionBy("t", "at").orderBy(F.desc("own"), "p", "h", "i")
+    after = seen.withColumn("j", F.array(*[F.lead("i", x).over(ahead) for x in range(1, k + 1)])).where("own")
+    pairs = after.select("i", F.explode("j").alias("j")).where("j IS NOT NULL")
+    return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+
+
 def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, features: str = "features",
-          bucket_length: float = 1.0, tables: int = 4, key: str = "_rid") -> DataFrame:
+          keys=()) -> DataFrame:
     """M8: SMOTE to equal class counts (the minority is the smaller class).
 
-    For every minority point the k nearest minority points among its LSH
-    candidates; synthetic row = x + u * (neighbour - x), u ~ U(0, 1) from a
-    seeded hash; points are cycled so each makes ``ceil(need / n_min)`` or
-    fewer samples."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    For every minority point the k nearest of its ``neighbour_pairs`` by exact
+    distance; synthetic row = x + u * (neighbour - x), u ~ U(0, 1) from a seeded
+    hash; points are cycled so each makes ``base`` or one more sample.  ``keys``
+    name each row, so the result does not depend on how rows are partitioned;
+    without keys rows are numbered as they are stored.  A single minority point
+    is repeated.  Rows of a null label stay out of the counts and are returned."""
+    counts = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label)
+              .agg(F.count(F.lit(1)).alias("n")).collect()}  # two classes
     if len(counts) < 2:
-        return df
-    minority = min(counts, key=counts.get)
-    need = max(counts.values()) - counts[minority]
+        return df.select(features, label)
+    minority = min(counts, key=lambda c: (counts[c], c))
+    n_min, need = counts[minority], max(counts.values()) - counts[minority]
     if need <= 0:
-        return df
-    mino = df.filter(F.col(label) == minority).withColumn(key, F.monotonically_increasing_id())
-    # generated ids must stay fixed for the joins below: cut the lineage in the
-    # shared checkpoint folder
-    from ..session import stored
-    mino = stored(mino, "minority")
-    lsh = BucketedRandomProjectionLSH(inputCol=features, outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed).fit(mino)
-    pairs = (lsh.approxSimilarityJoin(mino, mino, threshold=float("inf"), distCol="_d")
-             .select(F.col(f"datasetA.{key}").alias("i"), F.col(f"datasetB.{key}").alias("j"), "_d")
-             .filter(F.col("i") != F.col("j")).dropDuplicates(["i", "j"]))
-    w = Window.partitionBy("i").orderBy("_d", "j")
-    nn = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-    n_min = counts[minority]
+        return df.select(features, label)
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in keys]) if keys else \
+        F.monotonically_increasing_id().cast("string")
+    # written once: the numbers hold, and the joins below read short plans
+    mino = stored(df.where(F.col(label) == minority).select(name.alias("i"), vector_to_array(features).alias("v")),
+                  "minority")
+    pairs = neighbour_pairs(mino, k, seed)
+    xi, xj = mino.select("i", F.col("v").alias("xi")), mino.select(F.col("i").alias("j"), F.col("v").alias("xj"))
+    far = F.aggregate(F.zip_with("xi", "xj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    ranked = pairs.join(xi, "i").join(xj, "j").select("i", "j", far.alias("d")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
+    near = ranked.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("r", "j")))["j"].alias("js"))  # at most k
     base, rem = divmod(need, n_min)
     # exact count without a global sort: every point makes `base` samples and
     # the `rem` points first in a seeded hash order make one more
-    order = mino.select(F.col(key).alias("i"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"),
-                        F.lit(1).alias("n"))
+    order = mino.select("i", F.xxhash64("i", F.lit(seed)).alias("h"), F.lit(1).alias("n"))
     ranks = ordered_cumsum(order, "h", ["n"]).select("i", (base + (F.col("cum_n") <= rem).cast("int"))
                                                    .alias("copies"))
-    gen = (nn.join(ranks, "i").filter(F.col("copies") > 0)
-           .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-           .withColumn("_pick", F.pmod(F.xxhash64("i", "copy", F.lit(seed)), F.lit(k)) + 1)
-           .withColumn("_nk", F.max("r").over(Window.partitionBy("i", "copy")))
-           .filter(F.col("r") == F.least(F.col("_pick"), F.col("_nk"))))
-    xi = mino.select(F.col(key).alias("i"), vector_to_array(features).alias("xi"))
-    xj = mino.select(F.col(key).alias("j"), vector_to_array(features).alias("xj"))
-    u = F.pmod(F.xxhash64("i", "j", "copy", F.lit(seed + 2)), F.lit(1_000_000)) / 1_000_000.0
-    syn = (gen.join(xi, "i").join(xj, "j").withColumn("_u", u)
-           .select(array_to_vector(F.zip_with("xi", "xj", lambda a, b: a + F.col("_u") * (b - a))).alias(features),
-                   F.lit(minority).cast(df.schema[label].dataType).alias(label)))
+    gen = (ranks.where(F.col("copies") > 0).join(near, "i", "left")
+           # in two steps: no long array where few points make many samples
+           .withColumn("first", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(RUN))))
+           .withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("copies")) - 1))))
+    pick = F.pmod(F.xxhash64("i", "copy", F.lit(seed)), F.size("js")).cast("int")
+    gen = gen.select("i", "copy", F.coalesce(F.get("js", pick), F.col("i")).alias("j"),
+                     (F.pmod(F.xxhash64("i", "copy", F.lit(seed + 2)), F.lit(1_000_000)) / 1_000_000.0).alias("u"))
+    syn = gen.join(xi, "i").join(xj, "j").select(
+        array_to_vector(F.zip_with("xi", "xj", lambda a, b: a + F.col("u") * (b - a))).alias(features),
+        F.lit(minority).cast(df.schema[label].dataType).alias(label))
     return df.select(features, label).unionByName(syn)
 
 
@@ -141,7 +193,7 @@ def classifiers(seed: int = 42) -> dict:
     return {
         "Logistic Regression": LogisticRegression(maxIter=1000, labelCol=LABEL),
         "Decision Tree": DecisionTreeClassifier(seed=seed, labelCol=LABEL, maxDepth=30, **TREE_SPEED),
-        "Random Forest": RandomForestClassifier(seed=seed, labelCol=LABEL, numTrees=100, **TREE_SPEED),
+        "Random Forest": RandomForestClassifier(seed=seed, labelCol=LABEL, numTrees=100, maxDepth=30, **TREE_SPEED),
         "Gradient Boosted Trees": GBTClassifier(seed=seed, labelCol=LABEL, maxIter=100, **TREE_SPEED),
     }
 

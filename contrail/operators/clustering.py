@@ -2,8 +2,8 @@
 
 log1p on the skewed inputs -> robust scaling (exact median / IQR scalars) ->
 PCA (centred; 95 % of variance) -> KMeans.  PCA needs only the d x d
-covariance (tree-aggregated); KMeans iterates with per-task partial sums, so
-both scale with the row count.  Cluster validity: Spark's silhouette (squared
+covariance (tree-aggregated); all k and restarts of KMeans share one pass per
+step with per-task partial sums, so both scale with the row count.  Cluster validity: Spark's silhouette (squared
 Euclidean, exact, O(n k)), Davies-Bouldin and Calinski-Harabasz from per
 cluster aggregates plus the k centroids.
 """
@@ -11,18 +11,21 @@ cluster aggregates plus the k centroids.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEGMENT_NAMES
 from ..functions.ranking import exact_quantiles
+from ..session import stored
 
 CLUSTER_FEATURES = ["total_flights", "distance", "points_accumulated", "points_redeemed", "clv", "salary", "tenure",
                     "membership_age_months", "redemption_ratio", "avg_distance_per_flight", "points_per_flight",
@@ -65,51 +68,151 @@ def fit_pca(vec: DataFrame, k: int, input_col: str = "features") -> PipelineMode
     ]).fit(vec)
 
 
-def pca_variance(vec: DataFrame, d: int) -> DataFrame:
-    """K3: explained variance ratio per component and its running total."""
-    model = fit_pca(vec, d)
-    ev = [float(x) for x in model.stages[-1].explainedVariance.toArray()]
-    rows = [(i + 1, v, float(np.cumsum(ev)[i])) for i, v in enumerate(ev)]
-    return vec.sparkSession.createDataFrame(rows, "pc int, variance double, cumulative double")
+class Centroids:
+    """A fitted set of centres: assigns every row to its nearest one (the first
+    of equally near ones) with built-in expressions."""
 
+    def __init__(self, centers, col: str = "pca"):
+        self.centers = np.asarray(centers, dtype=float)
+        self.col = col
 
-def components_for(vec: DataFrame, d: int, target: float = 0.95) -> int:
-    model = fit_pca(vec, d)
-    cum = np.cumsum(model.stages[-1].explainedVariance.toArray())
-    return int(np.searchsorted(cum, target) + 1)
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centers)
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        d = [F.aggregate(F.zip_with("_v", F.lit(c.tolist()), lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                         lambda acc, x: acc + x) for c in self.centers]
+        return (df.withColumn("_v", vector_to_array(self.col)).withColumn("_d", F.array(*d))
+                .withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_v", "_d"))
 
-def _fit(data: DataFrame, k: int, seed: int, col: str) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol=col, predictionCol="cluster", maxIter=300, tol=1e-4).fit(data)
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, self.col, c.tolist()) for i, c in enumerate(self.centers)]  # k rows
+        spark.createDataFrame(rows, "cluster int, col string, center array<double>").write.mode("overwrite").parquet(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Centroids:
+        rows = spark.read.parquet(path).orderBy("cluster").collect()  # k rows
+        return cls([r["center"] for r in rows], rows[0]["col"])
 
-def kmeans_sweep(data: DataFrame, ks, restarts: int = 20, seed: int = 42, col: str = "pca",
-                 parallelism: int = 8) -> dict[int, KMeansModel]:
+
+#: Rows whose distances to all open centres are held at once in a task.
+BLOCK = 4096
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        x = x[np.isfinite(x).all(1)]
+        for i in range(0, len(x), BLOCK):
+            yield x[i:i + BLOCK]
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances (rows x centres); rounding noise counts as none."""
+    size = (x * x).sum(1)[:, None] + (c * c).sum(1)
+    out = size - 2.0 * (x @ c.T)
+    out[out <= 1e-12 * size] = 0.0
+    return out
+
+
+def kmeans_starts(rows: DataFrame, d: int, k: int, restarts: int, seed: int) -> list[np.ndarray]:
+    """k-means++ starts of every restart, one pass over ``rows`` (v array) per
+    further centre: a row is drawn with a chance in proportion to its squared
+    distance from the centres drawn before (the smallest of exponential keys
+    divided by that distance), so each task sends one row per restart."""
+    chosen = [np.empty((0, d)) for _ in range(restarts)]
+    for step in range(k):
+        def draw(batches, step=step, chosen=chosen):
+            rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
+            best, row = np.full(restarts, np.inf), [None] * restarts
+            for x in _blocks(batches, d):
+                key = rng.exponential(size=(len(x), restarts))
+                if step:
+                    far = np.stack([_squares(x, c).min(1) for c in chosen], 1)
+                    key = np.divide(key, far, out=np.full(far.shape, np.inf), where=far > 0)
+                at = key.argmin(0)
+                for r in np.flatnonzero(key[at, np.arange(restarts)] < best):
+                    best[r], row[r] = key[at[r], r], x[at[r]].tolist()
+            found = [r for r in range(restarts) if row[r] is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array([best[r] for r in found], pa.float64()),
+                 pa.array([row[r] for r in found], pa.list_(pa.float64()))], ["restart", "key", "v"])
+
+        drawn = rows.mapInArrow(draw, "restart int, key double, v array<double>")
+        # one row per restart
+        found = {r["restart"]: r["v"] for r in drawn.groupBy("restart").agg(F.min_by("v", "key").alias("v")).collect()}
+        if not found:  # fewer different rows than centres
+            break
+        chosen = [np.vstack([c, found[r]]) if r in found else c for r, c in enumerate(chosen)]
+    return chosen
+
+
+def kmeans_sweep(data: DataFrame, ks, restarts: int = 20, seed: int = 42, col: str = "pca", max_iter: int = 300,
+                 tol: float = 1e-4) -> dict[int, Centroids]:
     """K4: for every k the best of ``restarts`` seeded fits (``n_init``).
 
-    The fits are independent Spark jobs, submitted concurrently from a small
-    thread pool over one persisted input; each fit is itself distributed."""
-    from concurrent.futures import ThreadPoolExecutor
-    data = data.select(col).persist()
-    try:
-        tasks = [(k, seed + r) for k in ks for r in range(restarts)]
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fitted = list(pool.map(lambda t: (t[0], _fit(data, t[0], t[1], col)), tasks))
-    finally:
-        data.unpersist()
-    best: dict[int, KMeansModel] = {}
-    for k, m in fitted:
-        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = m
-    return best
-
-
-def kmeans_best(data: DataFrame, k: int, restarts: int = 20, seed: int = 42, col: str = "pca") -> KMeansModel:
+    All open (k, restart) sets move in ONE pass per step: each task returns the
+    count, sum and cost of every open centre, Spark adds them up, and the driver
+    gets one row per open centre (at most restarts * sum(ks)).  A set is closed
+    when no centre moved more than ``tol``.  A centre without rows stays where
+    it is.  Rows with a missing or infinite value have no distance and take no
+    part; with fewer different rows than k there are fewer centres; no rows are
+    an error."""
+    ks = sorted(set(ks))
+    rows = stored(data.select(vector_to_array(col).alias("v")).where("v IS NOT NULL"), "kmeans-rows")
+    first = rows.first()
+    if first is None:
+        raise ValueError("no rows to cluster")
+    d = len(first["v"])
+    starts = kmeans_starts(rows, d, ks[-1], restarts, seed)
+    sets = {(k, r): starts[r][:k] for k in ks for r in range(restarts)}
+    cost = dict.fromkeys(sets, math.inf)
+    left = list(sets)
+    for _ in range(max_iter):
+        ends = np.cumsum([len(sets[m]) for m in left])
+        spans = [(int(e) - len(sets[m]), int(e)) for m, e in zip(left, ends)]
+        centers = np.vstack([sets[m] for m in left])
+
+        def add_up(batches, spans=spans, centers=centers):
+            n, total, paid = np.zeros(len(centers)), np.zeros(centers.shape), np.zeros(len(centers))
+            for x in _blocks(batches, d):
+                far = _squares(x, centers)
+                for a, b in spans:
+                    near = far[:, a:b].argmin(1)
+                    own = (near == np.arange(b - a)[:, None]).astype(float)
+                    n[a:b] += own.sum(1)
+                    total[a:b] += own @ x
+                    paid[a:b] += np.bincount(near, far[np.arange(len(x)), a + near], b - a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(centers), dtype=np.int32)), pa.array(n), pa.array(paid),
+                 pa.array(total.tolist(), pa.list_(pa.float64()))], ["slot", "n", "paid", "total"])
+
+        parts = rows.mapInArrow(add_up, "slot int, n double, paid double, total array<double>")
+        sums = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("paid").alias("paid"),
+                                         *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(d)]).collect()
+        moved, paid = centers.copy(), np.zeros(len(centers))
+        for r in sums:
+            paid[r["slot"]] = r["paid"]
+            if r["n"]:
+                moved[r["slot"]] = np.array([r[f"t{i}"] for i in range(d)]) / r["n"]
+        step = np.sqrt(((moved - centers) ** 2).sum(1))
+        still = []
+        for m, (a, b) in zip(left, spans):
+            sets[m], cost[m] = moved[a:b], float(paid[a:b].sum())
+            if step[a:b].max() > tol:
+                still.append(m)
+        left = still
+        if not left:
+            break
+    return {k: Centroids(sets[min(((k, r) for r in range(restarts)), key=lambda m: cost[m])], col) for k in ks}
+
+
+def kmeans_best(data: DataFrame, k: int, restarts: int = 20, seed: int = 42, col: str = "pca") -> Centroids:
     """KMeans keeping the lowest-cost of several seeded restarts."""
     return kmeans_sweep(data, [k], restarts, seed, col)[k]
 
 
-def centroid_metrics(pred: DataFrame, model: KMeansModel, col: str = "pca") -> dict:
+def centroid_metrics(pred: DataFrame, model: Centroids, col: str = "pca") -> dict:
     """K5-K7: silhouette (squared Euclidean), Davies-Bouldin, Calinski-Harabasz."""
     centers = [np.asarray(c, dtype=float) for c in model.clusterCenters()]
     k = len(centers)
@@ -179,12 +282,3 @@ def cluster_profile(assigned: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         out = out.withColumn(f"z_{c}", (F.col(c) - F.avg(c).over(allw)) / F.stddev_samp(c).over(allw))
     return out.select("cluster", *[rnd(c, 2).alias(c) for c in columns], *[f"z_{c}" for c in columns])
-
-
-def load_or_fit_kmeans(path: str, fit):
-    try:
-        return KMeansModel.load(path)
-    except Exception:  # noqa: BLE001 - not saved yet
-        m = fit()
-        m.write().overwrite().save(path)
-        return m

@@ -11,7 +11,6 @@ import hashlib
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,23 +92,21 @@ class Models:
     def space(self, name: str = "pca95") -> DataFrame:
         return self.projected() if name == "pca95" else self.pca2().transform(self.cluster_vectors())
 
-    def kmeans(self, k: int = FINAL_K, restarts: int = KMEANS_RESTARTS, space: str = "pca95") -> KMeansModel:
-        return _load_or_fit(KMeansModel, _dir(self.L, f"kmeans_{space}_{k}_{restarts}"),
-                            lambda: K.kmeans_best(self.space(space), k, restarts))
-
-    def kmeans_sweep(self, ks=range(2, 11), restarts: int = KMEANS_RESTARTS) -> dict[int, KMeansModel]:
-        paths = {k: _dir(self.L, f"kmeans_pca95_{k}_{restarts}") for k in ks}
-        out, missing = {}, []
-        for k, p in paths.items():
-            if path_exists(self.L.spark, p):
-                out[k] = KMeansModel.load(p)
-            else:
-                missing.append(k)
-        if missing:
-            for k, m in K.kmeans_sweep(self.projected(), missing, restarts).items():
-                m.write().overwrite().save(paths[k])
-                out[k] = m
-        return out
+    def kmeans(self, k: int = FINAL_K, restarts: int = KMEANS_RESTARTS, space: str = "pca95") -> K.Centroids:
+        return self._centroids(space, [k], restarts)[k]
+
+    def kmeans_sweep(self, ks=range(2, 11), restarts: int = KMEANS_RESTARTS) -> dict[int, K.Centroids]:
+        return self._centroids("pca95", ks, restarts)
+
+    def _centroids(self, space: str, ks, restarts: int) -> dict[int, K.Centroids]:
+        spark = self.L.spark
+        paths = {k: _dir(self.L, f"centroids_{space}_{k}_{restarts}") for k in ks}
+        # a folder without the writer's mark is an unfinished write
+        missing = [k for k, p in paths.items() if not path_exists(spark, f"{p}/_SUCCESS")]
+        fitted = K.kmeans_sweep(self.space(space), missing, restarts) if missing else {}
+        for k, m in fitted.items():
+            m.save(spark, paths[k])
+        return {k: fitted[k] if k in fitted else K.Centroids.load(spark, p) for k, p in paths.items()}
 
     def segment_names(self) -> dict[int, str]:
         assigned = self.kmeans().transform(self.projected())
@@ -149,7 +146,7 @@ class Models:
 
     def balanced_train(self) -> DataFrame:
         train, _ = self.prepared()
-        return M.smote(train.select("features", M.LABEL))
+        return M.smote(train.select(*M.ID_COLS, "features", M.LABEL), keys=M.ID_COLS)
 
     def forest(self):
         from pyspark.ml.classification import RandomForestClassificationModel

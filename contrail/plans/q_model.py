@@ -76,7 +76,8 @@ def pca_scores(L):
 def kmeans_elbow(L):
     """K4 + K5-K7: k = 2..10 (best of restarts), inertia and validity metrics."""
     mo = Models(L)
-    data = mo.projected()
+    # nine models are measured on it
+    data = stored(mo.projected().select("pca"), "projected")
     rows = []
     for k, model in sorted(mo.kmeans_sweep().items()):
         met = K.centroid_metrics(model.transform(data), model)

@@ -26,6 +26,27 @@ def test_kmeans_blobs_and_metrics(spark):
     assert sizes == [60] * 5
 
 
+def test_kmeans_sweep_reaches_the_library_and_falls_with_k(spark):
+    from pyspark.ml.clustering import KMeans
+    rnd = np.random.default_rng(3)
+    df = spark.createDataFrame([(Vectors.dense(rnd.normal(0, 1, 4) * [3, 2, 1, 1]),) for _ in range(600)], ["pca"])
+    got = {k: K.centroid_metrics(m.transform(df), m)["inertia"]
+           for k, m in K.kmeans_sweep(df, [2, 3, 4], restarts=8).items()}
+    assert got[2] > got[3] > got[4]
+    best = min(KMeans(k=3, seed=s, featuresCol="pca", maxIter=300).fit(df).summary.trainingCost for s in range(4))
+    assert got[3] <= best * 1.01
+
+
+def test_kmeans_fewer_rows_than_centres(spark):
+    df = spark.createDataFrame([(Vectors.dense([0.0, 1.0]),)] * 5 + [(Vectors.dense([2.0, 1.0]),)] * 3, ["pca"])
+    model = K.kmeans_best(df, 4, restarts=2)
+    assert sorted(c.tolist() for c in model.clusterCenters()) == [[0.0, 1.0], [2.0, 1.0]]
+    sizes = sorted(r["n"] for r in model.transform(df).groupBy("cluster").agg(F.count("*").alias("n")).collect())
+    assert sizes == [3, 5]
+    with pytest.raises(ValueError):
+        K.kmeans_best(df.limit(0), 2, restarts=1)
+
+
 def test_segment_names_rule():
     prof = {0: {"total_flights": 1, "clv": 5, "redemption_ratio": 0.1},
             1: {"total_flights": 9, "clv": 6, "redemption_ratio": 0.2},
@@ -51,6 +72,45 @@ def test_smote_balances_on_segments(spark):
     assert (pts.min(0) >= src.min(0) - 1e-9).all() and (pts.max(0) <= src.max(0) + 1e-9).all()
 
 
+def _smote_case(spark, minor, majority=90):
+    rnd = np.random.default_rng(2)
+    rows = [(i, Vectors.dense(rnd.normal(0, 1, 2)), 0.0) for i in range(majority)]
+    rows += [(1000 + i, Vectors.dense(p), 1.0) for i, p in enumerate(minor)]
+    return spark.createDataFrame(rows, ["id", "features", "cancelled"])
+
+
+@pytest.mark.parametrize("minor", [
+    [(1000.0 * i, -500.0 * i * i) for i in range(10)],  # all far apart
+    [(0.01 * i, 0.0) for i in range(8)] + [(1e6, 0.0), (0.0, 1e6)],
+    [(5.0, 5.0)] * 10,  # one point ten times
+    [(5.0, 5.0)],
+])
+def test_smote_is_whole(spark, minor):
+    df = _smote_case(spark, minor)
+    out = M.smote(df, keys=["id"])
+    counts = {r["cancelled"]: r["n"] for r in out.groupBy("cancelled").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0.0: 90, 1.0: 90}
+
+
+def test_smote_does_not_depend_on_the_partitioning(spark):
+    rnd = np.random.default_rng(4)
+    df = _smote_case(spark, rnd.normal(3, 2, (20, 2)).tolist())
+    one, two = (sorted(tuple(r["features"]) for r in M.smote(d, keys=["id"]).where("cancelled = 1").collect())
+                for d in (df, df.repartition(7)))
+    assert one == two
+
+
+def test_neighbour_pairs_are_linear_and_split_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 32)
+    rnd = np.random.default_rng(5)
+    pts = [[1.0, 2.0]] * 300 + rnd.normal(0, 1, (300, 2)).tolist()
+    df = spark.createDataFrame([(str(i), [float(x) for x in p]) for i, p in enumerate(pts)], "i string, v array<double>")
+    pairs = M.neighbour_pairs(df, 5)
+    assert pairs.count() <= 2 * 5 * 4 * len(pts)
+    assert pairs.where("i = j").count() == 0
+    assert pairs.select("i").distinct().count() == len(pts)
+
+
 def test_split_is_deterministic_and_member_grouped(spark):
     rows = [(m, y, mo, float(m % 7 == 0)) for m in range(200) for y in (1, 2) for mo in (1, 2, 3)]
     df = spark.createDataFrame(rows, "member_id long, year int, month int, cancelled double")

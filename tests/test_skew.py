@@ -44,3 +44,13 @@ def test_hot_member_month_rollup(spark):
     r = m.filter("member_id = 1").first()
     assert r.total_flights == sum(range(1, 1500)) and r.distance == 10 * 1499
     assert m.count() == 1 + 2998
+
+
+def test_grouped_quantiles_never_exchange_on_the_group_alone(spark):
+    import re
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "cast(id AS double) AS x")
+    plan = exact_quantiles(df, "x", [0.5], by=["g"])._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    big = [k for k in keys if len(re.findall(r"#", k)) == 1]
+    # only aggregates of one row per group and task, or of the bucket totals, go by the group alone
+    assert plan.count("Window [max(cum_n") == 0 and len(big) < len(keys)
