@@ -1,9 +1,9 @@
 """Churn model (M1-M21): split, preprocessing pipeline, SMOTE, classifiers,
 metrics, scoring.
 
-* The split is a hash of the key and a seed: every row is decided on its own
-  (no global sort, no window over a label partition), reruns give the same
-  split, and each class is split in the same proportion in expectation.
+* The split orders each class by a hash of the key and a seed and cuts it at
+  the exact share (bucketed global order, no window over a class); reruns give
+  the same split on any layout.
   ``split_by="member"`` keeps a member's months on one side (no leakage).
 * Preprocessing is a Spark ML ``Pipeline`` (median imputer, standard scaler,
   mode fill + string index + one-hot, assembler) fitted on the training side.
@@ -30,6 +30,7 @@ from pyspark.sql.types import NumericType, StringType, BooleanType
 from ..functions.exprs import risk_label, rnd
 from ..functions.ranking import bucket_count, ordered_cumsum
 from ..session import stored
+from .sampling import sample_order
 
 LABEL = "cancelled"
 # Speed settings for deep trees (no effect on the fitted model): keep node ids
@@ -54,11 +55,20 @@ def model_columns(df: DataFrame, label: str = LABEL, drop=("member_id",)) -> tup
 
 def split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, split_by: str = "row",
           keys=ID_COLS) -> tuple[DataFrame, DataFrame]:
-    """M2: deterministic hash split (row or member)."""
-    ks = ["member_id"] if split_by == "member" else list(keys)
-    u = F.pmod(F.xxhash64(*[F.col(k) for k in ks], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    d = df.withColumn("_u", u)
-    return d.filter(F.col("_u") >= test_fraction).drop("_u"), d.filter(F.col("_u") < test_fraction).drop("_u")
+    """M2: (train, test).  By row: of each class the ``round(n * test_fraction)``
+    rows first in a seeded hash order are the test side, so class shares hold
+    exactly.  By member: a member's rows share a side, chosen by its hash.  A
+    null label is a class of its own."""
+    if split_by == "member":
+        test = F.pmod(sample_order("member_id", seed), F.lit(1_000_000)) < int(test_fraction * 1_000_000)
+        return df.filter(~test), df.filter(test)
+    h, cls = sample_order(keys, seed), F.coalesce(F.col(LABEL).cast("double"), F.lit(-1.0))
+    order = df.select(cls.alias("cls"), h.alias("h")).groupBy("cls", "h").agg(F.count(F.lit(1)).alias("n"))
+    cum = ordered_cumsum(order, "h", ["n"], by=["cls"]).where(F.col("cum_n") <= F.round(F.col("all_n") * test_fraction))
+    test = F.lit(False)
+    for r in cum.groupBy("cls").agg(F.max("h").alias("h")).collect():  # one row per class
+        test = test | ((cls == r["cls"]) & (h <= r["h"]))
+    return df.filter(~test), df.filter(test)
 
 
 def preprocessor(num: list[str], cat: list[str]) -> Pipeline:

@@ -154,7 +154,8 @@ def kmeans_sweep(data: DataFrame, ks, restarts: int = 20, seed: int = 42, col: s
     All open (k, restart) sets move in ONE pass per step: each task returns the
     count, sum and cost of every open centre, Spark adds them up, and the driver
     gets one row per open centre (at most restarts * sum(ks)).  A set is closed
-    when no centre moved more than ``tol``.  A centre without rows stays where
+    when the squared moves of its centres add up to at most ``tol`` times the
+    mean variance of a dimension.  A centre without rows stays where
     it is.  Rows with a missing or infinite value have no distance and take no
     part; with fewer different rows than k there are fewer centres; no rows are
     an error."""
@@ -165,6 +166,9 @@ def kmeans_sweep(data: DataFrame, ks, restarts: int = 20, seed: int = 42, col: s
         raise ValueError("no rows to cluster")
     d = len(first["v"])
     starts = kmeans_starts(rows, d, ks[-1], restarts, seed)
+    spread = rows.agg(*[F.var_pop(F.when(~F.isnan(F.col("v")[i]), F.col("v")[i])) for i in range(d)]).first()
+    stop = tol * float(np.nanmean([x if x is not None else 0.0 for x in spread]))
+    stop = stop if math.isfinite(stop) else 0.0
     sets = {(k, r): starts[r][:k] for k in ks for r in range(restarts)}
     cost = dict.fromkeys(sets, math.inf)
     left = list(sets)
@@ -195,11 +199,11 @@ def kmeans_sweep(data: DataFrame, ks, restarts: int = 20, seed: int = 42, col: s
             paid[r["slot"]] = r["paid"]
             if r["n"]:
                 moved[r["slot"]] = np.array([r[f"t{i}"] for i in range(d)]) / r["n"]
-        step = np.sqrt(((moved - centers) ** 2).sum(1))
+        step = ((moved - centers) ** 2).sum(1)
         still = []
         for m, (a, b) in zip(left, spans):
             sets[m], cost[m] = moved[a:b], float(paid[a:b].sum())
-            if step[a:b].max() > tol:
+            if step[a:b].sum() > stop:
                 still.append(m)
         left = still
         if not left:

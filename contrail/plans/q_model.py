@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import RISK_LEVELS
 from ..operators import churn as M
 from ..operators import clustering as K
+from ..operators.sampling import sample_order_sql
 from ..functions.ranking import quantile_array
 from ..session import stored
 from .models import Models
@@ -140,7 +141,19 @@ def model_inputs(L):
             .join(counts.unpivot([], num + cat, "column", "non_null"), "column"))
 
 
-@register("stratified_split")
+_SIDES = f"""sides AS (
+  SELECT 'row' AS split_by, member_id, cancelled, CASE WHEN row_number() OVER (PARTITION BY cancelled ORDER BY h)
+    <= round(count(*) OVER (PARTITION BY cancelled) * 0.2) THEN 'test' ELSE 'train' END AS side
+  FROM (SELECT *, {sample_order_sql(M.ID_COLS)} AS h FROM feat_rows)
+  UNION ALL
+  SELECT 'member', member_id, cancelled, CASE WHEN {sample_order_sql(['member_id'])} % 1000000 < 200000
+    THEN 'test' ELSE 'train' END FROM feat_rows)"""
+
+
+@register("stratified_split", query("""
+SELECT split_by, side, CAST(count(*) AS BIGINT) AS rows, avg(CAST(cancelled AS DOUBLE)) AS churn_rate,
+  CAST(count(DISTINCT member_id) AS BIGINT) AS members FROM sides GROUP BY ALL""", _FEAT_ROWS, _SIDES),
+    doubles="churn_rate", digits=8)
 def stratified_split(L):
     """M2: rows and churn rate on each side of the 80/20 split, by row and by member."""
     df, _, _ = Models(L).churn_inputs()
@@ -186,7 +199,11 @@ def churn_pipeline(L):
     return test.select(*M.ID_COLS, M.LABEL, F.size(vector_to_array("features")).alias("n_features"))
 
 
-@register("smote")
+@register("smote", query("""
+SELECT CAST(cancelled AS DOUBLE) AS cancelled, CAST(n AS BIGINT) AS rows, 'before' AS stage FROM tr
+UNION ALL SELECT CAST(cancelled AS DOUBLE), CAST((SELECT max(n) FROM tr) AS BIGINT), 'after' FROM tr""", _FEAT_ROWS, _SIDES,
+    "tr AS (SELECT cancelled, count(*) AS n FROM sides WHERE split_by = 'row' AND side = 'train' GROUP BY 1)"),
+    doubles="cancelled")
 def smote(L):
     """M8: class counts before and after SMOTE on the training side."""
     mo = Models(L)

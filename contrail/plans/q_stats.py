@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
-from ..operators.sampling import seeded_sample
+from ..operators.sampling import sample_order_sql, seeded_sample
 from .oracle_base import query
 from .registry import register
 
@@ -175,7 +175,10 @@ def linear_trend(L):
     return S.linear_trend(L.customer_flights, TREND_PAIRS)
 
 
-@register("scatter_points")
+@register("scatter_points", query(f"""
+SELECT member_id, clv, total_flights, total_distance, total_points, points_redeemed, cancelled,
+  (SELECT median(total_flights) FROM cust_flights) AS median_total_flights
+FROM cust_flights ORDER BY {sample_order_sql(['member_id'])}, member_id LIMIT 4000"""), doubles="clv median_total_flights")
 def scatter_points(L):
     """S10 + F10: seeded sample of at most 4000 members for a scatter
     (a sample is the feature here), with a median reference line."""
@@ -187,7 +190,10 @@ def scatter_points(L):
                     "cancelled", med.alias("median_total_flights")))
 
 
-@register("scatter_matrix")
+@register("scatter_matrix", query(f"""
+SELECT member_id, year, month, total_flights, distance, points_accumulated, clv FROM master
+WHERE total_flights IS NOT NULL AND distance IS NOT NULL AND points_accumulated IS NOT NULL AND clv IS NOT NULL
+ORDER BY {sample_order_sql(['member_id', 'year', 'month'])}, member_id, year, month LIMIT 2000"""), doubles="clv")
 def scatter_matrix(L):
     """Four metrics, rows with nulls dropped, seeded sample of 2000."""
     cols = ["total_flights", "distance", "points_accumulated", "clv"]

@@ -121,3 +121,13 @@ def test_split_is_deterministic_and_member_grouped(spark):
     assert both.count() == 0
     frac = te1.count() / df.count()
     assert 0.1 < frac < 0.3
+
+
+def test_split_keeps_class_shares_exactly(spark):
+    rows = [(m, 1, mo, float(m % 10 == 0)) for m in range(100) for mo in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "member_id long, year int, month int, cancelled double")
+    train, test = M.split(df)
+    assert {r[0]: r[1] for r in test.groupBy("cancelled").count().collect()} == {0.0: 54, 1.0: 6}
+    assert train.count() == 240
+    again = M.split(df.repartition(5))[1]
+    assert sorted(map(tuple, test.collect())) == sorted(map(tuple, again.collect()))
