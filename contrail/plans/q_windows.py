@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kpis as K
 from ..operators import windows as W
-from ..operators.sampling import seeded_sample
+from ..operators.sampling import sample_order_sql, seeded_sample
 from .oracle_base import query
 from .registry import register
 
@@ -239,7 +239,9 @@ def concentration(L):
                       (pr / pc).alias("concentration_ratio"), (top3 * 100.0 / tot_rev).alias("top3_province_pct"))
 
 
-@register("sample_customers")
+@register("sample_customers", query(f"""
+SELECT member_id, total_flights, clv, redemption_rate, engagement, loyalty_card FROM customers
+ORDER BY {sample_order_sql(['member_id'])}, member_id LIMIT 3000"""), doubles="clv redemption_rate engagement")
 def sample_customers(L):
     """repeatable sample of at most 3000 members (scatter input)."""
     return seeded_sample(L.customers, "member_id", 3000, seed=42).select(
