@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = 0, 1, 2, 3, 4, 255
-#: Pieces that one encoder remembers before it starts over (about 60 MB), and bytes it takes at once (about 60 MB of arrays).
-CACHE_PIECES = 400_000
-BATCH_BYTES = 3 << 19
+#: Pieces that one encoder remembers before it starts over (about 20 MB), and bytes it takes at once (about 20 MB of arrays).
+CACHE_PIECES = 100_000
+BATCH_BYTES = 1 << 19
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import ALNUM_LOWER, arrow_batch, batch_fields, documents, hashes, run_hashes, spans, stored, text_bytes, words_of
+from .textkit import ALNUM_LOWER, arrow_batch, batch_fields, documents, hashes, run_hashes, slices, spans, stored, text_bytes, words_of
 
 WINDOW = 10
 SHINGLE = 4
@@ -113,9 +113,8 @@ def shingle_counts(docs: DataFrame, set_: np.ndarray, shingle: int = SHINGLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in spans(texts):
-                _, counts, _, value = _split(texts[a:b])
+            for _, _, texts in slices(batch.column(0)):
+                _, counts, _, value = _split(texts)
                 found = [m for _, _, m in _marks(value, counts, known, tuple(range(1, shingle + 1)))]
                 yield arrow_batch(schema, *np.unique(np.concatenate(found), return_counts=True))
 
@@ -132,9 +131,8 @@ def shingle_places(docs: DataFrame, set_: np.ndarray, window: int = WINDOW, shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in spans(texts):
-                codes, counts, words, value = _split(texts[a:b])
+            for a, b, texts in slices(batch.column(1)):
+                codes, counts, words, value = _split(texts)
                 begins = np.cumsum(counts) - counts
                 places: list[list] = [[] for _ in range(a, b)]
                 for k, at, marks in _marks(value, counts, known, tuple(range(1, shingle + 1))):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import SPACED_LOWER, arrow_batch, batch_fields, documents, hashes, run_hashes, spans, stored, text_bytes, words_of
+from .textkit import SPACED_LOWER, arrow_batch, batch_fields, documents, hashes, run_hashes, slices, stored, text_bytes, words_of
 
 SHINGLE = 4
 MIN_PERCENT = 80
@@ -83,10 +83,9 @@ def sketch(docs: DataFrame, k: int = SHINGLE, n: int = VALUES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in spans(texts):
+            for a, b, texts in slices(batch.column(1)):
                 sizes, digests, signatures = [], [], []
-                for s in shingle_sets(texts[a:b], k):
+                for s in shingle_sets(texts, k):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     signatures.append(signature(s, n).tobytes() if len(s) else None)
@@ -191,9 +190,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int =
 
     @F.arrow_udf(T.BooleanType())
     def linked(one: pa.Array, two: pa.Array) -> pa.Array:
-        x, y, out = text_bytes(one), text_bytes(two), []
-        for a, b in spans([p + q for p, q in zip(x, y, strict=True)]):
-            for p, q in zip(shingle_sets(x[a:b], k), shingle_sets(y[a:b], k), strict=True):
+        out = []
+        for a, b, texts in slices(one):
+            for p, q in zip(shingle_sets(texts, k), shingle_sets(text_bytes(two.slice(a, b - a)), k), strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pa.array(out, pa.bool_())

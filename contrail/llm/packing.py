@@ -89,15 +89,15 @@ def _group(doc_ids: list, ids: np.ndarray, counts: np.ndarray, first_sequence: i
     found = found[np.lexsort((found[:, 4], found[:, 3]))]
     doc, start, n, sequence, offset = found.T
     begins = np.cumsum(counts) - counts
-    stop = np.cumsum(n)
-    source = np.repeat(begins[doc] + start - (stop - n), n) + np.arange(int(stop[-1]))
+    first = begins[doc] + start
+    joined = np.concatenate([ids[a:b] for a, b in zip(first.tolist(), (first + n).tolist(), strict=True)])
     sequences = int(sequence.max()) + 1
     tokens = np.bincount(sequence, n, sequences).astype(np.int64)
     cost = np.bincount(sequence, piece_cost(n.astype(float), linear, quadratic), sequences)
     power = (tokens & (tokens - 1)) == 0
     padded = np.where(power, tokens, length)
     batch = arrow_batch(
-        schema, pa.array(doc_ids, pa.int64()).take(pa.array(doc)), start, n, binary_slices(ids[source].astype("<u4"), n),
+        schema, pa.array(doc_ids, pa.int64()).take(pa.array(doc)), start, n, binary_slices(joined.astype("<u4", copy=False), n),
         counts[doc], first_sequence + sequence, offset, tokens[sequence], padded[sequence], cost[sequence],
     )
     return batch, sequences

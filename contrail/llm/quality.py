@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import adam, hashed_head, rows_of, sigmoid
-from .textkit import SPACED, documents, fold, hashes, held_out, spans, text_bytes, words_of
+from .textkit import SPACED, documents, fold, hashes, held_out, slices, words_of
 
 MAX_ROWS = 3000
 THRESHOLD = 0.7
@@ -93,16 +93,16 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _blocks(texts: list[bytes], rows: int = 1000) -> Iterator[list[bytes]]:
-    for a, b in spans(texts):
-        for i in range(a, b, rows):
-            yield texts[i : min(b, i + rows)]
+def _blocks(column: pa.Array, rows: int = 1000) -> Iterator[list[bytes]]:
+    for _, _, texts in slices(column):
+        for i in range(0, len(texts), rows):
+            yield texts[i : i + rows]
 
 
 @F.arrow_udf(T.BinaryType())
 def _vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array([x.tobytes() for part in _blocks(text_bytes(texts)) for x in features(part).astype(np.float16)], pa.binary())
+        yield pa.array([x.tobytes() for part in _blocks(texts) for x in features(part).astype(np.float16)], pa.binary())
 
 
 def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
@@ -186,7 +186,7 @@ def score_column(model: Model, text: Column) -> Column:
         w = model.weights[:-1] / model.scale
         bias = model.weights[-1] - model.mean @ w
         for texts in batches:
-            found = [features(part) @ w + bias for part in _blocks(text_bytes(texts))]
+            found = [features(part) @ w + bias for part in _blocks(texts)]
             yield pa.array(sigmoid(model.slope * np.concatenate(found) + model.shift) if found else [], pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")))

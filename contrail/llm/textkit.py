@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..session import checkpoint_root
 
 #: Texts are worked on in chunks of about this many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
@@ -49,7 +49,7 @@ def spans(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges of about ``limit`` bytes with their texts; only one range's texts are held."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size + 16)
