@@ -20,6 +20,8 @@ LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Pieces that one encoder remembers before it starts over (about 20 MB as Arrow strings, where a dict takes 80), and bytes it takes at once (about 40 MB of arrays).
 CACHE_PIECES = 500_000
 BATCH_BYTES = 1 << 20
+#: Pieces that the library encodes in one call.
+RUN = 512
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -118,13 +120,16 @@ class Encoder:
         slot = place.fill_null(0).to_numpy().astype(np.int64)
         if len(missing):
             new = words.take(pa.array(missing))
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
+            text = new.to_pylist()
+            # a run of pieces is one call, which tells the piece of each id
+            runs = [text[i : i + RUN] for i in range(0, len(text), RUN)]
+            found = self.tokenizer.encode_batch(runs, is_pretokenized=True, add_special_tokens=False)
+            count = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=len(x)) for e, x in zip(found, runs, strict=True)])
             base = len(self.ids)
             slot[missing] = len(self.learnt) + np.arange(len(missing))
             self.begin = np.concatenate([self.begin, base + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, count.sum())])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, count.sum())])
             self.learnt = pa.concat_arrays([self.learnt, new])
         return slot
 
