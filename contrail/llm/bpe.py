@@ -23,23 +23,24 @@ BATCH_BYTES = 1 << 20
 #: Pieces that the library encodes in one call.
 RUN = 512
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
+    """One encoder per worker process, vocabulary file and number of pieces to remember."""
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS[path, pieces] = Encoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
 class Encoder:
     """The vocabulary's special strings are ordinary text here: web text cannot smuggle in control tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
@@ -113,7 +114,7 @@ class Encoder:
 
     def _known(self, words: pa.StringArray) -> np.ndarray:
         """Slots of different pieces; those not learnt yet are encoded by the library."""
-        if len(self.learnt) > CACHE_PIECES:
+        if len(self.learnt) > self.most:
             self._forget()
         place = pc.index_in(words, value_set=self.learnt)
         missing = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))

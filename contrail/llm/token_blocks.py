@@ -39,6 +39,8 @@ BLOCK = 4096
 FRAME_IDS = 256 * 1024
 PERCENTILE = 0.95
 END_ID = 2
+#: Pieces that the encoder remembers here (about 50 MB).
+REMEMBERED = 1_200_000
 HEAD = struct.Struct("<IIBI")
 
 FRAMES = batch_fields(
@@ -93,10 +95,10 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     schema = to_arrow_schema(FRAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, frame = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        bpe, part, frame = encoder(vocabulary, REMEMBERED), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in slices(batch.column(1), BATCH_BYTES):
+            for a, b, texts in slices(batch.column(1), 2 * BATCH_BYTES):
                 ids, counts = bpe.encode(texts, end_id)
                 cut = np.flatnonzero(np.diff(np.cumsum(counts) // frame_ids, append=-1)) + 1  # frames end with documents
                 rows, first, at = [], 0, 0
