@@ -11,13 +11,17 @@
    that is still large at the last depth the next NEIGHBOURS of the sorted order.
    In every large region each node also meets its HUBS, the nodes that most
    orders put into large regions: the original that many copies derive from is
-   nearer to all of them than they are to each other.  So pairs grow in
-   proportion to the nodes, however large a group of near copies is.
+   nearer to all of them than they are to each other.  These pairs grow in
+   proportion to the nodes and link most of a large group, but not all of it.
 3. A pair whose signatures agree in less than MIN_AGREE (four standard errors
    below 0.8) is dropped, the others are confirmed on the full sets, in rounds:
    first each node's best candidate, then whatever the links found so far do not
    connect already.  A pair inside a component cannot change it.
 4. Components by alternating large-star and small-star steps over links.
+5. Nodes of large regions (*dense* ones) then meet exactly: two sets that reach
+   the ratio share one of their rarest shingles, at places that leave room for
+   the rest.  Postings of these shingles are joined, dealt out in runs, where the
+   components differ; what passes the bounds is confirmed without the signatures.
 
 Nothing is collected; every step is written to the shared folder.
 """
@@ -49,6 +53,8 @@ RUN = 4096
 
 SKETCH = batch_fields(("doc_id", T.LongType()), ("text_hash", T.LongType()), ("n_shingles", T.LongType()), ("digest", T.BinaryType()), ("signature", T.BinaryType()))
 
+SHINGLES = batch_fields(("node", T.LongType()), ("shingle", T.LongType()))
+
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than k are one shingle."""
@@ -99,8 +105,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
-def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, neighbours: int = NEIGHBOURS, hubs: int = HUBS) -> DataFrame:
-    """Candidate pairs (a < b) of ``nodes`` (node, signature)."""
+def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, neighbours: int = NEIGHBOURS,
+                 hubs: int = HUBS) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a < b) of ``nodes`` (node, signature), and the dense nodes (None
+    if no region is large), whose pairs in large regions are not all among them."""
     begin = VALUES // trees
     # the order goes on at the front of the signature where it ends
     signed = nodes.select("node", F.expr(f"concat(signature, substring(signature, 1, {4 * DEPTHS[-1]}))").alias("s"))
@@ -108,7 +116,7 @@ def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, nei
         F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.expr(f"substring(s, {4 * begin * t + 1}, {4 * DEPTHS[0]})")).alias("region"))
         for t in range(trees)
     ])).alias("x")).select("node", "x.tree", "x.region")
-    found = []
+    found, dense = [], None
     for i, depth in enumerate(DEPTHS):
         # a region has one row per task before the exchange; regions of one node end here
         size = keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
@@ -120,6 +128,7 @@ def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, nei
             if i == 0:  # nodes of large regions take along their signature and in how many of these they stand
                 weight = large.groupBy("node").agg(F.count("*").alias("weight"))
                 large = stored(large.join(weight.join(signed, "node"), "node"), "dense")
+                dense = large.select("node").distinct()
             pairs = pairs.unionByName(_hubs(large, hubs))
             if depth == DEPTHS[-1]:
                 pairs = pairs.unionByName(_neighbours(large, neighbours))
@@ -131,7 +140,7 @@ def forest_pairs(nodes: DataFrame, trees: int = TREES, region: int = REGION, nei
     out = found[0]
     for pairs in found[1:]:
         out = out.unionByName(pairs)
-    return out.distinct()
+    return out.distinct(), dense
 
 
 def _small(regions: DataFrame) -> DataFrame:
@@ -202,6 +211,55 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int =
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(linked("ta", "tb")).select("a", "b")
 
 
+def shingle_rows(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, shingle) of every distinct shingle of ``texts`` (node, text)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(SHINGLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in slices(batch.column(1)):
+                sets = list(shingle_sets(texts, k))
+                node = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
+                yield arrow_batch(schema, node, np.concatenate(sets).view(np.int64))
+
+    return texts.select("node", "text").mapInArrow(run, SHINGLES)
+
+
+def exact_pairs(texts: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
+    """Pairs (a, b, ra, rb) of ``nodes`` (node, n, root) of different roots, without losing
+    any whose sets reach ``percent``; ``texts`` has node and text.
+
+    In one order of all shingles, the rarest first, the first common shingle of
+    such a pair leaves both sets as many places as they have to share.  So a set
+    of n has postings of its first n - ceil(n * percent / 100) + 1 shingles only.
+    A shingle's postings outside its most frequent root are dealt out in runs of
+    about RUN, and each run meets all its postings.
+    """
+    rows = stored(shingle_rows(texts, k), "dense-shingles")
+    spread = rows.groupBy("shingle").agg(F.count("*").alias("spread")).where("spread > 1")
+    shared = rows.join(spread, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("spread", "shingle"))).alias("m"))
+    # a set's shingles that nobody else has come first and meet nothing
+    own, last = F.col("n") - F.size("m"), F.col("n") - F.ceil(F.col("n") * percent / 100)
+    front = shared.join(nodes, "node").withColumn("own", own).withColumn("left", (last + 1 - own).cast("int")).where("left > 0")
+    postings = front.select("node", "n", "root", "own", F.posexplode(F.slice("m", 1, F.col("left"))).alias("at", "x"))
+    postings = stored(postings.select(F.col("x.shingle").alias("shingle"), "node", "n", "root", (F.col("own") + F.col("at")).alias("place")), "postings")
+
+    roots = postings.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    lists = roots.groupBy("shingle").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    lists = lists.where("roots > 1").select("shingle", F.col("main.root").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / RUN).alias("runs"))
+    postings = stored(postings.join(lists, "shingle"), "mixed-postings")
+    left = postings.where("root <> main").select(
+        "shingle", F.pmod(F.xxhash64("node"), "runs").alias("run"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    right = postings.select(
+        "shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("node").alias("b"), F.col("root").alias("rb"),
+        F.col("n").alias("nb"), F.col("place").alias("ib"), (F.col("root") == F.col("main")).alias("most"))
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = left.join(right, ["shingle", "run"]).where((F.col("ra") != F.col("rb")) & (F.col("most") | (F.col("a") < F.col("b"))) & room)
+    return met.select("a", "b", "ra", "rb").distinct()
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); the root is the component's smallest node.
 
@@ -247,10 +305,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCEN
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"),
         F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once they are written
-    candidates = stored(with_agreement(forest_pairs(nodes), nodes, percent=percent), "candidates")
+    pairs, dense = forest_pairs(nodes)
+    candidates = stored(with_agreement(pairs, nodes, percent=percent), "candidates")
 
-    # the text of one row per node that a candidate names
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # the text of one row per node that a candidate names, and of every dense one
+    involved = candidates.select(F.explode(F.array("a", "b")).alias("node"))
+    involved = (involved.unionByName(dense) if dense else involved).distinct()
     rows = nodes.join(involved, "node").select("node", F.col("row.doc_id").alias("id"), "row.text_hash")
     texts = _texts(docs).join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (rows["text_hash"] == F.xxhash64("text")))
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
@@ -265,6 +325,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCEN
     unseen = candidates.select("a", "b").join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     unseen = unseen.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     roots = components(links.unionByName(confirm(unseen, texts, k, percent)))
+    if dense:
+        roots = _exact(dense, nodes, texts, roots, k, percent)
 
     component = nodes.join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = component.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -274,5 +336,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCEN
     return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def _exact(dense: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """``roots`` after all dense nodes have met: one pair of each two components first,
+    then all that are still apart."""
+    sized = nodes.select("node", F.col("n_shingles").alias("n")).join(dense, "node").join(roots, "node", "left")
+    pairs = exact_pairs(texts.join(dense, "node", "left_semi"), sized.withColumn("root", F.coalesce("root", "node")), k, percent)
+    pairs = stored(pairs, "exact-pairs")
+    merged = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    one = pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("a", "b")).alias("p"))
+    links = stored(confirm(one.select("p.a", "p.b"), texts, k, percent), "exact-links")
+    now = components(merged.unionByName(links))
+    ra, rb = (now.select(F.col("node").alias(x), F.col("root").alias(f"n{x}")) for x in "ab")
+    apart = pairs.join(one.select("p.a", "p.b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+    apart = apart.where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
+    return components(merged.unionByName(links).unionByName(confirm(apart, texts, k, percent)))
+
+
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")

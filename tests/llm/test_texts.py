@@ -167,6 +167,50 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == groups(rows)
 
 
+def test_exact_pairs_against_brute_force(spark):
+    rng = random.Random(11)
+    base = words(rng, 200, 5000)
+    rows = []
+    for _ in range(60):  # a shared passage, pairs on both sides of the ratio
+        w = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 7)):
+            w[at] = f"n{rng.random()}"
+        rows.append((len(rows), " ".join(w[: rng.randrange(185, 201)])))
+    sets = [shingles(t, 4) for _, t in rows]
+    near = {(a, b) for a in range(60) for b in range(a + 1, 60) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert 10 < len(near) < 1500
+    texts = spark.createDataFrame(rows, "node long, text string")
+    for root in (lambda i: i, lambda i: 0 if i < 45 else i, lambda i: i % 3):
+        nodes = spark.createDataFrame([(i, len(s), root(i)) for i, s in enumerate(sets)], "node long, n long, root long")
+        found = {(min(r.a, r.b), max(r.a, r.b)) for r in lsh_forest.exact_pairs(texts, nodes).collect()}
+        assert found >= {(a, b) for a, b in near if root(a) != root(b)}
+        assert not any(root(a) == root(b) for a, b in found)
+
+
+def test_large_regions_lose_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base = words(rng, 200, 5000)
+    rows = []
+    for _ in range(150):  # alike at about 0.7
+        w = list(base)
+        for at in rng.sample(range(200), 9):
+            w[at] = f"n{rng.random()}"
+        rows.append((len(rows), " ".join(w)))
+    for i in range(0, 150, 5):  # a partner at 0.8 to 0.9
+        w = rows[i][1].split()
+        for at in rng.sample(range(200), 4):
+            w[at] = f"n{rng.random()}"
+        rows.append((len(rows), " ".join(w)))
+    # what the forest offers from large regions is left out altogether
+    monkeypatch.setattr(lsh_forest, "_hubs", lambda regions, hubs: regions.selectExpr("node AS a", "node AS b").limit(0))
+    monkeypatch.setattr(lsh_forest, "_neighbours", lambda regions, neighbours: regions.selectExpr("node AS a", "node AS b").limit(0))
+    monkeypatch.setattr(lsh_forest, "DEPTHS", (1, 24))
+    found = lsh_forest.near_duplicates(frame(spark, [(*r, "en", "s", 1) for r in rows]))
+    expected = groups(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected
+    assert len({c for *_, c in expected}) < len(rows)
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     rows = {(r.doc_id, r.n_shingles): r for r in lsh_forest.near_duplicates(hard).collect()}
     assert rows[(5, 20)].component_id == 1 and rows[(1, 20)].kept and not rows[(5, 20)].kept
