@@ -3,8 +3,8 @@
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (projections plus
 attention, which stays inside a document).  Documents go, longest first, to the
 sequence of the lowest cost so far that has room for them.  A document longer
-than a sequence first fills whole ones; one that fits nowhere near the lowest
-costs is cut at the room of the cheapest sequence, so that almost nothing is
+than a sequence first fills whole ones; one that no sequence has room for is cut
+at the room of the cheapest sequence, so that almost nothing is
 padded: a group of T tokens gets T // length full sequences and one of the next
 power of two for the rest.
 
@@ -14,6 +14,7 @@ no shuffle, and memory bounded by a group and the longest single document.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -31,8 +32,6 @@ LENGTH = 2048
 END_ID = 1
 #: Tokens that one group of sequences holds (about 1000 sequences).
 GROUP_TOKENS = 2 << 20
-#: How many of the cheapest sequences are tried before a document is cut.
-PROBES = 8
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 SCHEMA = batch_fields(
@@ -62,22 +61,28 @@ def assign(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, qua
         if n > start:
             queue.append((start - n, doc, start))
     heapq.heapify(queue)
-    open_ = [(0.0, s) for s, free in enumerate(room) if free]
-    heapq.heapify(open_)
+    # a heap of (cost, sequence) for each room; ``rooms`` has those in use in order
+    heaps: dict[int, list[tuple[float, int]]] = {}
+    for s, free in enumerate(room):
+        if free:
+            heaps.setdefault(free, []).append((0.0, s))
+    rooms = sorted(heaps)
     while queue:
         n, doc, start = heapq.heappop(queue)
-        n, tried = -n, []
-        while open_ and len(tried) < PROBES and (not tried or room[tried[-1][1]] < n):
-            tried.append(heapq.heappop(open_))
-        best = tried.pop() if room[tried[-1][1]] >= n else tried.pop(0)
-        for other in tried:
-            heapq.heappush(open_, other)
-        spent, s = best
+        n = -n
+        fits = rooms[bisect.bisect_left(rooms, n) :] or rooms
+        free = min(fits, key=lambda x: heaps[x][0])
+        spent, s = heapq.heappop(heaps[free])
+        if not heaps[free]:
+            del heaps[free], rooms[bisect.bisect_left(rooms, free)]
         took = min(n, room[s])
         pieces.append((doc, start, took, s, size[s] - room[s]))
         room[s] -= took
-        if room[s]:
-            heapq.heappush(open_, (spent + piece_cost(took, linear, quadratic), s))
+        if left := room[s]:
+            if left not in heaps:
+                heaps[left] = []
+                bisect.insort(rooms, left)
+            heapq.heappush(heaps[left], (spent + piece_cost(took, linear, quadratic), s))
         if took < n:
             heapq.heappush(queue, (took - n, doc, start + took))
     return pieces

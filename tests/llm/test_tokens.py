@@ -68,6 +68,28 @@ def test_assign_takes_the_cheapest_sequence_with_room():
     assert packing.assign([]) == []
 
 
+def test_assign_cuts_only_what_no_sequence_has_room_for():
+    rng = np.random.default_rng(5)
+    lengths = [int(n) for n in np.concatenate([rng.integers(900, 2047, 300), rng.integers(20, 400, 2500)])]
+    room, cost, cut = {}, {}, 0
+    total = sum(lengths)
+    for s in range(total // 2048):
+        room[s] = 2048
+    if total % 2048:
+        room[len(room)] = 1 << (total % 2048 - 1).bit_length()
+    cost = dict.fromkeys(room, 0.0)
+    for doc, start, n, s, _ in packing.assign(lengths):
+        whole = lengths[doc] - start
+        fits = [x for x in room if room[x] >= whole]
+        # the cheapest with room; if none has any, cut at the cheapest
+        assert (cost[s], s) == min((cost[x], x) for x in (fits or [x for x in room if room[x]]))
+        assert n == (whole if fits else room[s])
+        cut += not fits
+        room[s] -= n
+        cost[s] += packing.piece_cost(n)
+    assert cut > 0
+
+
 @pytest.mark.parametrize("ids", [[5], [0, 50256] * 9, list(range(1000)), [7] * 300, [3] * 200 + [4_000_000_000], [2**32 - 1, 0]])
 def test_blocks_round_trip(ids):
     x = np.array(ids, np.uint32)
