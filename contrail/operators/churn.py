@@ -7,10 +7,9 @@ metrics, scoring.
   ``split_by="member"`` keeps a member's months on one side (no leakage).
 * Preprocessing is a Spark ML ``Pipeline`` (median imputer, standard scaler,
   mode fill + string index + one-hot, assembler) fitted on the training side.
-* SMOTE orders the minority along seeded projections, takes the rows next to
-  each point as candidates (pairs grow with the points), ranks them by exact
-  distance and keeps the k nearest per point; synthetic rows are drawn on the
-  segments with a seeded hash.
+* SMOTE finds the k nearest minority rows of each point exactly, block by block
+  around seeded pivots, without blocks that cannot hold a nearer one; synthetic
+  rows are drawn on the segments with a seeded hash.
 * Metrics come from aggregates over (label, prediction, score); ROC/PR/AUC
   use the bucketed global order over distinct scores.
 """
@@ -18,6 +17,7 @@ metrics, scoring.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -25,10 +25,11 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import NumericType, StringType, BooleanType
 
 from ..functions.exprs import risk_label, rnd
-from ..functions.ranking import bucket_count, ordered_cumsum
+from ..functions.ranking import ordered_cumsum
 from ..session import stored
 from .sampling import sample_order
 
@@ -98,64 +99,88 @@ def fill_modes(df: DataFrame, cat: list[str]) -> DataFrame:
     return out
 
 
-#: Rows that a range of a projection holds at least, and about which a single value is split.
+#: Points of a block of the neighbour search, about.
 RUN = 4096
 
 
-def neighbour_pairs(points: DataFrame, k: int, seed: int = 42, projections: int = 4) -> DataFrame:
-    """(i, j): each of ``points`` (i, v array) with the k points before and after it
-    in the order of each of several seeded projections.
-
-    Every projection is cut into ranges; a value that is a split point by itself
-    is a range of its own and, as all its rows are equally near, dealt out by a
-    hash into runs of about RUN rows.  A range also sees the first k rows of the
-    next one, so neighbours across its edge are found.  At most 2 * k *
-    projections pairs per point."""
-    n, d = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if n < 2:
-        return points.select("i", F.col("i").alias("j")).limit(0)
-    rng = np.random.default_rng(seed)
-    dot = [F.aggregate(F.zip_with("v", F.lit(rng.normal(size=d).tolist()), lambda x, y: x * y), F.lit(0.0),
-                       lambda acc, x: acc + x) for _ in range(projections)]
-    long = points.select("i", F.xxhash64("i", F.lit(seed)).alias("h"), F.posexplode(F.array(*dot)).alias("t", "p"))
-    buckets = min(bucket_count(points), -(-n // RUN))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        # one row per projection
-        cuts = long.groupBy("t").agg(F.percentile_approx("p", probs, 10_000).alias("s")).collect()
-        below = F.create_map(*[x for r in cuts for x in (F.lit(r["t"]), F.lit(list(r["s"])))])[F.col("t")]
-        under = F.size(F.filter(below, lambda x: x < F.col("p")))
-        alone = F.array_contains(below, F.col("p"))
-        long = long.withColumn("range", (2 * under + alone.cast("int")).cast("long"))
-    else:
-        long = long.withColumn("range", F.lit(0).cast("long"))
-    single = F.pmod("range", F.lit(2)) == 1
-    place = F.pmod("h", F.lit(1 << 30))
-    sizes = long.groupBy("t", "range").agg(F.count(F.lit(1)).alias("size"))  # at most 2 * buckets rows per projection
-    long = long.join(sizes, ["t", "range"])
-    dealt = stored(long.select("i", "t", "p", "range", place.alias("h"), F.when(
-        single, F.floor(place * F.ceil(F.col("size") / RUN) / (1 << 30))).otherwise(0).alias("part")), "projected")
-    # the parts in use, one row each, numbered in order
-    parts = dealt.groupBy("t", "range", "part").agg(F.count(F.lit(1)).alias("rows")).select(
-        "t", "range", "part", F.row_number().over(Window.partitionBy("t").orderBy("range", "part")).alias("at"))
-    dealt = dealt.join(parts, ["t", "range", "part"]).select("i", "t", "p", "h", "at")
-    order = Window.partitionBy("t", "at").orderBy("p", "h", "i")
-    head = dealt.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
-    seen = dealt.withColumn("own", F.lit(True)).unionByName(
-        head.withColumn("at", F.col("at") - 1).withColumn("own", F.lit(False)))
-    # the rows seen ahead sort behind all own ones
-    ahead = Window.partitionBy("t", "at").orderBy(F.desc("own"), "p", "h", "i")
-    after = seen.withColumn("j", F.array(*[F.lead("i", x).over(ahead) for x in range(1, k + 1)])).where("own")
-    pairs = after.select("i", F.explode("j").alias("j")).where("j IS NOT NULL")
-    return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+def nearest_of(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(i, j, d) of the k rows of ``right`` (i, v) nearest to each of ``left``, itself
+    left out; d is the distance, ties go by j."""
+    right = right.sort_by("i")
+    ids, own = np.array(right["i"].to_pylist(), object), np.array(left["i"].to_pylist(), object)
+    x, y = (np.array(t["v"].to_pylist(), float).reshape(len(t), -1) for t in (left, right))
+    out = []
+    for at in range(0, len(x) if len(y) else 0, 256):
+        part = x[at : at + 256]
+        d = np.zeros((len(part), len(y)))
+        for c in range(part.shape[1]):
+            d += (part[:, c, None] - y[None, :, c]) ** 2
+        spot = np.searchsorted(ids, own[at : at + 256])
+        row = np.flatnonzero((spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == own[at : at + 256]))
+        d[row, spot[row]] = np.inf
+        n = min(k, len(y))
+        last = np.partition(d, n - 1, axis=1)[:, n - 1, None]
+        tied = d == last
+        taken = (d < last) | (tied & (np.cumsum(tied, 1) <= n - (d < last).sum(1, keepdims=True)))
+        i, j = np.nonzero(taken & (d < np.inf))
+        out.append(pa.table({"i": pa.array(own[at + i], pa.string()), "j": pa.array(ids[j], pa.string()), "d": np.sqrt(d[i, j])}))
+    none = pa.table({"i": pa.array([], pa.string()), "j": pa.array([], pa.string()), "d": pa.array([], pa.float64())})
+    return pa.concat_tables([none, *out])
+
+
+def neighbour_pairs(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(i, j): the k nearest of each of ``points`` (i string, v array) are among its partners.
+
+    Points belong to the nearest of seeded pivots, a pivot's are dealt out by a
+    hash into blocks of about RUN.  Each point first meets its own block; then,
+    as far as the triangle inequality leaves room for a nearer one than its k-th,
+    the other blocks.  So nothing is lost at any size; in many dimensions few
+    blocks are left out and the work nears the square of the points."""
+    n = points.count()
+    named = points.select("i", "v", F.xxhash64("i", F.lit(seed)).alias("h"))
+    # one pivot for RUN points
+    pivots = np.array([r["v"] for r in named.orderBy("h", "i").limit(max(1, -(-n // RUN))).collect()], float)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def to_pivots(v: pa.Array) -> pa.Array:
+        rows = np.array(v.to_pylist(), float).reshape(len(v), -1)
+        return pa.array([np.sqrt(((pivots - x) ** 2).sum(1)).tolist() for x in rows], pa.list_(pa.float64()))
+
+    far = named.withColumn("far", to_pivots("v")).withColumn("near", F.array_min("far"))
+    far = far.withColumn("pivot", F.array_position("far", F.col("near")).cast("int") - 1)
+    sizes = far.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"), F.max("near").alias("radius"))
+    sizes = stored(sizes, "pivots")
+    blocks = stored(far.join(sizes.select("pivot", "runs"), "pivot").select(
+        "i", "v", "h", "far", "pivot", F.pmod("h", "runs").alias("run")), "blocks")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        pair = left.groupBy("pivot", "run", "part").cogroup(right.groupBy("pivot", "run", "part"))
+        return pair.applyInArrow(lambda a, b: nearest_of(a, b, k), "i string, j string, d double")
+
+    one = blocks.select("pivot", "run", F.lit(0).cast("long").alias("part"), "i", "v")
+    own = stored(meet(one, one), "own-neighbours")
+    if len(pivots) == 1 and sizes.agg(F.max("runs")).first()[0] in (None, 1):
+        return own.select("i", "j")
+    bound = own.groupBy("i").agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("d")).where(F.col("c") >= k).select("i", F.col("d").alias("most"))
+    asks = blocks.withColumnRenamed("pivot", "own_pivot").withColumnRenamed("run", "own_run").join(bound, "i", "left")
+    asks = asks.crossJoin(F.broadcast(sizes))  # a row per pivot
+    least = F.greatest(F.lit(0.0), F.get("far", F.col("pivot")) * (1 - 1e-9) - F.col("radius") * (1 + 1e-9))
+    asks = asks.where(F.col("most").isNull() | (least < F.col("most")))
+    asks = asks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
+    asks = asks.where((F.col("pivot") != F.col("own_pivot")) | (F.col("run") != F.col("own_run")))
+    asks = stored(asks.select("pivot", "run", "i", "v", "h"), "asks")
+    parts = asks.groupBy("pivot", "run").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("parts"))
+    asks = asks.join(parts, ["pivot", "run"]).withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
+    seen = blocks.join(parts, ["pivot", "run"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    other = meet(asks.select("pivot", "run", "part", "i", "v"), seen.select("pivot", "run", "part", "i", "v"))
+    return own.select("i", "j").unionByName(other.select("i", "j"))
 
 
 def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, features: str = "features",
           keys=()) -> DataFrame:
     """M8: SMOTE to equal class counts (the minority is the smaller class).
 
-    For every minority point the k nearest of its ``neighbour_pairs`` by exact
-    distance; synthetic row = x + u * (neighbour - x), u ~ U(0, 1) from a seeded
+    For every minority point its k nearest by exact distance; synthetic row = x + u * (neighbour - x), u ~ U(0, 1) from a seeded
     hash; points are cycled so each makes ``base`` or one more sample.  ``keys``
     name each row, so the result does not depend on how rows are partitioned;
     without keys rows are numbered as they are stored.  A single minority point
