@@ -47,6 +47,8 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPES = frozenset("ul ol dl table div section article main body select menu aside nav header footer form".split())
+#: Block elements that a head cannot hold.
+BODY_TAGS = BLOCK_TAGS - {"head", "title", "html"}
 CLOSES_P = BLOCK_TAGS - {"button", "label", "option", "select", "textarea", "optgroup", "title", "head", "caption", "legend"}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -113,6 +115,13 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
+        if tag == "body" or tag in BODY_TAGS:  # </head> may be left out
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == "head":
+                    pop(i)
+                    break
+                if stack[i][0] in DARK_TAGS:
+                    break
         if tag in BLOCK_TAGS:
             flush()
             if tag in CLOSES_P:

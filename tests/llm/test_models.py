@@ -89,6 +89,13 @@ def test_blocks():
     assert leaf_blocks("") == [] and leaf_blocks("<p><") != [] and leaf_blocks("<<>>a</p></p>") != []
 
 
+def test_head_without_end_tag():
+    for start in ("<body><p>", "<p>", "<main><p>"):
+        page = f"<html><head><title>t</title><meta charset=utf-8>{start}One.</p><div>Two.</div></html>"
+        assert [b.text for b in html_crf.leaf_blocks(page)] == ["One.", "Two."]
+    assert [b.text for b in html_crf.leaf_blocks("<head><noscript><p>no</p></noscript><svg><p>no</p></svg></head><p>One.")] == ["One."]
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 
