@@ -29,6 +29,8 @@ from .textkit import documents
 
 TRAIN_PAGES = 200
 LAYOUTS = 500
+#: Blocks of a training page and characters of a block that layouts are composed of.
+TRAIN_BLOCKS, TRAIN_CHARS = 40, 2000
 STEPS, RATE, DECAY = 120, 0.15, 1e-3
 REST, MAIN = 0, 1
 
@@ -165,7 +167,7 @@ def text_features(block: Block, place: int, total: int) -> list[str]:
     share = min(1.0, block.linked / n)
     return [
         "bias", f"words={min(8, words.bit_length())}", f"links={int(4 * share)}", f"stops={min(4, t.count('.') + t.count('!') + t.count('?'))}",
-        f"ends={t[-1] in '.!?:'}", f"commas={min(3, t.count(','))}", f"upper={t[0].isupper()}", f"copyright={'©' in t}", f"digits={min(3, 10 * sum(c.isdigit() for c in t[:200]) // min(n, 200))}",
+        f"ends={t[-1] in '.!?:'}", f"commas={min(3, t.count(','))}", f"upper={t[0].isupper()}", f"copyright={'©' in t}", f"digits={min(3, 10 * sum(map(str.isdigit, t)) // n)}",
         f"marks={any(c in t for c in '|»›•')}", f"first={place < 2}", f"last={place >= total - 2}",
     ]
 
@@ -372,9 +374,11 @@ def labelled_pages(texts: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
     return out
 
 
-def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS) -> Model:
+def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS, max_blocks: int = TRAIN_BLOCKS,
+        max_chars: int = TRAIN_CHARS) -> Model:
     """A model trained on composed pages with text of at most ``max_pages`` pages of
-    ``pages`` (page_id, html), the first by a seeded hash of the id.  Without any
+    ``pages`` (page_id, html), the first by a seeded hash of the id, and of these of the
+    first ``max_chars`` characters of the first ``max_blocks`` blocks.  Without any
     page, a plain sentence stands in."""
     chosen = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct()
     chosen = hashed_head(chosen, max_pages, 3, "page_id")
@@ -382,7 +386,7 @@ def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS)
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[b.text[:2000] for b in leaf_blocks(x or "")][:40] for x in batch.to_pylist()], pa.list_(pa.string()))
+            yield pa.array([[b.text[:max_chars] for b in leaf_blocks(x or "")[:max_blocks]] for x in batch.to_pylist()], pa.list_(pa.string()))
 
     # max_pages ids: a proven bound
     rows = pages.join(F.broadcast(chosen), "page_id").select("page_id", some(F.col("html").cast("string")).alias("t")).orderBy("page_id").collect()

@@ -96,6 +96,11 @@ def test_head_without_end_tag():
     assert [b.text for b in html_crf.leaf_blocks("<head><noscript><p>no</p></noscript><svg><p>no</p></svg></head><p>One.")] == ["One."]
 
 
+def test_digits_of_the_whole_block_count():
+    block = html_crf.Block("x" * 300 + "7" * 700, ())
+    assert "digits=3" in html_crf.text_features(block, 0, 1)
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 
