@@ -344,12 +344,15 @@ def _exact(dense: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFram
     pairs = stored(pairs, "exact-pairs")
     merged = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
     one = pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("a", "b")).alias("p"))
+    if one.isEmpty():
+        return roots
     links = stored(confirm(one.select("p.a", "p.b"), texts, k, percent), "exact-links")
-    now = components(merged.unionByName(links))
+    now = roots if links.isEmpty() else components(merged.unionByName(links))
     ra, rb = (now.select(F.col("node").alias(x), F.col("root").alias(f"n{x}")) for x in "ab")
     apart = pairs.join(one.select("p.a", "p.b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     apart = apart.where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
-    return components(merged.unionByName(links).unionByName(confirm(apart, texts, k, percent)))
+    rest = stored(confirm(apart, texts, k, percent), "exact-links")
+    return now if rest.isEmpty() else components(merged.unionByName(links).unionByName(rest))
 
 
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
