@@ -293,12 +293,13 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component_id, kept, root) of every row of ``docs`` (doc_id, text).
 
     A null or empty text, or one without words, has no set and is its own
     component.  Repeated rows share node and component; a row with a null doc_id
     gets its component's smallest id (null if there is none) and is kept only
-    then.  Other columns are not read.  The smallest doc_id stands for a component.
+    then.  Other columns are not read.  The smallest doc_id stands for a component;
+    root tells apart components of one doc_id (null without a set).
     """
     sketches = stored(sketch(docs, k), "sketches")
     nodes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(
@@ -330,10 +331,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = MIN_PERCEN
 
     component = nodes.join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = component.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = component.join(smallest, "root").select("digest", "component_id")
+    component = component.join(smallest, "root").select("digest", "component_id", "root")
     out = sketches.drop("signature").join(component, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "root")
 
 
 def _exact(dense: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
@@ -356,4 +357,4 @@ def _exact(dense: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFram
 
 
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash", "root")

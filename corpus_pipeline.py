@@ -34,10 +34,12 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of repeated
+    """The document of the smallest id of each group of near duplicates; of the group's
     rows with that id one."""
     found = lsh_forest.near_duplicates(docs, SHINGLE, PERCENT).where("kept")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
+    # unrelated texts of one id are groups of their own
+    group = F.struct("root", F.when(F.col("root").isNull(), F.col("text_hash")))
+    ids = found.groupBy(F.col("doc_id").alias("_id"), group.alias("_group")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")).drop("_group")
     # rows without an id have nothing in common but that: their texts tell them apart
     ids = ids.where("_id IS NOT NULL").unionByName(found.where("doc_id IS NULL").groupBy("text_hash").agg(F.count("*").alias("_n")).select(
         F.lit(None).cast("long").alias("_id"), F.col("text_hash").alias("_hash"), "_n"))

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from contrail.llm import queries
 
-from .conftest import HARD
+from .conftest import HARD, frame
 
 
 def test_stages_take_hard_rows(spark, hard, smoke_dir):
@@ -33,6 +33,15 @@ def test_repeated_rows_leave_one(spark, hard, smoke_dir):
     assert docs.count() == 2 and corpus_pipeline.without_near_copies(spark, docs, smoke_dir).count() == 1
 
 
+def test_unrelated_texts_of_one_id_stay(spark, smoke_dir):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in ((5, one), (5, one + " more"), (5, two), (5, ""), (5, None), (6, two))])
+    found = corpus_pipeline.without_near_copies(spark, docs, smoke_dir).collect()
+    texts = [r.text for r in found]
+    assert all(r.doc_id == 5 for r in found) and len(texts) == 4
+    assert sum((t or "").startswith(one) for t in texts) == 1 and {two, "", None} <= set(texts)
+
+
 def test_run(spark, smoke_dir):
     from contrail.llm.textkit import documents
 
