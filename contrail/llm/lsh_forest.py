@@ -3,12 +3,12 @@
 1. Every text becomes its set of distinct word shingles (64-bit hashes), a digest
    of that set and a MinHash signature.  Texts of one digest are one *node* (a
    partial aggregate, so a group of any number of copies is one row per task).
-2. Every node stands in TREES sorted orders of its signature, each beginning at
-   another value.  Nodes with a common prefix of the first of DEPTHS are a *region*;
+2. Every node stands in TREES trees over its signature, each beginning at
+   another value; their regions are hash buckets of fixed prefixes.  Nodes with a common prefix of the first of DEPTHS are a *region*;
    one of more than REGION nodes is looked at by the next depth, and so on, so
-   the depth adapts to how dense a region is.  Candidates are the neighbours by
-   longest common prefix: the nodes of a small region among themselves; in one
-   that is still large at the last depth the next NEIGHBOURS of the sorted order.
+   the depth adapts to how dense a region is.  Candidates are the nodes of a
+   small region among themselves; in one that is still large at the last depth
+   the next NEIGHBOURS in the order of a hash of the node, which is arbitrary.
    In every large region each node also meets its HUBS, the nodes that most
    orders put into large regions: the original that many copies derive from is
    nearer to all of them than they are to each other.  These pairs grow in
@@ -161,7 +161,7 @@ def _hubs(regions: DataFrame, hubs: int) -> DataFrame:
 
 
 def _neighbours(regions: DataFrame, neighbours: int) -> DataFrame:
-    """Each node with the next few of its region in the order of the nodes.
+    """Each node with the next few of its region in the order of a hash of the nodes.
 
     A region is dealt out in runs of about RUN nodes by ranges of a hash; a run
     also sees the first nodes of the next one, so no neighbour is lost between.
