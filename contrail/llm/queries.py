@@ -30,5 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_revisit_resolution": revisits.SQL, "op4_site_spread_lines": line_dedup.SQL, "op11_bit_sliced_search": ranked_search.SQL}
+    found = {"op2_revisit_resolution": revisits.SQL, "op4_site_spread_lines": line_dedup.SQL, "op11_bit_sliced_search": ranked_search.SQL, "op12_partenum_spelling": spelling.SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
