@@ -7,30 +7,28 @@ metrics, scoring.
   ``split_by="member"`` keeps a member's months on one side (no leakage).
 * Preprocessing is a Spark ML ``Pipeline`` (median imputer, standard scaler,
   mode fill + string index + one-hot, assembler) fitted on the training side.
-* SMOTE finds the k nearest minority rows of each point exactly, block by block
-  around seeded pivots, without blocks that cannot hold a nearer one; synthetic
-  rows are drawn on the segments with a seeded hash.
+* SMOTE finds the k nearest minority rows of each point exactly by a distributed
+  metric tree (``neighbours``); synthetic rows are drawn on the segments with a
+  seeded hash.
 * Metrics come from aggregates over (label, prediction, score); ROC/PR/AUC
   use the bucketed global order over distinct scores.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.types import NumericType, StringType, BooleanType
 
 from ..functions.exprs import risk_label, rnd
 from ..functions.ranking import ordered_cumsum
 from ..session import stored
+from .neighbours import nearest
 from .sampling import sample_order
 
 LABEL = "cancelled"
@@ -99,83 +97,10 @@ def fill_modes(df: DataFrame, cat: list[str]) -> DataFrame:
     return out
 
 
-#: Points of a block of the neighbour search, about.
+#: Samples that one row makes at once.
 RUN = 4096
 
 
-def nearest_of(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """(i, j, d) of the k rows of ``right`` (i, v) nearest to each of ``left``, itself
-    left out; d is the distance, ties go by j."""
-    right = right.sort_by("i")
-    ids, own = np.array(right["i"].to_pylist(), object), np.array(left["i"].to_pylist(), object)
-    x, y = (np.array(t["v"].to_pylist(), float).reshape(len(t), -1) for t in (left, right))
-    out = []
-    for at in range(0, len(x) if len(y) else 0, 256):
-        part = x[at : at + 256]
-        d = np.zeros((len(part), len(y)))
-        for c in range(part.shape[1]):
-            d += (part[:, c, None] - y[None, :, c]) ** 2
-        spot = np.searchsorted(ids, own[at : at + 256])
-        row = np.flatnonzero((spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == own[at : at + 256]))
-        d[row, spot[row]] = np.inf
-        n = min(k, len(y))
-        last = np.partition(d, n - 1, axis=1)[:, n - 1, None]
-        tied = d == last
-        taken = (d < last) | (tied & (np.cumsum(tied, 1) <= n - (d < last).sum(1, keepdims=True)))
-        i, j = np.nonzero(taken & (d < np.inf))
-        out.append(pa.table({"i": pa.array(own[at + i], pa.string()), "j": pa.array(ids[j], pa.string()), "d": np.sqrt(d[i, j])}))
-    none = pa.table({"i": pa.array([], pa.string()), "j": pa.array([], pa.string()), "d": pa.array([], pa.float64())})
-    return pa.concat_tables([none, *out])
-
-
-def neighbour_pairs(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(i, j): the k nearest of each of ``points`` (i string, v array) are among its partners.
-
-    Points belong to the nearest of seeded pivots, a pivot's are dealt out by a
-    hash into blocks of about RUN.  Each point first meets its own block; then,
-    as far as the triangle inequality leaves room for a nearer one than its k-th,
-    the other blocks.  So nothing is lost at any size; in many dimensions few
-    blocks are left out and the work nears the square of the points."""
-    n = points.count()
-    named = points.select("i", "v", F.xxhash64("i", F.lit(seed)).alias("h"))
-    # one pivot for RUN points
-    pivots = np.array([r["v"] for r in named.orderBy("h", "i").limit(max(1, -(-n // RUN))).collect()], float)
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def to_pivots(v: pa.Array) -> pa.Array:
-        rows = np.array(v.to_pylist(), float).reshape(len(v), -1)
-        return pa.array([np.sqrt(((pivots - x) ** 2).sum(1)).tolist() for x in rows], pa.list_(pa.float64()))
-
-    far = named.withColumn("far", to_pivots("v")).withColumn("near", F.array_min("far"))
-    far = far.withColumn("pivot", F.array_position("far", F.col("near")).cast("int") - 1)
-    sizes = far.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"), F.max("near").alias("radius"))
-    sizes = stored(sizes, "pivots")
-    blocks = stored(far.join(sizes.select("pivot", "runs"), "pivot").select(
-        "i", "v", "h", "far", "pivot", F.pmod("h", "runs").alias("run")), "blocks")
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        pair = left.groupBy("pivot", "run", "part").cogroup(right.groupBy("pivot", "run", "part"))
-        return pair.applyInArrow(lambda a, b: nearest_of(a, b, k), "i string, j string, d double")
-
-    one = blocks.select("pivot", "run", F.lit(0).cast("long").alias("part"), "i", "v")
-    own = stored(meet(one, one), "own-neighbours")
-    if len(pivots) == 1 and sizes.agg(F.max("runs")).first()[0] in (None, 1):
-        return own.select("i", "j")
-    bound = own.groupBy("i").agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("d")).where(F.col("c") >= k).select("i", F.col("d").alias("most"))
-    asks = blocks.withColumnRenamed("pivot", "own_pivot").withColumnRenamed("run", "own_run").join(bound, "i", "left")
-    asks = asks.crossJoin(F.broadcast(sizes))  # a row per pivot
-    least = F.greatest(F.lit(0.0), F.get("far", F.col("pivot")) * (1 - 1e-9) - F.col("radius") * (1 + 1e-9))
-    asks = asks.where(F.col("most").isNull() | (least < F.col("most")))
-    asks = asks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
-    asks = asks.where((F.col("pivot") != F.col("own_pivot")) | (F.col("run") != F.col("own_run")))
-    asks = stored(asks.select("pivot", "run", "i", "v", "h"), "asks")
-    parts = asks.groupBy("pivot", "run").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("parts"))
-    asks = asks.join(parts, ["pivot", "run"]).withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
-    seen = blocks.join(parts, ["pivot", "run"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    other = meet(asks.select("pivot", "run", "part", "i", "v"), seen.select("pivot", "run", "part", "i", "v"))
-    return own.select("i", "j").unionByName(other.select("i", "j"))
-
-
 def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, features: str = "features",
           keys=()) -> DataFrame:
     """M8: SMOTE to equal class counts (the minority is the smaller class).
@@ -198,12 +123,8 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
     # written once: the numbers hold, and the joins below read short plans
     mino = stored(df.where(F.col(label) == minority).select(name.alias("i"), vector_to_array(features).alias("v")),
                   "minority")
-    pairs = neighbour_pairs(mino, k, seed)
+    near = nearest(mino, k, seed).select("i", F.col("near")["j"].alias("js"))
     xi, xj = mino.select("i", F.col("v").alias("xi")), mino.select(F.col("i").alias("j"), F.col("v").alias("xj"))
-    far = F.aggregate(F.zip_with("xi", "xj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    ranked = pairs.join(xi, "i").join(xj, "j").select("i", "j", far.alias("d")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
-    near = ranked.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("r", "j")))["j"].alias("js"))  # at most k
     base, rem = divmod(need, n_min)
     # exact count without a global sort: every point makes `base` samples and
     # the `rem` points first in a seeded hash order make one more
@@ -214,7 +135,7 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
            # in two steps: no long array where few points make many samples
            .withColumn("first", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(RUN))))
            .withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("copies")) - 1))))
-    pick = F.pmod(F.xxhash64("i", "copy", F.lit(seed)), F.size("js")).cast("int")
+    pick = F.pmod(F.xxhash64("i", "copy", F.lit(seed)), F.greatest(F.size("js"), F.lit(1))).cast("int")
     gen = gen.select("i", "copy", F.coalesce(F.get("js", pick), F.col("i")).alias("j"),
                      (F.pmod(F.xxhash64("i", "copy", F.lit(seed + 2)), F.lit(1_000_000)) / 1_000_000.0).alias("u"))
     syn = gen.join(xi, "i").join(xj, "j").select(

@@ -100,17 +100,6 @@ def test_smote_does_not_depend_on_the_partitioning(spark):
     assert one == two
 
 
-def test_neighbour_pairs_are_linear_and_split_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(M, "RUN", 32)
-    rnd = np.random.default_rng(5)
-    pts = [[1.0, 2.0]] * 300 + rnd.normal(0, 1, (300, 2)).tolist()
-    df = spark.createDataFrame([(str(i), [float(x) for x in p]) for i, p in enumerate(pts)], "i string, v array<double>")
-    pairs = M.neighbour_pairs(df, 5)
-    assert pairs.count() <= 2 * 5 * 4 * len(pts)
-    assert pairs.where("i = j").count() == 0
-    assert pairs.select("i").distinct().count() == len(pts)
-
-
 def test_split_is_deterministic_and_member_grouped(spark):
     rows = [(m, y, mo, float(m % 7 == 0)) for m in range(200) for y in (1, 2) for mo in (1, 2, 3)]
     df = spark.createDataFrame(rows, "member_id long, year int, month int, cancelled double")
@@ -131,18 +120,3 @@ def test_split_keeps_class_shares_exactly(spark):
     assert train.count() == 240
     again = M.split(df.repartition(5))[1]
     assert sorted(map(tuple, test.collect())) == sorted(map(tuple, again.collect()))
-
-
-def test_neighbours_are_the_nearest(spark, monkeypatch):
-    monkeypatch.setattr(M, "RUN", 64)
-    rnd = np.random.default_rng(9)
-    x = np.concatenate([rnd.normal(size=(400, 8)), rnd.normal(6, 0.1, (100, 8)), np.tile(rnd.normal(size=8), (150, 1))])
-    points = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "i string, v array<double>")
-    found = {}
-    for r in M.neighbour_pairs(points, 5).collect():
-        assert r["i"] != r["j"]
-        found.setdefault(int(r["i"]), set()).add(int(r["j"]))
-    for i in range(len(x)):
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        true = np.sort(np.delete(d, i))[:5]
-        assert np.allclose(np.sort(d[list(found[i])])[:5], true)
