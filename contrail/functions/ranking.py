@@ -6,15 +6,17 @@ need a running total in global order, so they use ``ordered_cumsum``:
 
 1. collapse to one row per distinct order value (map-side combined, so a hot
    value is one row however many rows carry it);
-2. cut the value range into ``buckets`` ranges at approximate quantiles of
-   the distinct values (``percentile_approx``, per group when grouped);
-3. per-bucket totals (<= B rows) -> exclusive prefix over buckets (a window on
-   <= B rows), broadcast back (size bounded by B);
-4. running sum inside each bucket with ``partitionBy(bucket)``: every bucket
-   is its own task.
-
-The result is exact: the approximate split points only decide which task a
-value lands in, never its total.
+2. a range exchange on (group, value): each task gets one stretch of the order,
+   a group takes as many tasks as its share asks, and dealing out a value costs
+   the same whatever the number of tasks.  The result is written with the
+   task's number, which all later steps read (a lineage cut: the stretches are
+   the same for everyone and outlive executors);
+3. totals per (group, stretch), at most one row for each task and group, and
+   their exclusive prefix;
+4. running sum inside each stretch with ``partitionBy(group, stretch)``.
+
+The result is exact: the exchange only decides which task a value lands in,
+never its total.
 """
 
 from __future__ import annotations
@@ -22,57 +24,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Copies of the split points of a group, so that a hot group meets them in many tasks.
-SPLIT_SALTS = 16
+from ..session import stored
 
 
-def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, so that a global
-    order runs in as many tasks as any other exchange."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def bucketize(df: DataFrame, col: str, buckets: int | None = None, rel_err: float = 1e-3,
-              by: list[str] | None = None, out: str = "_bkt") -> DataFrame:
-    """Monotone range bucket id of ``col`` within each ``by`` group.
-
-    Split points are ``percentile_approx`` of the distinct values (per group:
-    one row of B-1 numbers per group, joined back; without groups a scalar
-    subquery).  The id is the number of split points below the value, so
-    equal values share a bucket and ids grow with the value.  Everything stays
-    in the plan: no driver round trip."""
-    by = list(by or [])
-    buckets = buckets or bucket_count(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(100, int(round(1.0 / rel_err)))
-    v = F.col(col).cast("double")
-    if by:
-        splits = df.groupBy(*by).agg(F.percentile_approx(v, probs, acc).alias("_splits"))
-        # one row per group; the join is salted, so no group meets its splits in one task
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT_SALTS - 1))).alias("_salt")
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(v), F.lit(SPLIT_SALTS)).cast("int"))
-        d = salted.join(splits.select("*", salts), [*by, "_salt"], "left").drop("_salt")
-    else:
-        d = df.withColumn("_splits", df.select(F.percentile_approx(v, probs, acc)).scalar())
-    ident = F.size(F.filter("_splits", lambda s: s < v))
-    return d.withColumn(out, F.when(v.isNull(), F.lit(buckets)).otherwise(ident)).drop("_splits")
+def in_stretches(df: DataFrame, by: list[str], col: str, stretches: int | None = None, out: str = "_bkt") -> DataFrame:
+    """``df`` dealt out by ranges of (``by``, ``col``) and stored, with the number of the
+    stretch: equal values share one, and inside a group numbers grow with the value
+    (null first).  Without ``stretches`` their number follows the size of the data."""
+    keys = [*by, col]
+    dealt = df.repartitionByRange(stretches, *keys) if stretches else df.repartitionByRange(*keys)
+    return stored(dealt.withColumn(out, F.spark_partition_id()), "order")
 
 
 def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending: bool = False,
-                   buckets: int | None = None, rel_err: float = 1e-3, by: list[str] | None = None) -> DataFrame:
+                   buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<w>`` of ``weights`` in ``order_col`` order,
     restarting for every ``by`` group.
 
     ``vc`` must hold one row per distinct (``by``, ``order_col``) (use
     ``value_counts`` first).  Returns vc's columns plus ``cum_<w>`` and the
-    group's total ``all_<w>``, both from the bucket totals.
+    group's total ``all_<w>``, both from the totals of the stretches.
     """
     by = list(by or [])
-    b = bucketize(vc, order_col, buckets, rel_err, by=by)
+    b = in_stretches(vc, by, order_col, buckets)
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
     totals = b.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
-    # <= buckets rows per group
+    # a row per task that holds rows of the group
     before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     offsets = totals.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
@@ -80,9 +58,8 @@ def ordered_cumsum(vc: DataFrame, order_col: str, weights: list[str], descending
                             *[F.sum(f"_t_{w}").over(group).alias(f"all_{w}") for w in weights])
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     within = Window.partitionBy(*by, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    # without groups the offsets table has at most `buckets` rows: broadcast;
-    # with groups AQE decides from its measured size
-    out = b.join(F.broadcast(offsets) if not by else offsets, [*by, "_bkt"])
+    # AQE decides from the measured size of the offsets
+    out = b.join(offsets, [*by, "_bkt"])
     return out.select(*vc.columns, *[(F.col(f"_o_{w}") + F.sum(w).over(within)).alias(f"cum_{w}")
                                      for w in weights], *[f"all_{w}" for w in weights])
 

@@ -75,30 +75,61 @@ def skew_rank(df: DataFrame, columns: list[str]) -> DataFrame:
             .orderBy(F.desc("skewness"), "column"))
 
 
-def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """S3: all pairwise Pearson r in one aggregate (pairwise-complete rows)."""
+def _corr_matrix(df: DataFrame, columns: list[str], value) -> DataFrame:
+    """(x, y, r) of all pairs from one aggregate of co-moments; ``value(a, b)`` is what
+    stands for column a beside b, rows where either is null do not count."""
     # the matrix is symmetric: aggregate the upper triangle and mirror it
     upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in upper])
+
+    def r(x, y):
+        both = x.isNotNull() & y.isNotNull()
+        spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
+    agg = df.agg(*[r(value(a, b), value(b, a)).alias(f"{a}|{b}") for a, b in upper])
     long = agg.unpivot([], [f"{a}|{b}" for a, b in upper], "pair", "r").select(
         F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "r")
     mirror = long.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
     return long.unionByName(mirror)
 
 
+def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """S3: all pairwise Pearson r in one aggregate, each over the rows where both are
+    known; null where one does not vary."""
+    return _corr_matrix(df, columns, lambda a, _: F.col(a).cast("double"))
+
+
+def null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Rows without a value, of each column (one row)."""
+    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+
+
 def spearman_matrix(df: DataFrame, columns: list[str], key: str = "member_id") -> DataFrame:
-    """Pearson of tie-averaged ranks (ranks over each column's non-null
-    values).  All columns are ranked in one pass: long format, distinct
-    (column, value) counts, the bucketed order per column, then one pivot back
-    to a row per key."""
-    long = (df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-            .unpivot([key], columns, "column", "value").filter(F.col("value").isNotNull()))
+    """Spearman of every pair over the rows where both are known: Pearson of
+    tie-averaged ranks that are taken among those rows.
+
+    A column's ranks among the rows that know another column differ from its own
+    only where the other one has nulls, so it is ranked once, and once more for
+    each other column with nulls.  All rankings are one pass: long format, distinct
+    (ranking, value) counts, the range order per ranking, then one pivot back to a
+    row per key.  ``key`` is unique."""
+    nulls = null_counts(df, columns)
+    gaps = [c for c in columns if nulls[c]]
+    names = {(c, g): f"r{i}" for i, (c, g) in enumerate((c, g) for c in columns for g in [None, *[x for x in gaps if x != c]])}
+    known = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    wide = known.select(key, *[(F.col(c) if g is None else F.when(F.col(g).isNotNull(), F.col(c))).alias(n)
+                               for (c, g), n in names.items()])
+    long = wide.unpivot([key], list(names.values()), "column", "value").filter(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     cum = ordered_cumsum(vc, "value", ["n"], by=["column"])
     ranks = cum.select("column", "value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
-    wide = (long.join(ranks, ["column", "value"])
-            .groupBy(key).pivot("column", columns).agg(F.first("rank")))
-    return pearson_matrix(wide, columns)
+    ranked = (long.join(ranks, ["column", "value"])
+              .groupBy(key).pivot("column", list(names.values())).agg(F.first("rank")))
+
+    def ranks_of(c: str, other: str):
+        return F.col(names[c, other if other in gaps and other != c else None])
+
+    return _corr_matrix(ranked, columns, ranks_of)
 
 
 def target_correlates(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -136,28 +167,22 @@ def welch_t(df: DataFrame, columns: list[str], group: str, a_value=0, b_value=1)
 
 def mann_whitney(df: DataFrame, columns: list[str], group: str, a_value=0, b_value=1) -> DataFrame:
     """Mann-Whitney U of group a, tie-corrected normal z with continuity
-    correction (two-sided).  Pooled ranks per feature come from the bucketed
-    global order; the rank sum is an aggregate over distinct values."""
-    out = []
-    for c in columns:
-        d = df.select(F.col(group).alias("_g"), F.col(c).cast("double").alias("value")) \
-            .filter(F.col("value").isNotNull() & F.col("_g").isin(a_value, b_value))
-        vc = (d.groupBy("value")
-              .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_g") == a_value).alias("n_a")))
-        cum = ordered_cumsum(vc, "value", ["n"])
-        rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0
-        s = cum.agg(F.sum(F.col("n_a") * rank).alias("r_a"), F.sum("n_a").alias("n_a"),
-                    F.sum("n").alias("n"),
-                    F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
-        na, n = F.col("n_a").cast("double"), F.col("n").cast("double")
-        nb = n - na
-        u = F.col("r_a") - na * (na + 1) / 2.0
-        mu = na * nb / 2.0
-        sigma = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-        u_big = F.greatest(u, na * nb - u)
-        out.append(s.select(F.lit(c).alias("feature"), u.alias("u_stat"),
-                            F.try_divide(u_big - mu - 0.5, sigma).alias("z")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    correction (two-sided).  The pooled ranks of all features come from one range
+    order of the long format; the rank sums are aggregates over distinct values."""
+    long = (df.filter(F.col(group).isin(a_value, b_value))
+            .select(F.col(group).alias("_g"), *[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot(["_g"], columns, "feature", "value").filter(F.col("value").isNotNull()))
+    vc = (long.groupBy("feature", "value")
+          .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_g") == a_value).alias("n_a")))
+    cum = ordered_cumsum(vc, "value", ["n"], by=["feature"])
+    rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0
+    s = cum.groupBy("feature").agg(F.sum(F.col("n_a") * rank).alias("r_a"), F.sum("n_a").alias("n_a"), F.sum("n").alias("n"),
+                                   F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
+    na, n = F.col("n_a").cast("double"), F.col("n").cast("double")
+    nb = n - na
+    u = F.col("r_a") - na * (na + 1) / 2.0
+    sigma = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    return s.select("feature", u.alias("u_stat"), F.try_divide(F.greatest(u, na * nb - u) - na * nb / 2.0 - 0.5, sigma).alias("z"))
 
 
 def chi_square(df: DataFrame, columns: list[str], target: str, target_levels=(0, 1)) -> DataFrame:

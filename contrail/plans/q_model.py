@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import RISK_LEVELS
 from ..operators import churn as M
 from ..operators import clustering as K
+from ..operators import statistics as S
+from ..operators.neighbours import nearest
 from ..operators.sampling import sample_order_sql
 from ..functions.ranking import quantile_array
 from ..session import stored
@@ -38,6 +40,22 @@ def cluster_inputs(L):
     return K.cluster_inputs(Models(L).features())
 
 
+@register("cluster_skew", query("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", skewness(CAST({c} AS DOUBLE)) AS skewness FROM feat_comp" for c in K.CLUSTER_FEATURES),
+    _FEAT_ROWS, _FEAT_ALL), doubles="skewness", digits=4)
+def cluster_skew(L):
+    """The 15 clustering features ranked by skewness, before their log1p."""
+    return S.skew_rank(Models(L).features(), K.CLUSTER_FEATURES)
+
+
+@register("cluster_correlation", query("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM cin" for a in K.CLUSTER_FEATURES for b in K.CLUSTER_FEATURES),
+    _FEAT_ROWS, _FEAT_ALL), doubles="r", digits=5)
+def cluster_correlation(L):
+    """S3: Pearson matrix of the 15 clustering inputs."""
+    return S.pearson_matrix(K.cluster_inputs(Models(L).features()), K.CLUSTER_FEATURES)
+
+
 def _robust_sql():
     cols = []
     for c in K.CLUSTER_FEATURES:
@@ -214,6 +232,27 @@ def smote(L):
     return before.unionByName(after)
 
 
+NEAR_COLS = ["total_flights", "total_distance", "total_points", "points_redeemed"]
+
+
+@register("minority_neighbours", query("""
+SELECT member_id, rank, neighbour, sqrt(d) AS distance FROM (
+  SELECT a.member_id, b.member_id AS neighbour, d,
+    CAST(row_number() OVER (PARTITION BY a.member_id ORDER BY d, b.member_id) AS INTEGER) AS rank
+  FROM gone a JOIN gone b ON a.member_id <> b.member_id,
+    LATERAL (SELECT """ + " + ".join(f"power(a.{c} - b.{c}, 2)" for c in NEAR_COLS) + """ AS d)) WHERE rank <= 5""",
+    "gone AS (SELECT * FROM customers WHERE cancelled = 1)"), doubles="distance")
+def minority_neighbours(L):
+    """M8: the five nearest cancelled members of each cancelled member by their totals (the
+    search that balances the classes, on whole numbers, so that ties are exact)."""
+    gone = L.customers.where("cancelled = 1")
+    points = gone.select(F.lpad(F.col("member_id").cast("string"), 20, "0").alias("i"),
+                         F.array(*[F.col(c).cast("double") for c in NEAR_COLS]).alias("v"))
+    near = nearest(points, 5).select("i", F.posexplode("near").alias("rank", "p"))
+    return near.select(F.col("i").cast("long").alias("member_id"), (F.col("rank") + 1).alias("rank"),
+                       F.col("p.j").cast("long").alias("neighbour"), F.col("p.d").alias("distance"))
+
+
 @register("model_compare")
 def model_compare(L):
     """M9-M12 + M14: each classifier trained on the balanced side, tested on

@@ -12,6 +12,22 @@ from .registry import register
 CF_COLS = ["clv", "total_flights", "total_distance", "total_points", "points_redeemed", "active_months",
            "redemption_rate", "cancelled"]
 TEST_COLS = CF_COLS[:-1]
+#: The members' behaviour and their salary, which some do not tell.
+CORR_COLS = [*CF_COLS, "salary"]
+#: Numeric columns of the cleaned member feed and of the raw activity feed.
+MEMBER_NUM = ["member_id", "salary", "clv", "enrollment_year", "enrollment_month", "cancellation_year", "cancellation_month"]
+ACTIVITY_NUM = ["member_id", "year", "month", "total_flights", "distance", "points_accumulated", "points_redeemed",
+                "dollar_cost_points_redeemed"]
+_CORR = "cf_salary AS (SELECT c.*, m.salary FROM cust_flights c LEFT JOIN members m USING (member_id))"
+
+
+def _with_salary(L):
+    return L.customer_flights.join(L.members.select("member_id", "salary"), "member_id", "left")
+
+
+def _corr_sql(columns, table):
+    return _u([f"SELECT '{a}' AS x, '{b}' AS y, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM {table}"
+               for a in columns for b in columns])
 CHI_COLS = ["loyalty_card", "gender", "education", "marital_status"]
 TREND_PAIRS = [("clv", "total_flights"), ("clv", "total_distance"), ("clv", "total_points"),
                ("total_flights", "total_points"), ("total_distance", "points_redeemed"),
@@ -47,34 +63,47 @@ def skew_rank(L):
     return S.skew_rank(S.member_variables(L), S.SUMMARY_VARS)
 
 
-@register("pearson_matrix", query(_u([
-    f"SELECT '{a}' AS x, '{b}' AS y, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM cust_flights"
-    for a in CF_COLS for b in CF_COLS])), doubles="r")
+@register("pearson_matrix", query(_corr_sql(CORR_COLS, "cf_salary"), _CORR), doubles="r")
 def pearson_matrix(L):
-    """S3: Pearson matrix of the member behaviour metrics."""
-    return S.pearson_matrix(L.customer_flights, CF_COLS)
+    """S3: Pearson matrix of the member behaviour metrics and salary (pairwise-complete)."""
+    return S.pearson_matrix(_with_salary(L), CORR_COLS)
+
 
+@register("pearson_members", query(_corr_sql(MEMBER_NUM, "members_clean")), doubles="r")
+def pearson_members(L):
+    """S3: Pearson matrix of the member feed's numeric columns (pairwise-complete)."""
+    return S.pearson_matrix(L.members_clean, MEMBER_NUM)
 
-_RANKED = "cf_ranked AS (SELECT member_id, " + ", ".join(
-    f"CASE WHEN {c} IS NULL THEN NULL ELSE rank() OVER (ORDER BY {c}) "
-    f"+ (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in CF_COLS) + " FROM cust_flights)"
+
+@register("pearson_activity", query(_corr_sql(ACTIVITY_NUM, "activity_raw")), doubles="r")
+def pearson_activity(L):
+    """S3: Pearson matrix of the raw activity feed's numeric columns."""
+    return S.pearson_matrix(L.activity_raw, ACTIVITY_NUM)
+
+
+def _spearman_sql():
+    parts = []
+    for a in CORR_COLS:
+        for b in CORR_COLS:
+            rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, corr(ra, rb) AS r FROM (SELECT {rank.format(a)} AS ra, "
+                         f"{rank.format(b)} AS rb FROM cf_salary WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+    return _u(parts)
 
 
-@register("spearman_matrix", query(_u([
-    f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM cf_ranked"
-    for a in CF_COLS for b in CF_COLS]), _RANKED), doubles="r")
+@register("spearman_matrix", query(_spearman_sql(), _CORR), doubles="r")
 def spearman_matrix(L):
-    """Spearman matrix (tie-averaged ranks)."""
-    return S.spearman_matrix(L.customer_flights, CF_COLS)
+    """Spearman matrix (tie-averaged ranks, taken for each pair among the rows that know both)."""
+    return S.spearman_matrix(_with_salary(L), CORR_COLS)
 
 
 @register("churn_correlates", query("""
 SELECT feature, r, abs(r) AS abs_r, CASE WHEN r > 0 THEN 'up' ELSE 'down' END AS direction FROM (""" + _u([
-    f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(cancelled AS DOUBLE)) AS r FROM cust_flights"
-    for c in TEST_COLS]) + ") t"), doubles="r abs_r")
+    f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(cancelled AS DOUBLE)) AS r FROM cf_salary"
+    for c in [*TEST_COLS, "salary"]]) + ") t", _CORR), doubles="r abs_r")
 def churn_correlates(L):
-    """Correlates of cancellation ranked by |r|."""
-    return S.target_correlates(L.customer_flights, TEST_COLS, "cancelled")
+    """Correlates of cancellation, salary among them, ranked by |r|."""
+    return S.target_correlates(_with_salary(L), [*TEST_COLS, "salary"], "cancelled")
 
 
 def _welch_sql():

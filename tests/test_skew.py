@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.functions.ranking import exact_quantiles, ordered_cumsum, value_counts
+from contrail.functions.ranking import exact_quantiles, in_stretches, ordered_cumsum, value_counts
 from contrail.operators import cleaning as C
 from contrail.sources import files
 
@@ -46,11 +46,12 @@ def test_hot_member_month_rollup(spark):
     assert m.count() == 1 + 2998
 
 
-def test_grouped_quantiles_never_exchange_on_the_group_alone(spark):
-    import re
-    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "cast(id AS double) AS x")
-    plan = exact_quantiles(df, "x", [0.5], by=["g"])._jdf.queryExecution().executedPlan().toString()
-    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
-    big = [k for k in keys if len(re.findall(r"#", k)) == 1]
-    # only aggregates of one row per group and task, or of the bucket totals, go by the group alone
-    assert plan.count("Window [max(cum_n") == 0 and len(big) < len(keys)
+def test_a_hot_group_is_spread_as_its_share_asks(spark):
+    """Half of all distinct values belong to one group: it takes about half of the tasks."""
+    df = spark.range(8000).selectExpr("if(id % 2 = 0, 'hot', concat('g', id % 100)) AS g", "cast(id AS double) AS x")
+    for stretches in (8, 32):
+        tasks = {r["g"]: r["n"] for r in in_stretches(df, ["g"], "x", stretches).groupBy("g").agg(F.countDistinct("_bkt").alias("n")).collect()}
+        assert 0.35 * stretches <= tasks["hot"] <= 0.65 * stretches + 1
+        assert all(n <= 2 for g, n in tasks.items() if g != "hot")
+    cum = ordered_cumsum(df.withColumn("n", F.lit(1)), "x", ["n"], by=["g"], buckets=32).where("g = 'hot'").orderBy("x").collect()
+    assert [r["cum_n"] for r in cum] == list(range(1, 4001)) and {r["all_n"] for r in cum} == {4000}

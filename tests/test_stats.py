@@ -99,3 +99,22 @@ def test_binary_metrics_and_report(spark):
     assert m.accuracy == pytest.approx(0.6) and m.precision == pytest.approx(0.5) and m.recall == pytest.approx(0.5)
     rep = {r["class"]: r for r in M.classification_report(df).collect()}
     assert rep["1"].support == 2 and rep["0"].recall == pytest.approx(2 / 3)
+
+
+def test_correlations_are_pairwise_complete(spark):
+    """Two columns with nulls of their own, ties and a constant column, against pandas."""
+    r = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": r.integers(0, 9, 200), "b": r.normal(size=200), "c": r.normal(size=200), "d": r.integers(0, 4, 200)}, dtype=float)
+    pdf["b"] += pdf["a"]
+    pdf.loc[r.random(200) < 0.2, "b"] = None
+    pdf.loc[r.random(200) < 0.3, "c"] = None
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(pdf.to_numpy())]
+    df = spark.createDataFrame(rows, "member_id long, a double, b double, c double, d double")
+    for method, make in (("pearson", S.pearson_matrix), ("spearman", S.spearman_matrix)):
+        want = pdf.corr(method=method)
+        got = {(x["x"], x["y"]): x["r"] for x in make(df, list("abcd")).collect()}
+        assert len(got) == 16
+        for (x, y), value in got.items():
+            assert value == pytest.approx(want.loc[x, y], abs=1e-12)
+    flat = df.withColumn("d", F.lit(1.0))
+    assert {x["r"] for x in S.pearson_matrix(flat, ["a", "d"]).collect() if "d" in (x["x"], x["y"])} == {None}
