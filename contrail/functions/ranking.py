@@ -92,16 +92,20 @@ def quantile_array(df: DataFrame, col: str, probs: list[float]):
     return q.select(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).scalar()
 
 
-def column_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> dict:
-    """Quantiles of several columns in ONE distributed pass (long format,
-    grouped by column).  Returns {column: [scalar Column per prob]}."""
+def quantile_values(df: DataFrame, spec: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns in ONE distributed pass (long format,
+    grouped by column), as numbers: {column: [value per prob]}, None without values."""
     cols = list(spec)
     probs = sorted({p for ps in spec.values() for p in ps})
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    # one row per column (bounded by len(spec)), read once and used as literals
+    # one row per column (bounded by len(spec))
     rows = {r["column"]: r for r in exact_quantiles(long, "value", probs, by=["column"]).collect()}
-    return {c: [F.lit(rows[c][f"q{probs.index(p)}"]).cast("double") if c in rows else F.lit(None).cast("double")
-                for p in spec[c]] for c in cols}
+    return {c: [rows[c][f"q{probs.index(p)}"] if c in rows else None for p in spec[c]] for c in cols}
+
+
+def column_quantiles(df: DataFrame, spec: dict[str, list[float]]) -> dict:
+    """``quantile_values`` as literals: {column: [scalar Column per prob]}."""
+    return {c: [F.lit(v).cast("double") for v in vs] for c, vs in quantile_values(df, spec).items()}
 
 
 def value_counts(df: DataFrame, col: str, weights: dict | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ metrics, scoring.
   the exact share (bucketed global order, no window over a class); reruns give
   the same split on any layout.
   ``split_by="member"`` keeps a member's months on one side (no leakage).
-* Preprocessing is a Spark ML ``Pipeline`` (median imputer, standard scaler,
-  mode fill + string index + one-hot, assembler) fitted on the training side.
+* Preprocessing is a Spark ML ``Pipeline`` (exact median, population scaling, mode
+  fill of ``prepare``; string index, one-hot, assembler) fitted on the training side.
 * SMOTE finds the k nearest minority rows of each point exactly by a distributed
   metric tree (``neighbours``); synthetic rows are drawn on the segments with a
   seeded hash.
@@ -19,16 +19,17 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, BooleanType
 
-from ..functions.exprs import risk_label, rnd
+from ..functions.exprs import RISK_LEVELS, risk_label, rnd
 from ..functions.ranking import ordered_cumsum
 from ..session import stored
 from .neighbours import nearest
+from .prepare import MedianImputer, ModeImputer, PopulationScaler
 from .sampling import sample_order
 
 LABEL = "cancelled"
@@ -73,30 +74,18 @@ def split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, split_by: s
 def preprocessor(num: list[str], cat: list[str]) -> Pipeline:
     """M3-M7: median impute + scale numerics; mode fill, index and one-hot
     categories (unseen levels kept in an extra slot); assemble."""
-    imp_out = [f"{c}__imp" for c in num]
-    stages = [Imputer(strategy="median", inputCols=num, outputCols=imp_out),
-              VectorAssembler(inputCols=imp_out, outputCol="_num_vec", handleInvalid="keep"),
-              StandardScaler(withMean=True, withStd=True, inputCol="_num_vec", outputCol="_num_scaled")]
-    idx_out = [f"{c}__idx" for c in cat]
-    oh_out = [f"{c}__oh" for c in cat]
+    scaled, oh = [f"{c}__scl" for c in num], [f"{c}__oh" for c in cat]
+    stages = [MedianImputer(num, [f"{c}__imp" for c in num]), PopulationScaler([f"{c}__imp" for c in num], scaled)]
     if cat:
-        stages += [StringIndexer(inputCols=cat, outputCols=idx_out, handleInvalid="keep",
+        filled, idx = [f"{c}__mode" for c in cat], [f"{c}__idx" for c in cat]
+        stages += [ModeImputer(cat, filled),
+                   StringIndexer(inputCols=filled, outputCols=idx, handleInvalid="keep",
                                  stringOrderType="frequencyDesc"),
-                   OneHotEncoder(inputCols=idx_out, outputCols=oh_out, handleInvalid="keep", dropLast=False)]
-    stages.append(VectorAssembler(inputCols=["_num_scaled", *oh_out], outputCol="features"))
+                   OneHotEncoder(inputCols=idx, outputCols=oh, handleInvalid="keep", dropLast=False)]
+    stages.append(VectorAssembler(inputCols=[*scaled, *oh], outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=stages)
 
 
-def fill_modes(df: DataFrame, cat: list[str]) -> DataFrame:
-    """M5: most frequent value per category column fills its nulls (scalar)."""
-    out = df
-    for c in cat:
-        mode = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")) \
-            .orderBy(F.desc("n"), c).limit(1).select(c).scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c), mode))
-    return out
-
-
 #: Samples that one row makes at once.
 RUN = 4096
 
@@ -268,8 +257,8 @@ def feature_names(model: PipelineModel, vec_col: str = "features", df: DataFrame
 def tidy_feature(name: str) -> str:
     """Strip pipeline suffixes, underscores to spaces, title case."""
     import re
-    n = re.sub(r"__(imp|idx|oh)", "", name)
-    n = n.replace("_num_scaled_", "").replace("_", " ")
+    n = re.sub(r"__(imp|scl|mode|idx|oh)", "", name)
+    n = n.replace("_", " ")
     return n.strip().title()
 
 
@@ -296,3 +285,24 @@ def risk_action(p) -> tuple:
            .when(p < 0.70, "Win back interest: a cheaper flight or extra points for a while")
            .otherwise("Call now: a personal offer such as points or a step up in tier"))
     return pred, act
+
+
+def risk_counts(scored: DataFrame) -> DataFrame:
+    """Members per risk category in fixed order (zero-filled), share and mean CLV."""
+    order = [f"{x} Risk" for x in RISK_LEVELS]
+    wide = scored.groupBy().pivot("risk_category", order).count().fillna(0, order)
+    total = scored.select(F.count(F.lit(1))).scalar()
+    clv = scored.groupBy("risk_category").agg(F.avg("clv").alias("avg_clv"))
+    return (wide.unpivot([], order, "risk_category", "members").withColumn("share_pct", F.col("members") * 100.0 / total)
+            .join(clv, "risk_category", "left"))
+
+
+def risk_by_tier(scored: DataFrame) -> DataFrame:
+    """Risk category x tier counts."""
+    return scored.groupBy("loyalty_card", "risk_category").agg(F.count(F.lit(1)).alias("members"))
+
+
+def prediction_report(scored: DataFrame) -> DataFrame:
+    """A3 + G12: every member's score, profile, plain-language prediction and action."""
+    prediction, action = risk_action("churn_probability")
+    return scored.select("*", prediction.alias("prediction"), action.alias("action"))

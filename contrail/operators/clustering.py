@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -216,11 +215,66 @@ def kmeans_best(data: DataFrame, k: int, restarts: int = 20, seed: int = 42, col
     return kmeans_sweep(data, [k], restarts, seed, col)[k]
 
 
+#: Rows that the silhouette is taken over, as in the analysed notebook, and rows of one block.
+SILHOUETTE_ROWS, BLOCK = 10_000, 512
+
+
+def _block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of each row of a pair of blocks: the sum of its distances to the other block's rows
+    of each cluster, and how many there are."""
+    out = []
+    both = [(left, right)] if len(left) and len(right) and left["block"][0] == right["block"][0] else [(left, right), (right, left)]
+    for a, b in both:
+        if not len(a) or not len(b):
+            continue
+        x, y = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (a, b))
+        d = np.sqrt(sum((x[:, c, None] - y[None, :, c]) ** 2 for c in range(x.shape[1])))
+        names = b["cluster"].to_pylist()
+        for name in sorted(set(names)):
+            own = np.array([n == name for n in names])
+            out.append(pa.table({"row": a["row"], "cluster": a["cluster"], "other": pa.array([name] * len(a), pa.string()),
+                                 "total": pa.array(d[:, own].sum(1)), "n": pa.array(np.full(len(a), own.sum(), np.int64))}))
+    return pa.concat_tables(out)
+
+
+def silhouettes(points: DataFrame) -> DataFrame:
+    """K5: (row, cluster, silhouette) of each of ``points`` (cluster, v array<double>; a
+    sample of bounded size) by plain Euclidean distances.
+
+    Rows are dealt to blocks; each pair of blocks meets once and gives partial sums of
+    distances by cluster, which aggregates add up.  A row alone in its cluster has 0;
+    with one cluster there is no other to compare with, and all are null."""
+    rows = stored(points.select(F.col("cluster").cast("string").alias("cluster"), "v").withColumn("row", F.monotonically_increasing_id()), "silhouette")
+    blocks = -(-rows.count() // BLOCK) or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    left = rows.withColumn("a", F.col("block")).withColumn("b", F.explode(F.sequence("block", F.lit(blocks - 1))))
+    right = rows.withColumn("b", F.col("block")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
+        _block_sums, "row long, cluster string, other string, total double, n long")
+    each = sums.groupBy("row", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    own = F.col("cluster") == F.col("other")
+    per = each.groupBy("row", "cluster").agg(
+        F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return per.select("row", "cluster", F.when(F.col("b").isNotNull(), F.when(F.col("a").isNull(), 0.0).otherwise(s)).alias("silhouette"))
+
+
+def silhouette(pred: DataFrame, col: str = "pca", sample_size: int = SILHOUETTE_ROWS, seed: int = 42) -> float:
+    """K5: mean Euclidean silhouette over ``sample_size`` rows, the first by a seeded hash of
+    the vector (all rows, if they are fewer); NaN with one cluster."""
+    points = pred.select("cluster", vector_to_array(col).alias("v"))
+    points = points.withColumn("h", F.xxhash64("v", F.lit(seed))).orderBy("h", "cluster").limit(sample_size)
+    found = silhouettes(points).agg(F.avg("silhouette")).first()[0]
+    return math.nan if found is None else float(found)
+
+
 def centroid_metrics(pred: DataFrame, model: Centroids, col: str = "pca") -> dict:
-    """K5-K7: silhouette (squared Euclidean), Davies-Bouldin, Calinski-Harabasz."""
+    """K5-K7: silhouette (Euclidean, on a seeded sample), Davies-Bouldin, Calinski-Harabasz."""
     centers = [np.asarray(c, dtype=float) for c in model.clusterCenters()]
     k = len(centers)
-    sil = ClusteringEvaluator(featuresCol=col, predictionCol="cluster").evaluate(pred)
+    sil = silhouette(pred, col)
     arr = pred.select("cluster", vector_to_array(col).alias("v"))
     cent = pred.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
                                              "cluster int, c array<double>")
@@ -246,7 +300,7 @@ def centroid_metrics(pred: DataFrame, model: Centroids, col: str = "pca") -> dic
     between = sum(per[i][0] * float(np.sum((centers[i] - overall) ** 2)) for i in per)
     within = float(sum(r["ss"] for r in rows))
     ch = (between / (k - 1)) / (within / (n - k)) if k > 1 and within > 0 else float("nan")
-    return {"silhouette_sq_euclidean": float(sil), "davies_bouldin": float(db), "calinski_harabasz": float(ch),
+    return {"silhouette": sil, "davies_bouldin": float(db), "calinski_harabasz": float(ch),
             "inertia": within}
 
 

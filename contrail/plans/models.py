@@ -26,6 +26,8 @@ def _code_version() -> str:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
     for dirpath, _, names in sorted(os.walk(root)):
+        if os.path.relpath(dirpath, root).split(os.sep)[0] == "llm":  # no model here depends on it
+            continue
         for n in sorted(names):
             if n.endswith(".py"):
                 with open(os.path.join(dirpath, n), "rb") as fh:
@@ -131,16 +133,23 @@ class Models:
         num, cat = M.model_columns(df, drop=("member_id",))
         df = df.select(*[F.col(c).cast("double").alias(c) if c in num else F.col(c) for c in df.columns])
         df = df.withColumn(M.LABEL, F.col(M.LABEL).cast("double"))
-        return M.fill_modes(df, cat), num, cat
+        return df, num, cat
+
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        """Training and hold-out rows, written once to the shared folder: every fit
+        and every evaluation reads the same ones."""
+        key = (self.L.spark.sparkContext.applicationId, self.L.data_key, "sides")
+        if key not in _FEATURES:
+            df, _, _ = self.churn_inputs()
+            _FEATURES[key] = tuple(stored(side, name) for side, name in zip(M.split(df), ("train", "holdout"), strict=True))
+        return _FEATURES[key]
 
     def prep(self) -> PipelineModel:
-        df, num, cat = self.churn_inputs()
-        train, _ = M.split(df)
-        return _load_or_fit(PipelineModel, _dir(self.L, "prep"), lambda: M.preprocessor(num, cat).fit(train))
+        _, num, cat = self.churn_inputs()
+        return _load_or_fit(PipelineModel, _dir(self.L, "prep"), lambda: M.preprocessor(num, cat).fit(self.sides()[0]))
 
     def prepared(self) -> tuple[DataFrame, DataFrame]:
-        df, _, _ = self.churn_inputs()
-        train, test = M.split(df)
+        train, test = self.sides()
         p = self.prep()
         return p.transform(train), p.transform(test)
 

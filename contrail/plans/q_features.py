@@ -113,7 +113,12 @@ def histogram(L):
                    for n, s, c, b in HISTS])
 
 
-@register("histogram_by_status")
+@register("histogram_by_status", query("""
+SELECT 'flights' AS variable, CAST(cancelled AS VARCHAR) AS grp, bin, CAST(count(*) AS BIGINT) AS count, CAST(bin * 2 AS DOUBLE) AS bin_lo, CAST(bin * 2 + 2 AS DOUBLE) AS bin_hi,
+  count(*) / (any_value(total) * 2.0) AS density
+FROM (SELECT cancelled, CAST(least(floor(least(total_flights, 60) / 2.0), 29) AS INTEGER) AS bin,
+        count(*) OVER (PARTITION BY cancelled) AS total FROM cust_flights WHERE total_flights IS NOT NULL) GROUP BY cancelled, bin"""),
+    doubles="bin_lo bin_hi density")
 def histogram_by_status(L):
     """Overlaid density histograms of member flights (0..60) by status."""
     cf = L.customer_flights.withColumn("flights_capped", F.least(F.col("total_flights"), F.lit(60)))
@@ -146,7 +151,11 @@ def box_stats(L):
                            "whisker_lo", "whisker_hi", "outliers") for v, g in BOX])
 
 
-@register("kde")
+@register("kde", query("""
+SELECT CAST(g.i AS INTEGER) AS point, q0 + g.i * step AS x, sum(exp(-0.5 * power((q0 + g.i * step - clv) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) AS density
+FROM (SELECT unnest(range(300)) AS i) g, k, (SELECT clv FROM members WHERE clv IS NOT NULL) m GROUP BY g.i, q0, step, bw""",
+    "k AS (SELECT quantile_cont(clv, 0.01) AS q0, (quantile_cont(clv, 0.99) - quantile_cont(clv, 0.01)) / 299 AS step, "
+    "count(clv) AS n, stddev_samp(clv) * power(count(clv), -0.2) AS bw FROM members)"), doubles="x density", digits=9)
 def kde(L):
     """Gaussian KDE of member CLV on 300 points, over all members."""
     return G.kde(L.members, "clv")
@@ -506,13 +515,34 @@ def tier_number_q(L):
     return L.members.select("member_id", "loyalty_card", tier_number("loyalty_card").alias("card_num"))
 
 
-@register("extract_customer_summary", query("""
-SELECT member_id, loyalty_card, province, total_flights, total_revenue, clv, engagement, churn_risk_score, cancelled
-FROM customers"""), doubles="total_revenue clv engagement churn_risk_score")
+_CUSTOMER_DOUBLES = "total_revenue clv salary engagement efficiency revenue_per_customer redemption_rate churn_risk_score"
+_FILTERED = """
+SELECT * FROM customers
+WHERE loyalty_card IN ('Star', 'Nova', 'Aurora') AND gender IN ('Female', 'Male')
+  AND education IN ('High School or Below', 'College', 'Bachelor', 'Master', 'Doctor')
+  AND province IN (SELECT province FROM customers GROUP BY province ORDER BY count(*) DESC, province LIMIT 5)
+  AND clv BETWEEN (SELECT min(clv) FROM customers) AND (SELECT max(clv) FROM customers)
+  AND salary BETWEEN (SELECT min(salary) FROM customers) AND (SELECT max(salary) FROM customers)"""
+
+
+def _as_one_file(df, name, order):
+    """``df`` written as one CSV file and read back."""
+    from ..sources import files
+    path = files.write_one_csv(df, files.scratch_dir(df.sparkSession, name) + f"/{name}.csv", order)
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+@register("extract_customer_summary", query("SELECT * FROM customers"), doubles=_CUSTOMER_DOUBLES)
 def extract_customer_summary(L):
-    """A3: customer summary extract (projected columns)."""
-    return L.customers.select("member_id", "loyalty_card", "province", "total_flights", "total_revenue", "clv",
-                              "engagement", "churn_risk_score", "cancelled")
+    """A3: the customer summary, all columns, as one CSV file by member, read back."""
+    return _as_one_file(L.customers, "customer_summary", ["member_id"])
+
+
+@register("extract_filtered_customers", query(_FILTERED), doubles=_CUSTOMER_DOUBLES)
+def extract_filtered_customers(L):
+    """A3: the customers that the sidebar filter keeps, as one CSV file by member, read back."""
+    from ..operators.filters import customer_filter
+    return _as_one_file(customer_filter(L.customers).select(*L.customers.columns), "filtered_customers", ["member_id"])
 
 
 @register("extract_revenue_summary", query(f"""

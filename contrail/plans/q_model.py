@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import RISK_LEVELS
 from ..operators import churn as M
 from ..operators import clustering as K
 from ..operators import statistics as S
 from ..operators.neighbours import nearest
-from ..operators.sampling import sample_order_sql
+from ..operators.prepare import MedianImputer, ModeImputer, PopulationScaler
+from ..operators.sampling import sample_order_sql, seeded_sample
 from ..functions.ranking import quantile_array
 from ..session import stored
 from .models import Models
@@ -100,7 +100,7 @@ def kmeans_elbow(L):
     rows = []
     for k, model in sorted(mo.kmeans_sweep().items()):
         met = K.centroid_metrics(model.transform(data), model)
-        rows.append((k, met["inertia"], met["silhouette_sq_euclidean"], met["davies_bouldin"],
+        rows.append((k, met["inertia"], met["silhouette"], met["davies_bouldin"],
                      met["calinski_harabasz"]))
     return L.spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "
                                          "calinski_harabasz double")
@@ -113,12 +113,31 @@ def cluster_metrics(L):
     model = mo.kmeans()
     met = K.centroid_metrics(model.transform(mo.projected()), model)
     return L.spark.createDataFrame([(5, *[float(met[x]) for x in
-                                          ("inertia", "silhouette_sq_euclidean", "davies_bouldin",
+                                          ("inertia", "silhouette", "davies_bouldin",
                                            "calinski_harabasz")])],
                                    "k int, inertia double, silhouette double, davies_bouldin double, "
                                    "calinski_harabasz double")
 
 
+_SIL = ["total_flights", "total_distance", "clv"]
+
+
+@register("silhouette_tiers", query(f"""
+SELECT CAST(avg(CASE WHEN same = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS DOUBLE) AS silhouette, CAST(count(*) AS BIGINT) AS rows
+FROM (SELECT member_id, max(same) AS same, max(a) AS a, min(b) AS b FROM (
+  SELECT p.member_id, CASE WHEN p.tier = q.tier THEN count(*) ELSE 0 END AS same,
+    CASE WHEN p.tier = q.tier THEN avg(d) END AS a, CASE WHEN p.tier <> q.tier THEN avg(d) END AS b
+  FROM pts p JOIN pts q ON p.member_id <> q.member_id,
+    LATERAL (SELECT sqrt({' + '.join(f'power(p.{c} - q.{c}, 2)' for c in _SIL)}) AS d) GROUP BY p.member_id, p.tier, q.tier) GROUP BY member_id)""",
+    f"pts AS (SELECT member_id, loyalty_card AS tier, {', '.join(_SIL)} FROM customers WHERE clv IS NOT NULL "
+    f"ORDER BY {sample_order_sql(['member_id'])}, member_id LIMIT {K.SILHOUETTE_ROWS})"), doubles="silhouette", digits=8)
+def silhouette_tiers(L):
+    """K5: Euclidean silhouette of the tiers as clusters, on the seeded sample of members."""
+    pts = seeded_sample(L.customers.where("clv IS NOT NULL"), "member_id", K.SILHOUETTE_ROWS)
+    pts = pts.select(F.col("loyalty_card").alias("cluster"), F.array(*[F.col(c).cast("double") for c in _SIL]).alias("v"))
+    return K.silhouettes(pts).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("rows"))
+
+
 @register("customer_segments")
 def customer_segments(L):
     """K8 + K9: segment id and business name per member-month."""
@@ -190,23 +209,25 @@ _IMP_COLS = ["salary", "clv", "total_flights", "distance"]
 
 
 @register("impute_scale", query("SELECT member_id, year, month, " + ", ".join(
-    f"(coalesce(CAST({c} AS DOUBLE), (SELECT median({c}) FROM master)) - (SELECT avg(CAST({c} AS DOUBLE)) FROM master))"
-    f" / nullif((SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM master), 0) AS {c}" for c in _IMP_COLS)
-    + ", coalesce(city, (SELECT city FROM master WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city "
-      "LIMIT 1)) AS city FROM master"), doubles=_IMP_COLS, digits=4)
+    f"({c} - (SELECT avg({c}) FROM imp)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM imp) AS {c}"
+    for c in _IMP_COLS) + ", city FROM imp",
+    "holed AS (SELECT member_id, year, month, nullif(salary, 0) AS salary, clv, nullif(total_flights, 1) AS total_flights, "
+    "distance, CASE WHEN gender = 'Male' THEN city END AS city FROM master)",
+    "imp AS (SELECT member_id, year, month, " + ", ".join(
+        f"coalesce(CAST({c} AS DOUBLE), (SELECT median({c}) FROM holed)) AS {c}" for c in _IMP_COLS)
+    + ", coalesce(city, (SELECT city FROM holed WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city "
+      "LIMIT 1)) AS city FROM holed)"), doubles=_IMP_COLS, digits=4)
 def impute_scale(L):
-    """M3-M5: median impute and population-std scaling of numerics, mode fill
-    of a category (exact scalars, SQL-checkable)."""
-    m = L.master
-    cols = []
-    for c in _IMP_COLS:
-        st = m.agg(F.avg(F.col(c).cast("double")).alias("mu"),
-                   F.stddev_pop(F.col(c).cast("double")).alias("sd"))
-        from ..functions.ranking import quantile_array
-        med = quantile_array(m, c, [0.5])[0]
-        mu, sd = (st.select(x).scalar() for x in ("mu", "sd"))
-        cols.append(F.try_divide(F.coalesce(F.col(c).cast("double"), med) - mu, F.nullif(sd, F.lit(0.0))).alias(c))
-    return M.fill_modes(m.select("member_id", "year", "month", *cols, "city"), ["city"])
+    """M3-M5: the model's own stages on the master table: median impute and population
+    scaling of numerics, mode fill of a category.  No salary, a single flight and the
+    city of half of the members count as unknown, so that there is something to fill."""
+    from pyspark.ml import Pipeline
+    holed = L.master.select(
+        *M.ID_COLS, F.nullif(F.col("salary"), F.lit(0.0)).alias("salary"), "clv",
+        F.nullif(F.col("total_flights"), F.lit(1)).alias("total_flights"), "distance",
+        F.when(F.col("gender") == "Male", F.col("city")).alias("city"))
+    stages = [MedianImputer(_IMP_COLS, _IMP_COLS), PopulationScaler(_IMP_COLS, _IMP_COLS), ModeImputer(["city"], ["city"])]
+    return Pipeline(stages=stages).fit(holed).transform(holed)
 
 
 @register("churn_pipeline")
@@ -317,20 +338,13 @@ def risk_label_q(L):
 def risk_counts(L):
     """Members per risk category in fixed order (zero-filled), share,
     mean CLV of the high- and low-risk groups."""
-    s = _scored(L)
-    order = [f"{x} Risk" for x in RISK_LEVELS]
-    wide = s.groupBy().pivot("risk_category", order).count().fillna(0, order)
-    total = s.select(F.count(F.lit(1))).scalar()
-    long = wide.unpivot([], order, "risk_category", "members")
-    clv = s.groupBy("risk_category").agg(F.avg("clv").alias("avg_clv"))
-    return (long.withColumn("share_pct", F.col("members") * 100.0 / total)
-            .join(clv, "risk_category", "left"))
+    return M.risk_counts(_scored(L))
 
 
 @register("risk_by_tier")
 def risk_by_tier(L):
     """Risk category x tier counts."""
-    return _scored(L).groupBy("loyalty_card", "risk_category").agg(F.count(F.lit(1)).alias("members"))
+    return M.risk_by_tier(_scored(L))
 
 
 @register("risk_quadrant")
@@ -362,6 +376,38 @@ def extract_high_risk(L):
     return L.spark.read.option("header", True).schema(s.schema).csv(path)
 
 
+@register("extract_prediction_report")
+def extract_prediction_report(L):
+    """A3: the full prediction report of the model as one CSV file by member, read back."""
+    from .q_features import _as_one_file
+    return _as_one_file(M.prediction_report(_scored(L)), "prediction_report", ["member_id"])
+
+
+@register("model_bundle")
+def model_bundle(L):
+    """A4: preprocessor, model, columns, metrics and names saved as one bundle and loaded
+    back; the loaded parts score the hold-out side as the saved ones do."""
+    from ..sources.files import scratch_dir
+    from . import bundle as B
+    mo = Models(L)
+    df, num, cat = mo.churn_inputs()
+    _, test = mo.sides()
+    prepared = mo.prep().transform(test)
+    first = stored(M.with_score(mo.forest().transform(prepared)).select(*M.ID_COLS, M.LABEL, "score", "prediction"), "holdout-scores")
+    # one row
+    metrics = M.binary_metrics(first).first().asDict()
+    saved = B.Bundle(mo.prep(), mo.forest(), [*num, *cat], {k: float(v) for k, v in metrics.items()},
+                     M.feature_names(mo.prep(), df=prepared))
+    path = scratch_dir(L.spark, "bundle")
+    B.save(L.spark, path, saved, df.schema, L.data_key)
+    loaded = B.load(L.spark, path, L.data_key)
+    again = M.with_score(loaded.model.transform(loaded.preprocessor.transform(test))).select(*M.ID_COLS, F.col("score").alias("reloaded"))
+    return first.select(*M.ID_COLS, "score").join(again, M.ID_COLS).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("reloaded"))).alias("max_diff"),
+        F.lit(len(loaded.columns)).alias("columns"), F.lit(len(loaded.names)).alias("names"),
+        F.lit(loaded.metrics == saved.metrics and loaded.names == saved.names and loaded.columns == saved.columns).alias("same"))
+
+
 @register("model_roundtrip")
 def model_roundtrip(L):
     """A4: the fitted pipeline and forest saved and loaded back give the same
@@ -374,14 +420,71 @@ def model_roundtrip(L):
     mo.prep().write().overwrite().save(path + "/prep")
     mo.forest().write().overwrite().save(path + "/forest")
     prep, forest = PipelineModel.load(path + "/prep"), RandomForestClassificationModel.load(path + "/forest")
-    df, _, _ = mo.churn_inputs()
-    _, test = M.split(df)
+    _, test = mo.sides()
     again = M.with_score(forest.transform(prep.transform(test))).select(*M.ID_COLS, F.col("score").alias("reloaded"))
     first = mo.test_predictions().select(*M.ID_COLS, "score")
     return first.join(again, M.ID_COLS).agg(F.count(F.lit(1)).alias("rows"),
                                              F.max(F.abs(F.col("score") - F.col("reloaded"))).alias("max_diff"))
 
 
+# ------------------------------------------- reports on fixed scores (S) --
+# The rule-based churn_risk_score stands for the model's, so the reports can be
+# checked in SQL row by row.
+
+_REPORT = ("""report AS (
+  SELECT s.member_id, s.churn_probability, p.clv, p.total_flights, p.clv AS total_revenue, p.loyalty_card, p.province, p.gender,
+    p.cancelled, CASE WHEN s.churn_probability < 0.4 THEN 'Low Risk' WHEN s.churn_probability < 0.7 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_category,
+    round(s.churn_probability * 100, 1) AS churn_pct
+  FROM (SELECT member_id, round(churn_risk_score, 4) AS churn_probability FROM customers) s
+  LEFT JOIN (SELECT member_id, avg(clv) AS clv, CAST(sum(total_flights) AS BIGINT) AS total_flights, any_value(loyalty_card) AS loyalty_card,
+      any_value(province) AS province, any_value(gender) AS gender, max(cancelled) AS cancelled FROM master GROUP BY member_id) p USING (member_id))""")
+
+
+def _rule_scored(L):
+    return M.score_customers(L.customers.select("member_id", F.col("churn_risk_score").alias("score")), L.master)
+
+
+@register("rule_scores", query("SELECT * FROM report", _REPORT), doubles="churn_probability clv total_revenue churn_pct")
+def rule_scores(L):
+    """M20 + D6 + D7: the score report of each member on fixed scores."""
+    return _rule_scored(L)
+
+
+@register("rule_risk_by_tier", query("""
+SELECT loyalty_card, risk_category, CAST(count(*) AS BIGINT) AS members FROM report GROUP BY ALL""", _REPORT))
+def rule_risk_by_tier(L):
+    """Risk category x tier counts on fixed scores."""
+    return M.risk_by_tier(_rule_scored(L))
+
+
+@register("rule_risk_counts", query("""
+SELECT c.risk_category, CAST(count(r.member_id) AS BIGINT) AS members, count(r.member_id) * 100.0 / (SELECT count(*) FROM report) AS share_pct,
+  avg(r.clv) AS avg_clv FROM (VALUES ('Low Risk'), ('Medium Risk'), ('High Risk')) c(risk_category)
+LEFT JOIN report r USING (risk_category) GROUP BY c.risk_category""", _REPORT), doubles="share_pct avg_clv", digits=4)
+def rule_risk_counts(L):
+    """Members per risk category, zero-filled, on fixed scores."""
+    return M.risk_counts(_rule_scored(L))
+
+
+@register("rule_prediction_report", query("""
+SELECT *, CASE risk_category WHEN 'Low Risk' THEN 'Likely to Stay' WHEN 'Medium Risk' THEN 'At Risk' ELSE 'Likely to Churn' END AS prediction,
+  CASE risk_category WHEN 'Low Risk' THEN 'Keep in touch: routine news on points and tier'
+    WHEN 'Medium Risk' THEN 'Win back interest: a cheaper flight or extra points for a while'
+    ELSE 'Call now: a personal offer such as points or a step up in tier' END AS action FROM report""", _REPORT),
+    doubles="churn_probability clv total_revenue churn_pct")
+def rule_prediction_report(L):
+    """A3 + G12: the full prediction report on fixed scores as one CSV file, read back."""
+    from .q_features import _as_one_file
+    return _as_one_file(M.prediction_report(_rule_scored(L)), "rule_report", ["member_id"])
+
+
+@register("rule_top_risk", query("""
+SELECT * FROM report ORDER BY churn_probability DESC, member_id LIMIT 20""", _REPORT), doubles="churn_probability clv total_revenue churn_pct")
+def rule_top_risk(L):
+    """the twenty members of highest fixed score."""
+    return _rule_scored(L).orderBy(F.desc("churn_probability"), "member_id").limit(20)
+
+
 # ------------------------------------------- metrics on fixed scores (S) --
 # The rule-based churn_risk_score is the score and the cancellation flag the
 # label, so the model-evaluation operators can be checked exactly in SQL.

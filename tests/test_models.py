@@ -11,6 +11,53 @@ from contrail.operators import churn as M
 from contrail.operators import clustering as K
 
 
+def brute_silhouette(x, labels):
+    d, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), []
+    for i, own in enumerate(labels):
+        same = (labels == own) & (np.arange(len(x)) != i)
+        if not same.any():
+            out.append(0.0)
+            continue
+        a, b = d[i, same].mean(), min(d[i, labels == c].mean() for c in set(labels) - {own})
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_silhouette_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(K, "BLOCK", block)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(100, 3)), r.normal(4, 1, (40, 3)), np.ones((20, 3)), [[50.0, 0, 0]]])
+    labels = np.array(["a"] * 90 + ["b"] * 50 + ["c"] * 20 + ["alone"])
+    points = spark.createDataFrame([(c, v) for c, v in zip(labels.tolist(), x.tolist(), strict=True)], "cluster string, v array<double>").repartition(3)
+    got = K.silhouettes(points)
+    assert got.count() == len(x)
+    assert got.agg(F.avg("silhouette")).first()[0] == pytest.approx(brute_silhouette(x, labels), abs=1e-12)
+    assert {r["silhouette"] for r in K.silhouettes(points.where("cluster = 'a'")).collect()} == {None}
+
+
+def test_preprocessing_is_exact_and_survives_saving(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    r = np.random.default_rng(2)
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(r.integers(0, 50)), float(r.normal()) if i % 5 else None, 3.0,
+             None if i % 6 == 0 else ["x", "y", "z"][int(r.integers(0, 3))], None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, flat double, c string, none string")
+    model = M.preprocessor(["a", "b", "flat"], ["c", "none"]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "prep"))
+    for m in (model, PipelineModel.load(str(tmp_path / "prep"))):
+        out = m.transform(df).orderBy("id").toPandas()
+        for k, col in enumerate("ab"):
+            v = np.array([np.nan if x[1 + k] is None else x[1 + k] for x in rows])
+            v = np.where(np.isnan(v), np.median(v[~np.isnan(v)]), v)
+            assert np.allclose(out[f"{col}__scl"], (v - v.mean()) / v.std(), atol=1e-12)
+        assert set(out["flat__scl"]) == {0.0}
+        words = [x[4] for x in rows if x[4]]
+        mode = min(sorted(set(words)), key=lambda w: -words.count(w))
+        assert [w if w else mode for w in (x[4] for x in rows)] == list(out["c__mode"]) and set(out["none__mode"]) == {"missing"}
+    unseen = model.transform(spark.createDataFrame([(1, 1.0, 1.0, 1.0, "new", "new")], df.schema)).first()["features"]
+    assert len(unseen) == len(out["features"][0]) and np.isfinite(unseen.toArray()).all()
+
+
 def test_kmeans_blobs_and_metrics(spark):
     rnd = np.random.default_rng(0)
     centres = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 0], [0, 0, 10], [10, 10, 10]], dtype=float)
@@ -19,7 +66,8 @@ def test_kmeans_blobs_and_metrics(spark):
     models = K.kmeans_sweep(df, [2, 5], restarts=3)
     m5 = models[5]
     met = K.centroid_metrics(m5.transform(df), m5)
-    assert met["silhouette_sq_euclidean"] > 0.9
+    x, labels = (np.array(v) for v in zip(*[(r["pca"].toArray(), r["cluster"]) for r in m5.transform(df).collect()]))
+    assert met["silhouette"] == pytest.approx(brute_silhouette(x, labels), abs=1e-9) and met["silhouette"] > 0.85
     assert met["davies_bouldin"] < 0.3
     assert met["inertia"] < K.centroid_metrics(models[2].transform(df), models[2])["inertia"]
     sizes = sorted(r["n"] for r in m5.transform(df).groupBy("cluster").agg(F.count("*").alias("n")).collect())
