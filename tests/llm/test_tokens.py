@@ -22,6 +22,30 @@ def test_encoder_equals_the_library(vocabulary):
         assert part.tolist() == [*e.ids, 9]
 
 
+def test_added_tokens_are_those_of_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    library, token = Tokenizer.from_file(vocabulary), "<|endoftext|>"
+    texts = [token, f"{token} at the start", f"in the {token} middle", f"at the end {token}", f"a{token}{token}  b  {token}", "<|endoftext|", "<|<|endoftext|>|>", "", f"日本{token}é's"]
+    ids, counts = encoder(vocabulary).encode([t.encode() for t in texts], 9)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 9] for t in texts]
+
+
+def test_encoder_remembers_and_starts_over(vocabulary):
+    from contrail.llm.bpe import Encoder, HashTable
+
+    small, rng = Encoder(vocabulary, pieces=300), random.Random(1)
+    for _ in range(8):
+        texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 4))) for _ in range(80)) for _ in range(5)]
+        ids, counts = small.encode([t.encode() for t in texts], 7)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [[*small.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    table = HashTable(64)
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 900).astype(np.uint64) << np.uint64(11))  # all on one place
+    table.add(keys[:400], np.arange(400))
+    table.add(keys[400:], np.arange(400, len(keys)))
+    assert table.find(keys).tolist() == list(range(len(keys))) and table.find(keys + np.uint64(1)).tolist() == [-1] * len(keys)
+
+
 def test_pieces_cover_every_document_once(hard, vocabulary):
     rows = packing.pack(hard, vocabulary, length=64, group_tokens=500).collect()
     tokens = encoder(vocabulary).tokenizer
