@@ -17,6 +17,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,64 +54,197 @@ SCOPES = frozenset("ul ol dl table div section article main body select menu asi
 BODY_TAGS = BLOCK_TAGS - {"head", "title", "html"}
 CLOSES_P = BLOCK_TAGS - {"button", "label", "option", "select", "textarea", "optgroup", "title", "head", "caption", "legend"}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag without any '<' inside, the usual case; a failed match reads no further than the next '<'.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)([^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+)>""")
+_NAME_END = re.compile(r"[\s/>]")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW_TAGS}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Numbers of a character reference that are longer than any code point's.
+_ZEROS, _LARGE = re.compile(r"&#0{9,}+"), re.compile(r"&#(0*[1-9][0-9]{7})[0-9]++")
+
+
+@dataclass(eq=False, slots=True)
+class Path:
+    """An open element that counts (a block element, or one with class, id or role),
+    below ``parent``: what it adds to the features of the elements around it, and the
+    tags of the nearest two block elements.  Paths share their parents."""
+
+    parent: Path | None = None
+    fresh: tuple[str, ...] = ()
+    leaf: str = ""
+    above: str = ""
+
+    def own(self) -> tuple[str, str]:
+        return f"leaf={self.leaf}", f"above={self.above}"
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, words of class, id and role) of every open element
+    path: Path
     linked: int = 0  # characters inside links
 
 
+class _Scanner:
+    """Finds the markup of a page from left to right in linear time.
+
+    Whether a tag that starts at some place ends, and where, depends only on the next
+    quote or '>' outside quotes.  A quote from which no end was found is remembered, so
+    no stretch of the page is read again for each '<' before it."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.near = {_STOP: (0, -1), _NAME_END: (0, -1)}  # place searched from, place found
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        start, found = self.near[what]
+        if not start <= at <= found:
+            m = what.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.near[what] = at, found
+        return found
+
+    def _end(self, at: int) -> int:
+        """Place of the '>' that ends a tag whose attributes start at ``at``, or -1."""
+        page, size, trail = self.page, len(self.page), []
+        stop = self._next(_STOP, at)
+        while stop < size and page[stop] != ">":
+            close = -1 if stop in self.dead else page.find(page[stop], stop + 1)
+            trail.append(stop)
+            if close < 0:
+                stop = size
+                break
+            m = _STOP.search(page, close + 1)
+            stop = m.start() if m else size
+        if stop < size:
+            return stop
+        self.dead.update(trail)
+        return -1
+
+    def markup(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """The next markup from ``at`` on: its start and end, and of a tag the name,
+        whether it is an end tag, and the attributes.  A '<' that starts nothing is text."""
+        page, size = self.page, len(self.page)
+        start = page.find("<", at)
+        while 0 <= start < size - 1:
+            m = _TAG.match(page, start)
+            if m:
+                return start, m.end(), m[2].lower(), m[1] != "", m[3]
+            if page[start + 1] in "!?":
+                for opening, ending in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                    if page.startswith(opening, start):
+                        end = page.find(ending, start + len(opening))
+                        return start, size if end < 0 else end + len(ending), None, False, ""
+                # quotes do not count here: the next '>' ends it
+                end = page.find(">", start) if start < self.last else -1
+                if end >= 0:
+                    return start, end + 1, None, False, ""
+            else:
+                name = start + 1 + (page[start + 1] == "/")
+                if page[name : name + 1].isascii() and page[name : name + 1].isalpha():
+                    after = self._next(_NAME_END, name + 1)
+                    end = self._end(after)
+                    if end >= 0:
+                        return start, end + 1, page[name:after].lower(), name > start + 1, page[after:end]
+            start = page.find("<", start + 1)
+        return size, size, None, False, ""
+
+    @cached_property
+    def last(self) -> int:
+        return self.page.rfind(">")
+
+
+def _plain(text: str) -> str:
+    """Character references decoded, white space as single spaces, trimmed."""
+    if len(text) > 4000:  # Python refuses to read numbers of that many digits
+        text = _LARGE.sub(r"&#\1", _ZEROS.sub("&#0", text))
+    return " ".join(html.unescape(text).split())
+
+
+class _Open:
+    """The open elements, with the places of each tag, of scopes and of dark elements."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes, self.dark = [-1], [-1]
+        self.root, self.present = Path(), set()
+
+    def path(self) -> Path:
+        return self.stack[-1][1] if self.stack else self.root
+
+    def nearest(self, tags) -> int:
+        found = -1
+        for tag in tags:
+            places = self.places.get(tag)
+            if places and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        above, at = self.path(), len(self.stack)
+        path, block = above, tag in BLOCK_TAGS
+        if block or names:
+            fresh = tuple([f for f in dict.fromkeys([f"in={tag}", *[f"name={w}" for w in names]]) if f not in self.present])
+            self.present.update(fresh)
+            path = Path(above, fresh, tag, above.leaf) if block else Path(above, fresh, above.leaf, above.above)
+        self.stack.append((tag, path))
+        self.places.setdefault(tag, []).append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        if tag in DARK_TAGS:
+            self.dark.append(at)
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, path = self.stack.pop()
+            if path is not self.path():
+                self.present.difference_update(path.fresh)
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag in DARK_TAGS:
+                self.dark.pop()
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, white space normalised, without empty ones."""
+    """The blocks of a page in order, white space normalised, without empty ones.  Time
+    and memory are linear in the page's length, whatever it holds."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened, scanner = _Open(), _Scanner(page)
     parts: list[str] = []
-    linked = dark = links = 0
+    linked = 0
 
-    def flush(at=None):
+    def flush():
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = _plain("".join(parts))
             if text:
-                out.append(Block(text, tuple(x for x in stack[:at] if x[0] in BLOCK_TAGS or x[1]), linked))
+                out.append(Block(text, opened.path(), linked))
             parts.clear()
         linked = 0
 
     def pop(to: int):
-        nonlocal dark, links
-        if any(x[0] in BLOCK_TAGS for x in stack[to:]):
+        if any(opened.stack[i][0] in BLOCK_TAGS for i in range(to, len(opened.stack))):
             flush()
-        for tag, _ in stack[to:]:
-            dark -= tag in DARK_TAGS
-            links -= tag == "a"
-        del stack[to:]
+        opened.pop(to)
 
     at, size = 0, len(page)
     while at < size:
-        m = _MARKUP.search(page, at)
-        stop = m.start() if m else size
-        if stop > at and not dark:
-            parts.append(page[at:stop])
-            if links:
-                linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        tag = m.group(2)
+        start, end, tag, ending, attributes = scanner.markup(at)
+        if start > at and opened.dark[-1] < 0:
+            parts.append(page[at:start])
+            if opened.places.get("a"):
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+        if ending:
+            if opened.places.get(tag):
+                pop(opened.places[tag][-1])
             continue
         if tag in VOID_TAGS:
             parts.append(" ")
@@ -118,46 +252,36 @@ def leaf_blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag == "body" or tag in BODY_TAGS:  # </head> may be left out
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "head":
-                    pop(i)
-                    break
-                if stack[i][0] in DARK_TAGS:
-                    break
+            near = opened.dark[-1]
+            if near >= 0 and opened.stack[near][0] == "head":
+                pop(near)
         if tag in BLOCK_TAGS:
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    pop(i)
-                    break
-                if stack[i][0] in SCOPES and not (tag in ("tr", "td", "th") and stack[i][0] != "table"):
-                    break
-        if m.group(3).rstrip().endswith("/"):
+            near = opened.nearest(("p",))
+            if tag in CLOSES_P and near > opened.scopes[-1]:
+                pop(near)
+            if tag in CLOSES:
+                near = opened.nearest(CLOSES[tag])
+                if near > (opened.nearest(("table",)) if tag in ("tr", "td", "th") else opened.scopes[-1]):
+                    pop(near)
+        if attributes.rstrip().endswith("/"):
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            m = _RAW_END[tag].search(page, at)
+            at = m.end() if m else size
             continue
-        names = tuple(w for g in _NAMES.findall(m.group(3)) for w in _NAME_PART.findall(_CAMEL.sub(" ", g[0] or g[1] or g[2]).lower()))
-        stack.append((tag, names))
-        dark += tag in DARK_TAGS
-        links += tag == "a"
+        opened.push(tag, () if not attributes else tuple(w for g in _NAMES.findall(attributes) for w in _NAME_PART.findall(_CAMEL.sub(" ", g[0] or g[1] or g[2]).lower())))
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
+def path_features(path: Path) -> list[str]:
     """Ancestors' tags and name words; the nearest block element counts apart."""
-    found = {f"in={tag}" for tag, _ in path} | {f"name={w}" for _, names in path for w in names}
-    near = [tag for tag, _ in path if tag in BLOCK_TAGS]
-    return [*sorted(found), f"leaf={near[-1] if near else ''}", f"above={near[-2] if len(near) > 1 else ''}"]
+    found, at = [], path
+    while at is not None:
+        found.extend(at.fresh)
+        at = at.parent
+    return [*sorted(found), *path.own()]
 
 
 def text_features(block: Block, place: int, total: int) -> list[str]:
@@ -179,19 +303,31 @@ class Model:
     step: tuple[tuple[float, float], tuple[float, float]]
 
 
-def decode(model: Model, blocks: list[Block], seen: dict | None = None) -> list[int]:
-    """The likeliest labels of a page's blocks; ``seen`` remembers sums for paths."""
-    seen = {} if seen is None else seen
-    weights, none = model.weights, (0.0, 0.0)
+def _path_sums(weights: dict[str, tuple[float, float]], path: Path, known: dict[Path, tuple[float, float]]) -> tuple[float, float]:
+    """Weights of the tags and names of a path, added to the sums of its parent."""
+    chain = []
+    while path is not None and path not in known:
+        chain.append(path)
+        path = path.parent
+    x, y = known[path] if path is not None else (0.0, 0.0)
+    for path in reversed(chain):
+        for f in path.fresh:
+            a, b = weights.get(f, (0.0, 0.0))
+            x, y = x + a, y + b
+        known[path] = x, y
+    return x, y
+
+
+def decode(model: Model, blocks: list[Block]) -> list[int]:
+    """The likeliest labels of a page's blocks."""
+    weights, none, known = model.weights, (0.0, 0.0), {}
     total, back = len(blocks), []
     (a0, a1), ((s00, s01), (s10, s11)) = model.start, model.step
     for i, block in enumerate(blocks):
-        if block.path not in seen:
-            if len(seen) > 100_000:
-                seen.clear()
-            found = [weights.get(f, none) for f in path_features(block.path)]
-            seen[block.path] = sum(x for x, _ in found), sum(x for _, x in found)
-        e0, e1 = seen[block.path]
+        e0, e1 = _path_sums(weights, block.path, known)
+        for f in block.path.own():
+            x, y = weights.get(f, none)
+            e0, e1 = e0 + x, e1 + y
         for f in text_features(block, i, total):
             x, y = weights.get(f, none)
             e0, e1 = e0 + x, e1 + y
@@ -394,16 +530,20 @@ def fit(pages: DataFrame, max_pages: int = TRAIN_PAGES, layouts: int = LAYOUTS,
 
 
 def main_text(model: Model, page: Column) -> Column:
-    """Main text of each page: its main blocks joined by line feeds, empty if there are none."""
+    """Main text of each page: its main blocks joined by line feeds, empty if there are none.
+
+    A null or empty page has an empty text.  Each row is taken by itself, so repeated rows
+    get equal texts, null ids and further columns of any name change nothing, and no rows
+    give no rows.  Pages of any length and any broken markup take time in proportion to
+    their length.  Labels of equal likelihood count as not main."""
 
     @F.arrow_udf(T.StringType())
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        seen: dict = {}
         for batch in batches:
             out = []
             for x in batch.to_pylist():
                 blocks = leaf_blocks(x or "")
-                out.append("\n".join(b.text for b, y in zip(blocks, decode(model, blocks, seen), strict=True) if y == MAIN))
+                out.append("\n".join(b.text for b, y in zip(blocks, decode(model, blocks), strict=True) if y == MAIN))
             yield pa.array(out, pa.string())
 
     return extract(F.coalesce(page.cast("string"), F.lit("")))

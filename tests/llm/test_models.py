@@ -96,6 +96,41 @@ def test_head_without_end_tag():
     assert [b.text for b in html_crf.leaf_blocks("<head><noscript><p>no</p></noscript><svg><p>no</p></svg></head><p>One.")] == ["One."]
 
 
+def test_paths_of_blocks():
+    page = '<main id=mainPart><p class="a b">One <b>two</b></p><div class=a><span>three<span class="c">four</main><p>five'
+    found = [(b.text, html_crf.path_features(b.path)) for b in leaf_blocks(page)]
+    assert found == [
+        ("One two", ["in=main", "in=p", "name=a", "name=b", "name=main", "name=part", "leaf=p", "above=main"]),
+        ("threefour", ["in=div", "in=main", "in=span", "name=a", "name=c", "name=main", "name=part", "leaf=div", "above=main"]),
+        ("five", ["in=p", "leaf=p", "above="]),
+    ]
+
+
+def test_markup_that_does_not_end_is_text():
+    cases = {"a<b c": ["a<b c"], "if a<b then <p>x": ["if ax"], '<p title="x>y': ['<p title="x>y'], "<p title='a>b'>c": ["c"], "x<!-- y <p>z": ["x"], "<!x y": ["<!x y"],
+             "a<": ["a<"], "<": ["<"], "</": ["</"], '<a "<b \'>x': ['<a "<b \'>x'], '<a "<b>"<i>x': ["x"]}
+    for page, texts in cases.items():
+        assert [b.text for b in leaf_blocks(page)] == texts, page
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    model = html_crf.train(html_crf.labelled_pages(["Some words of a block, and more."], 20), steps=5)
+    pages = {"if a<b then ": 1, '<a "': 1, '<a "<b \'': 1, "<div>x": None, "<b><h1>x</i>": None, "<a": 1, "<!": 1, "<b class=q>x": 1, "<svg></p>": 0}
+    for bit, blocks in pages.items():
+        page = bit * (250_000 // len(bit))
+        for p in (page, page + ">", page + '">'):
+            begin = time.process_time()
+            found = leaf_blocks(p)
+            html_crf.decode(model, found)
+            # squares of this length take minutes
+            assert time.process_time() - begin < 15, bit
+        if blocks is not None:
+            assert len(leaf_blocks(page)) == blocks, bit
+    assert [b.text for b in leaf_blocks("<p>&#" + "1" * 6000 + ";x&#" + "0" * 6000 + "65;")] == ["\ufffdxA"]
+
+
 def test_digits_of_the_whole_block_count():
     block = html_crf.Block("x" * 300 + "7" * 700, ())
     assert "digits=3" in html_crf.text_features(block, 0, 1)
@@ -127,6 +162,18 @@ def test_main_text_held_out_layouts(spark):
     assert found == {1: "News of the day\nA first & long sentence, of many words.\nThen the second one.", 2: "", 3: "", None: ""}
 
 
+def test_main_text_of_odd_tables(spark):
+    model = html_crf.train(html_crf.labelled_pages(["A sentence of some words, as there are.", "Another, also of words."], 60), steps=40)
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    page = "<article>" + "<p>A sentence of words, and more of them.</p>" * 40_000 + "</article>"
+    rows = [(1, "u", page, "other", "x"), (1, "u", page, "other", "x"), (None, None, "<article><p>A sentence of words, twice or so.</p></article>", None, None)]
+    extract = lambda df: df.withColumn("main", html_crf.main_text(model, df["html"]))
+    assert extract(spark.createDataFrame([], schema)).collect() == []
+    found = extract(spark.createDataFrame(rows, schema)).collect()
+    assert [len(r.main) for r in found if r.page_id == 1] == [39 * 40_000 - 1] * 2  # 38 characters and a line feed each
+    assert [(r.main, r.text) for r in found if r.page_id is None] == [("A sentence of words, twice or so.", None)]
+
+
 def test_page_query(spark, smoke_dir):
     import html
     import re
