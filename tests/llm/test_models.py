@@ -166,12 +166,12 @@ def test_main_text_of_odd_tables(spark):
     model = html_crf.train(html_crf.labelled_pages(["A sentence of some words, as there are.", "Another, also of words."], 60), steps=40)
     schema = "page_id long, url string, html string, text string, n_chars string"
     page = "<article>" + "<p>A sentence of words, and more of them.</p>" * 40_000 + "</article>"
-    rows = [(1, "u", page, "other", "x"), (1, "u", page, "other", "x"), (None, None, "<article><p>A sentence of words, twice or so.</p></article>", None, None)]
+    rows = [(1, "u", page, "other", "x"), (1, "u", page, "other", "x"), (None, None, "<article>" + "<p>A sentence of words, and more of them.</p>" * 3 + "</article>", None, None)]
     extract = lambda df: df.withColumn("main", html_crf.main_text(model, df["html"]))
     assert extract(spark.createDataFrame([], schema)).collect() == []
     found = extract(spark.createDataFrame(rows, schema)).collect()
     assert [len(r.main) for r in found if r.page_id == 1] == [39 * 40_000 - 1] * 2  # 38 characters and a line feed each
-    assert [(r.main, r.text) for r in found if r.page_id is None] == [("A sentence of words, twice or so.", None)]
+    assert [(r.main, r.text) for r in found if r.page_id is None] == [("\n".join(["A sentence of words, and more of them."] * 3), None)]
 
 
 def test_page_query(spark, smoke_dir):
