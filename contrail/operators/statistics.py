@@ -3,20 +3,16 @@
 Moments, correlations and regression come from single-pass aggregates
 (``avg``/``stddev``/``skewness``/``corr``/``regr_*``), partial-aggregated per
 task.  Rank statistics use the bucketed global order of
-``functions.ranking`` (never a single-task window).  p-values are computed by
-a tiny Arrow-batched helper over the one-row-per-test result.
+``functions.ranking`` (never a single-task window).  p-values are column
+expressions (``functions.special``) over the one-row-per-test result.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import money_sum
 from ..functions.ranking import exact_quantiles, ordered_cumsum
@@ -222,100 +218,3 @@ def linear_trend(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
                           F.corr(xv, yv).alias("r"))
                    .select(F.lit(x).alias("x"), F.lit(y).alias("y"), "slope", "intercept", "r"))
     return reduce(lambda a, b: a.unionByName(b), out)
-
-
-# ---------------------------------------------------------------------------
-# p-values: applied to the one-row-per-test results only.
-# ---------------------------------------------------------------------------
-
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c
-        c = c if abs(c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c
-        c = c if abs(c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def _betainc(a, b, x):
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
-
-
-def student_t_two_sided(t: float, dof: float) -> float:
-    if t is None or dof is None or math.isnan(t) or math.isnan(dof) or dof <= 0:
-        return float("nan")
-    return _betainc(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-def normal_two_sided(z: float) -> float:
-    if z is None or math.isnan(z):
-        return float("nan")
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def chi2_sf(x: float, dof: float) -> float:
-    """Upper tail of chi-square via the regularized upper incomplete gamma."""
-    if x is None or math.isnan(x) or dof <= 0:
-        return float("nan")
-    a, xx = dof / 2.0, x / 2.0
-    if xx <= 0:
-        return 1.0
-    if xx < a + 1:  # series for P, return 1-P
-        s, term, n = 1.0 / a, 1.0 / a, 0
-        while abs(term) > abs(s) * 1e-16 and n < 1000:
-            n += 1
-            term *= xx / (a + n)
-            s += term
-        return max(0.0, 1.0 - s * math.exp(-xx + a * math.log(xx) - math.lgamma(a)))
-    b, c, d = xx + 1 - a, 1e300, 1.0 / (xx + 1 - a)
-    h = d
-    for i in range(1, 1000):  # continued fraction for Q
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = b + an / c
-        c = c if abs(c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1) < 1e-16:
-            break
-    return math.exp(-xx + a * math.log(xx) - math.lgamma(a)) * h
-
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([student_t_two_sided(a, b) for a, b in zip(t.astype(float), dof.astype(float))])
-
-
-@F.pandas_udf(T.DoubleType())
-def z_pvalue(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_two_sided(v) for v in z.astype(float)], dtype=np.float64)
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(a, b) for a, b in zip(x.astype(float), dof.astype(float))])

@@ -1,6 +1,7 @@
 """Rank statistics, tests and curves against brute force on small frames."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from contrail.functions import special
 from contrail.operators import churn as M
 from contrail.operators import statistics as S
 from contrail.operators import windows as W
@@ -50,8 +52,38 @@ def test_welch_matches_formula(two_groups):
     x, y = pdf.loc[pdf.g == 0, "a"], pdf.loc[pdf.g == 1, "a"]
     se = x.var() / len(x) + y.var() / len(y)
     assert r.t_stat == pytest.approx((x.mean() - y.mean()) / np.sqrt(se), rel=1e-9)
-    p = S.student_t_two_sided(r.t_stat, r.dof)
-    assert 0.0 <= p <= 1.0
+    p = df.select(special.student_t_two_sided(F.lit(r.t_stat), F.lit(r.dof)).alias("p")).first().p
+    assert p == pytest.approx(t_tail(r.t_stat, r.dof), abs=1e-9)
+
+
+def t_tail(t, dof):
+    """Two-sided tail by Gauss-Legendre sums over pieces of the angle."""
+    low = math.atan(abs(t) / math.sqrt(dof))
+    x, w = np.polynomial.legendre.leggauss(60)
+    edges = np.linspace(low, math.pi / 2, 201)
+    mid, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
+    angles = mid[:, None] + half[:, None] * x
+    total = (half[:, None] * w * np.cos(angles) ** (dof - 1)).sum()
+    return float(2 * math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi) * total)
+
+
+def test_tails_equal_closed_forms(spark):
+    poisson = lambda n, x: sum(math.exp(k * math.log(x) - x - math.lgamma(k + 1)) for k in range(n))
+    student = [(t, 1.0, 1 - 2 / math.pi * math.atan(t)) for t in (1e-9, 0.3, 1.0, 12.706, 1e6)]
+    student += [(t, 2.0, 1 - t / math.sqrt(2 + t * t)) for t in (0.01, 1.0, 4.303, 50.0)]
+    student += [(-t, dof, t_tail(t, dof)) for t in (0.2, 1.96, 5.0) for dof in (3.0, 7.5, 40.25, 999.0, 9999.0, 12345.6)]
+    student += [(t, 1e12, math.erfc(t / math.sqrt(2))) for t in (0.1, 1.96, 4.0)] + [(0.0, 5.0, 1.0), (2.2281388519649385, 10.0, 0.05)]
+    chi = [(x, 1, math.erfc(math.sqrt(x / 2))) for x in (1e-6, 0.5, 3.841458820694124, 30.0)]
+    chi += [(x, 2 * n, poisson(n, x / 2)) for n in (1, 2, 5, 60, 500) for x in (0.3, 1.0 * n, 2.0 * n, 2.0 * n + 3, 5.0 * n)] + [(0.0, 3, 1.0)]
+    normal = [(z, math.erfc(abs(z) / math.sqrt(2))) for z in (0.0, 1e-4, -0.7, 1.96, 3.3, 8.0)]
+    for rows, of, tail in ((student, "t double, dof double, p double", lambda: special.student_t_two_sided(F.col("t"), F.col("dof"))),
+                           (chi, "x double, dof int, p double", lambda: special.chi_square_upper(F.col("x"), F.col("dof"))),
+                           (normal, "z double, p double", lambda: special.normal_two_sided(F.col("z")))):
+        for r in spark.createDataFrame(rows, of).withColumn("found", tail()).collect():
+            assert r.found == pytest.approx(r.p, abs=2e-9 if "t" in r else 1e-11), r
+    nothing = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0)], "t double, dof double")
+    assert {tuple(r) for r in nothing.select(special.student_t_two_sided(F.col("t"), F.col("dof")), special.chi_square_upper(F.col("t"), F.col("dof")),
+                                             special.normal_two_sided(F.col("t") * F.lit(None).cast("double"))).collect()} == {(None, None, None)}
 
 
 def test_chi_square_yates_2x2(spark):
