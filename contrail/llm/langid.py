@@ -134,7 +134,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rank = Window.partitionBy("lang").orderBy(place, "doc_id")
     # at most max_rows ids: a proven bound
     chosen = few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= each).drop("rank")
-    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    rows = learn.join(F.broadcast(chosen), ["doc_id", "lang"])
+    # one text for each id and language, that of the smallest hash, whatever the partitions
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = rows.select("lang", F.xxhash64("doc_id").alias("h"), _vectors(F.coalesce("text", F.lit(""))).alias("x")).orderBy("lang", "h").toArrow()
     x, lang = rows_of(found["x"]), np.array([languages.index(v) for v in found["lang"].to_pylist()])
     live = x.any(1)

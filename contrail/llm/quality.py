@@ -7,8 +7,9 @@ minimises the non-negative unbiased risk
 
 with the logistic loss: where the bracket falls below zero the step goes against
 it, so the model cannot drive the risk of the negatives below zero by fitting
-the positives.  The class prior is estimated from the labelled rows of the
-learning folds.  A Platt step on the labelled rows turns margins into scores.
+the positives.  The class prior is estimated from the positives and the unlabelled
+text (``class_prior``); labelled negatives take no part in it or in the risk.  Only the
+last step reads them: a Platt step on the labelled rows turns margins into scores.
 
 A model is fitted on at most ``max_rows`` rows of each kind (the first by a
 seeded hash of the id); every text is scored whole.
@@ -32,6 +33,8 @@ MAX_ROWS = 3000
 THRESHOLD = 0.7
 HASHED = 1024
 STEPS, RATE, DECAY, FOLDS = 150, 0.05, 2e-2, 3
+#: Shares of the positives that the sets hold which bound the class prior.
+PRIOR_SHARES = tuple(i / 20 for i in range(10, 20))
 
 _CLASSES = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b".!?", b",;:", b"#*$%&", b"|<>{}[]\\^~=_@", b"\n", b" \t\r", bytes(range(128, 256)))):
@@ -122,12 +125,44 @@ def nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s
     return adam(gradient, np.zeros(p.shape[1], np.float32), steps, rate)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows, 0.02 to 0.98.
+
+    The unlabelled rows are a mixture of positives and others, so no set of rows holds a
+    smaller share of them than the prior times its share of the positives.  The sets tried
+    hold the PRIOR_SHARES of the positives of highest margin, by a logistic model that tells
+    positives from unlabelled rows; margins are those of rows that a model has not seen.
+    """
+    both = np.vstack([positive, unlabelled])
+    both = np.hstack([both, np.ones((len(both), 1), both.dtype)])
+    y = np.arange(len(both)) < len(positive)
+    part = np.concatenate([np.arange(len(positive)), np.arange(len(unlabelled))]) % FOLDS
+    margin = np.zeros(len(both))
+    for k in range(FOLDS):
+        z, t = both[part != k], y[part != k]
+        weight = np.where(t, 0.5 / max(1, t.sum()), 0.5 / max(1, (~t).sum()))
+
+        def gradient(w, z=z, t=t, weight=weight):
+            g = z.T @ (weight * (sigmoid(z @ w) - t)).astype(z.dtype)
+            g[:-1] += DECAY * w[:-1]
+            return g
+
+        margin[part == k] = both[part == k] @ adam(gradient, np.zeros(both.shape[1], both.dtype), STEPS, RATE)
+    limits = np.quantile(margin[y], [1 - share for share in PRIOR_SHARES])
+    ratios = [(margin[~y] >= limit).mean() / (margin[y] >= limit).mean() for limit in limits]
+    return float(np.clip(min(ratios), 0.02, 0.98))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Learns from rows outside the held-out fold, at most ``max_rows`` of each kind.
 
     ``docs``: doc_id, text.  ``labels``: doc_id, quality; null labels and null
-    ids are not learnt from, and of several labels of one id the largest counts.
-    Without positives or texts the model scores everything by the prior.
+    ids are not learnt from, and of several labels of one id the largest counts;
+    of several texts of one id that of the smallest hash counts.  Null texts are empty
+    ones, further columns are not read.  Where no document lacks a label, all labelled
+    rows stand in for unlabelled text, their labels unread.  Without positives or texts
+    the model scores everything by the share of positives among the labels (0.5 without
+    labels).
     """
     learn = (fold(F.col("doc_id")) != 2) & F.col("doc_id").isNotNull()
     known = labels.where(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
@@ -140,16 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     chosen = good.withColumn("kind", F.lit(1)).union(bad.withColumn("kind", F.lit(0))).union(loose.withColumn("kind", F.lit(2)))
     # at most 3 * max_rows ids: a proven bound
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("kind", F.xxhash64("doc_id").alias("h"), _vectors("text").alias("x"))
+    # one text for each id, whatever the partitions
+    rows = rows.groupBy("doc_id", "kind").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("kind", F.xxhash64("doc_id").alias("h"), _vectors("text").alias("x"))
     found = rows.orderBy("h").toArrow()
     kind, x = np.array(found["kind"].to_pylist(), np.int64), rows_of(found["x"])
-    prior = float(np.clip((share[0] * share[1] + 1) / (share[1] + 2), 0.02, 0.98)) if share[1] else 0.5
     width = DENSE + HASHED
     if not (kind == 1).any():
+        prior = float(np.clip((share[0] * share[1] + 1) / (share[1] + 2), 0.02, 0.98)) if share[1] else 0.5
         return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width + 1, np.float32), 1.0, float(np.log(prior / (1 - prior))), prior)
     mean, scale = x.mean(0), x.std(0) + 0.02
     x = (x - mean) / scale
     unlabelled = x[kind == 2] if (kind == 2).any() else x
+    prior = class_prior(x[kind == 1], unlabelled)
     w = nonnegative_pu(x[kind == 1], unlabelled, prior)
     # margins of rows that a model has not seen, so that scores are not too sure of themselves
     part, margin = np.arange(len(x)) % FOLDS, np.zeros(len(x))

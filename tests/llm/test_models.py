@@ -46,6 +46,52 @@ def test_risk_of_negatives_stays_above_zero():
     assert ((test > 0) == (np.arange(1000) < 700)).mean() > 0.9
 
 
+def test_risk_and_gradient_recomputed():
+    rng = np.random.default_rng(4)
+    p, u, prior = rng.normal(0.5, 1, (40, 3)), rng.normal(0, 1, (50, 3)), 0.9
+    seen = []
+    keep, quality.adam = quality.adam, lambda gradient, start, steps, rate: seen.append(gradient) or start
+    try:
+        quality.nonnegative_pu(p, u, prior)
+    finally:
+        quality.adam = keep
+
+    def parts(w):
+        loss = lambda f: sum(np.log1p(np.exp(-v)) for v in f) / len(f)
+        fp, fu = [x @ w[:-1] + w[-1] for x in p], [x @ w[:-1] + w[-1] for x in u]
+        return prior * loss(fp), loss([-v for v in fu]) - prior * loss([-v for v in fp]), quality.DECAY / 2 * (w[:-1] @ w[:-1])
+
+    signs = set()
+    for w in rng.normal(0, 2, (40, 4)):
+        positive = parts(w)[1] >= 0
+        signs.add(positive)
+        value = (lambda v: sum(parts(v))) if positive else (lambda v: parts(v)[2] - parts(v)[1])
+        for i in range(4):
+            step = np.eye(4)[i] * 1e-5
+            assert abs(seen[0](w)[i] - (value(w + step) - value(w - step)) / 2e-5) < 1e-6
+    assert signs == {True, False}
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(5)
+    for share in (0.25, 0.5, 0.8):
+        n = int(share * 2000)
+        p, u = rng.normal(1.5, 1, (1500, 4)), np.vstack([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (2000 - n, 4))])
+        assert abs(quality.class_prior(p, rng.permutation(u)) - share) < 0.06
+    assert quality.class_prior(p, p) > 0.85
+
+
+def test_models_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i % 60, prose(rng, "aeioustnrl", 30) + (" ### $$$" * 9 if i % 60 < 25 else ""), "ende"[i % 2 * 2 :][:2], "s", 1) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i >= 25), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    one, other = frame(spark, rows).coalesce(1), frame(spark, rows[::-1]).repartition(7, "text")
+    a, b = quality.fit(one, labels), quality.fit(other, labels)
+    assert np.array_equal(a.weights, b.weights) and a.prior == b.prior and a.slope == b.slope
+    a, b = langid.fit(one), langid.fit(other)
+    assert np.array_equal(a.weights, b.weights)
+
+
 def test_quality_query_does_not_read_the_held_out_labels(spark, smoke_dir):
     from contrail.llm.textkit import documents, fold
 
