@@ -23,6 +23,8 @@ MIN_SITES = 10
 #: Share of MIN_SITES around it in which lines are counted exactly: six standard errors of the sketch.
 BAND = 0.2
 LOG_K = 10
+#: At most this many lines are frequent: each has more than the FREQUENT-th part of all places.
+FREQUENT = 16384
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -39,14 +41,29 @@ def line_places(docs: DataFrame, site: str = "source") -> DataFrame:
 
 
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """(one, two) of the lines on ``min_sites`` sites at least."""
-    sketches = places.groupBy("one", "two").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
-    estimate = sketches.select("one", "two", F.hll_sketch_estimate("sketch").alias("sites"))
+    """(one, two, n, first) of the lines on ``min_sites`` sites at least: how often and where first they stand."""
+    spot = F.struct("doc_id", "text_hash", "place")
+    sketches = places.groupBy("one", "two").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.count("*").alias("n"), F.min(spot).alias("first"))
+    estimate = sketches.select("one", "two", "n", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     likely = stored(estimate.where(F.col("sites") >= min_sites * (1 - band)), "line-spread")
-    near = likely.where(F.col("sites") < min_sites * (1 + band)).select("one", "two")
-    pairs = places.join(near, ["one", "two"], "left_semi").select("one", "two", "site").distinct()
-    exact = pairs.groupBy("one", "two").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return likely.where(F.col("sites") >= min_sites * (1 + band)).select("one", "two").unionByName(exact.select("one", "two"))
+    near = likely.where(F.col("sites") < min_sites * (1 + band)).drop("sites")
+    pairs = _meet(places, near).select("one", "two", "site").distinct()
+    exact = pairs.groupBy("one", "two").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
+    return likely.where(F.col("sites") >= min_sites * (1 + band)).drop("sites").unionByName(near.join(exact.drop("exact"), ["one", "two"]))
+
+
+def _meet(places: DataFrame, lines: DataFrame) -> DataFrame:
+    """``places`` with their row of ``lines`` (one, two, n, first).
+
+    A line of more than 1 / FREQUENT of all places is one of fewer than FREQUENT:
+    those are sent to the places, so that no task gets all places of one line;
+    the places of the others go to their lines.
+    """
+    key = ["one", "two"]
+    often = F.col("n") * FREQUENT > places.select(F.count("*")).scalar()
+    frequent = F.broadcast(lines.where(often))
+    rest = places.join(F.broadcast(lines.where(often).select(key)), key, "left_anti").join(lines.where(~often), key)
+    return places.join(frequent, key).unionByName(rest)
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -55,14 +72,13 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     A null text stays null and has no lines; blank lines stay; a null site is
     one site of its own; a null doc_id comes before all others.  Rows with equal
     id and text share their outcome.  A column of docs named like a new one is
-    replaced.
+    replaced.  No rows give no rows.  A long text is split in one task, and the
+    places of its lines to drop are one list.
     """
     docs = without(docs, "n_lines", "n_removed")
     places = stored(line_places(docs, site), "line-places")
-    found = places.join(stored(boilerplate(places, min_sites), "boilerplate"), ["one", "two"])
-    spot = F.struct("doc_id", "text_hash", "place")
-    first = found.groupBy("one", "two").agg(F.min(spot).alias("first"))
-    gone = found.join(first, ["one", "two"]).where(spot != F.col("first"))
+    found = _meet(places, stored(boilerplate(places, min_sites), "boilerplate"))
+    gone = found.where(F.struct("doc_id", "text_hash", "place") != F.col("first"))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("place").alias("_gone"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from contrail.llm import decontamination, line_dedup, lsh_forest, repetition
 
@@ -235,7 +236,9 @@ def test_near_duplicates_query(spark, smoke_dir):
 # lines
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("frequent", [1, 24, 16384])
+def test_lines_against_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     rng = random.Random(4)
     common = [f"line {i}" for i in range(6)]
     rows = []
