@@ -28,6 +28,7 @@ from pyspark.sql.types import NumericType, StringType, BooleanType
 from ..functions.exprs import RISK_LEVELS, risk_label, rnd
 from ..functions.ranking import ordered_cumsum
 from ..session import stored
+from .boosting import BoostedTrees
 from .neighbours import nearest
 from .prepare import MedianImputer, ModeImputer, PopulationScaler
 from .sampling import sample_order
@@ -134,12 +135,13 @@ def smote(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = 42, feature
 
 
 def classifiers(seed: int = 42) -> dict:
-    """The compared models (boosted trees re-aimed as Spark GBT)."""
+    """The compared models; boosted trees as Spark's own and as second-order, leaf-wise ones."""
     return {
         "Logistic Regression": LogisticRegression(maxIter=1000, labelCol=LABEL),
         "Decision Tree": DecisionTreeClassifier(seed=seed, labelCol=LABEL, maxDepth=30, **TREE_SPEED),
         "Random Forest": RandomForestClassifier(seed=seed, labelCol=LABEL, numTrees=100, maxDepth=30, **TREE_SPEED),
         "Gradient Boosted Trees": GBTClassifier(seed=seed, labelCol=LABEL, maxIter=100, **TREE_SPEED),
+        "Second-Order Boosting": BoostedTrees(labelCol=LABEL),
     }
 
 
