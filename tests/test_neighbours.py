@@ -70,3 +70,30 @@ def test_a_point_opens_few_leaves(spark, monkeypatch):
     leaves = tree.leaves.select("node").distinct().count()
     assert tree.leaves.count() == len(x) and tree.leaves.groupBy("node").count().agg(F.max("count")).first()[0] <= 64
     assert N.asks_of(tree, own, 5).count() < 0.2 * leaves * len(x)
+
+
+def test_a_leaf_adds_up_few_distances(spark, monkeypatch):
+    """Bounds of a matrix product rule out pairs before their distances are added up, in a point's own leaf
+    and in those it opens; the nearest are those of the plain distances."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(1e6, 1, (300, 30)), r.normal(1e6, 1e-3, (100, 30))])
+    ids = [f"{i:04d}" for i in range(len(x))]
+    points = pa.table({"u": ids, "first": ids, "v": pa.array(x.tolist())})
+    added, plain = [], N._pair_distances
+    monkeypatch.setattr(N, "_pair_distances", lambda a, b, i, j: added.append(len(i)) or plain(a, b, i, j))
+    want = brute(ids, x, 5)
+
+    def by_ask(t):
+        out = {i: [] for i in ids}
+        for row in t.to_pylist():
+            out[row["u"]].append((row["d"], row["w"]))
+        return {u: sorted(v) for u, v in out.items()}
+
+    assert by_ask(N._nearest_in_leaf(5)(points.select(["u", "v"]), points)) == want
+    # an ask that knows its bound gets nothing beyond it
+    most = pa.array([want[u][2][0] for u in ids])
+    got = by_ask(N._nearest_in_leaf(5)(points.select(["u", "v"]).append_column("most", most), points))
+    assert got == {u: [n for n in want[u] if n[0] <= want[u][2][0]] for u in ids}
+    assert sum(added) < 0.3 * 2 * len(x) ** 2
