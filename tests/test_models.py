@@ -168,3 +168,11 @@ def test_split_keeps_class_shares_exactly(spark):
     assert train.count() == 240
     again = M.split(df.repartition(5))[1]
     assert sorted(map(tuple, test.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_a_step_takes_blocks_of_its_own_size():
+    """The blocks of the silhouette once made those of the KMeans steps small."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros((5000, 2)).tolist())], ["v"])
+    assert [len(x) for x in K._blocks(iter([batch]), 2)] == [4096, 904]
