@@ -71,28 +71,32 @@ def skew_rank(df: DataFrame, columns: list[str]) -> DataFrame:
             .orderBy(F.desc("skewness"), "column"))
 
 
-def _corr_matrix(df: DataFrame, columns: list[str], value) -> DataFrame:
+def _corr_matrix(df: DataFrame, columns: list[str], value, gaps: list[str] | None = None) -> DataFrame:
     """(x, y, r) of all pairs from one aggregate of co-moments; ``value(a, b)`` is what
-    stands for column a beside b, rows where either is null do not count."""
+    stands for column a beside b, rows where either is null do not count.  With ``gaps``,
+    the only columns that hold nulls, a column beside one without has one variance."""
     # the matrix is symmetric: aggregate the upper triangle and mirror it
     upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
-    def r(x, y):
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
-        return F.try_divide(F.covar_pop(x, y), spread)
+    def variance(x, y, other):
+        return F.var_pop(x if gaps is not None and other not in gaps else F.when(x.isNotNull() & y.isNotNull(), x))
 
-    agg = df.agg(*[r(value(a, b), value(b, a)).alias(f"{a}|{b}") for a, b in upper])
+    def r(a, b):
+        x, y = value(a, b), value(b, a)
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(variance(x, y, b) * variance(y, x, a)))
+
+    agg = df.agg(*[r(a, b).alias(f"{a}|{b}") for a, b in upper])
     long = agg.unpivot([], [f"{a}|{b}" for a, b in upper], "pair", "r").select(
         F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "r")
     mirror = long.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
     return long.unionByName(mirror)
 
 
-def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+def pearson_matrix(df: DataFrame, columns: list[str], gaps: list[str] | None = None) -> DataFrame:
     """S3: all pairwise Pearson r in one aggregate, each over the rows where both are
-    known; null where one does not vary."""
-    return _corr_matrix(df, columns, lambda a, _: F.col(a).cast("double"))
+    known; null where one does not vary.  ``gaps``: the columns with nulls, where known
+    (``null_counts`` of a stored table): far fewer aggregates."""
+    return _corr_matrix(df, columns, lambda a, _: F.col(a).cast("double"), gaps)
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:

@@ -150,3 +150,19 @@ def test_correlations_are_pairwise_complete(spark):
             assert value == pytest.approx(want.loc[x, y], abs=1e-12)
     flat = df.withColumn("d", F.lit(1.0))
     assert {x["r"] for x in S.pearson_matrix(flat, ["a", "d"]).collect() if "d" in (x["x"], x["y"])} == {None}
+
+
+def test_pearson_with_known_gaps_is_the_same_with_fewer_aggregates(spark):
+    rows = [(float(i % 7), float(i * i % 11), None if i % 5 == 0 else float(i % 3), 1.0, None if i % 4 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    cols = df.columns
+    gaps = [c for c, n in S.null_counts(df, cols).items() if n]
+    assert gaps == ["c", "e"]
+    plain, known = ({(r["x"], r["y"]): r["r"] for r in S.pearson_matrix(df, cols, g).collect()} for g in (None, gaps))
+    assert plain.keys() == known.keys()
+    assert all(known[p] is None if r is None else abs(known[p] - r) < 1e-12 for p, r in plain.items())
+
+    def conditions(g):
+        return S.pearson_matrix(df, ["a", "b", "d"], g)._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN")
+
+    assert conditions([]) < conditions(None)
