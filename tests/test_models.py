@@ -176,3 +176,17 @@ def test_a_step_takes_blocks_of_its_own_size():
 
     batch = pa.RecordBatch.from_arrays([pa.array(np.zeros((5000, 2)).tolist())], ["v"])
     assert [len(x) for x in K._blocks(iter([batch]), 2)] == [4096, 904]
+
+
+def test_shared_steps_are_taken_once(L, monkeypatch):
+    """Quantiles, assignment, model inputs and the balanced rows are made once for all that read them."""
+    from contrail.plans import models
+
+    monkeypatch.setattr(models, "_FEATURES", {k: v for k, v in models._FEATURES.items() if k[-1] == "features"})
+    mo, scaled, plain = models.Models(L), [], K.robust_scale
+    monkeypatch.setattr(K, "robust_scale", lambda *a: scaled.append(1) or plain(*a))
+    mo.segmented()
+    mo.churn_inputs()
+    mo.pca2()
+    assert len(scaled) == 1
+    assert mo.churn_inputs()[0] is models.Models(L).churn_inputs()[0] and mo.assigned() is mo.assigned()
