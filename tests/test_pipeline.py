@@ -92,3 +92,19 @@ def test_oracle_subset(spark, smoke_dir, name):
     rel = con.sql(all_oracle()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(rel.columns, rel.fetchall())
+
+
+def test_revenue_waterfall_needs_no_scores(spark, smoke_dir, monkeypatch):
+    from contrail.operators import rollups
+    from contrail.operators import windows as W
+    from contrail.plans.layers import Loyalty
+    from contrail.plans.q_windows import revenue_waterfall
+
+    lazy = Loyalty(spark, smoke_dir, materialize=False)
+    want = sorted(map(tuple, W.waterfall(lazy.customers).collect()))
+
+    def unused(grp):
+        raise AssertionError("the scores of all members are not part of it")
+
+    monkeypatch.setattr(rollups, "customer_scores", unused)
+    assert sorted(map(tuple, revenue_waterfall(Loyalty(spark, smoke_dir, materialize=False)).collect())) == want
