@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from contrail.operators import forest
-from contrail.operators.churn import classifiers, final_forest
+from contrail.operators.churn import binary_metrics, classifiers, compared, final_forest, with_score
 
 
 def _rows(spark, n=600):
@@ -59,3 +59,23 @@ def test_a_tree_has_the_whole_forests_parameters(spark, monkeypatch):
         assert (whole.getNumTrees(), whole.getMaxDepth()) == (100, 30)
     model = final_forest().fit(_rows(spark, 200))
     assert model.getNumTrees == 100 and model.getOrDefault("minInstancesPerNode") == 3
+
+
+def test_compared_models_score_each_row_once(spark):
+    df = _rows(spark, 300)
+    model, scored = _whole().fit(df), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            scored.add(b.num_rows)
+            yield b
+
+    class Counted:
+        def transform(self, rows):
+            out = model.transform(rows)
+            return out.mapInArrow(count, out.schema)
+
+    r = compared({"a": Counted()}, df).first()
+    assert scored.value == 300
+    want = binary_metrics(with_score(model.transform(df))).first()
+    assert r["model"] == "a" and all(r[c] == pytest.approx(want[c]) for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
