@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -85,6 +86,24 @@ def test_kmeans_sweep_reaches_the_library_and_falls_with_k(spark):
     assert got[3] <= best * 1.01
 
 
+def test_kmeans_steps_read_every_row_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5003, 3)) + 4 * rng.integers(0, 2, (5003, 1))
+    odd = [[float("nan"), 0.0, 0.0], [0.0, float("inf"), 0.0]]
+    rows = spark.createDataFrame([(v,) for v in x.tolist() + odd], "v array<double>").coalesce(2)
+    pieces = K._pieces(rows, 3).collect()
+    assert max(len(r["x"]) for r in pieces) == K.PIECE * 3 * 8 and len(pieces) < 200
+    got = np.vstack([np.frombuffer(r["x"]).reshape(-1, 3) for r in pieces])
+    assert sorted(map(tuple, got)) == sorted(map(tuple, x))
+    # one step from given centres is the mean of each centre's rows
+    starts = np.array([[0.0, 0.0, 0.0], [4.0, 4.0, 4.0]])
+    monkeypatch.setattr(K, "kmeans_starts", lambda *a: [starts])
+    data = rows.select(array_to_vector("v").alias("pca"))
+    near = ((x[:, None] - starts) ** 2).sum(2).argmin(1)
+    want = np.array([x[near == i].mean(0) for i in (0, 1)])
+    assert K.kmeans_sweep(data, [2], 1, max_iter=1)[2].centers == pytest.approx(want)
+
+
 def test_kmeans_fewer_rows_than_centres(spark):
     df = spark.createDataFrame([(Vectors.dense([0.0, 1.0]),)] * 5 + [(Vectors.dense([2.0, 1.0]),)] * 3, ["pca"])
     model = K.kmeans_best(df, 4, restarts=2)
