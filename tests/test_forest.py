@@ -1,5 +1,6 @@
 """The forest fitted a few trees at a time is one of Spark's own models."""
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -79,3 +80,52 @@ def test_compared_models_score_each_row_once(spark):
     assert scored.value == 300
     want = binary_metrics(with_score(model.transform(df))).first()
     assert r["model"] == "a" and all(r[c] == pytest.approx(want[c]) for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
+
+
+def test_deep_nodes_are_grown_where_their_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MANY", 100)
+    df, fitted, asked = _rows(spark), [], []
+    plain, splits = RandomForestClassifier._fit, forest._splits
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: fitted.append(rows.count()) or plain(self, rows))
+
+    def counted(even, tops, chosen, plan):
+        found = splits(even, tops, chosen, plan)
+        asked.extend(sum(r["total"]) for r in found)
+        return found
+
+    monkeypatch.setattr(forest, "_splits", counted)
+    near = forest.Forest(_whole()).fit(df)
+    # no histogram of all tasks, and Spark's fit never sees the rows
+    assert not asked and max(fitted) <= 2
+    monkeypatch.setattr(forest, "SMALL", 150)
+    far = forest.Forest(_whole()).fit(df)
+    # only nodes of many rows got one (a root's rows are known by it), and the trees are the same
+    assert asked and min(asked) > 150
+    assert _scores(far, df) == _scores(near, df) and far.totalNumNodes == near.totalNumNodes
+    assert far.featureImportances.toArray() == pytest.approx(near.featureImportances.toArray())
+
+
+def test_a_subtree_holds_its_rows_and_splits_best():
+    r = np.random.default_rng(5)
+    x, y, w = r.integers(0, 8, (500, 6)).astype(np.uint8), r.integers(0, 2, 500).astype(np.uint8), r.integers(1, 4, 500)
+    y[x[:, 2] > 4] = 1
+    plan = forest.Plan([np.arange(7.0)] * 6, frozenset(), 2, 6, 3, forest.NO_GAIN, 30, 1)
+    total, feature, code, gain, left = forest._subtree(x, y, w, 11, 0, plan)
+    # the root's split against all splits, one by one
+    def gini(i):
+        p = np.bincount(y[i], w[i], 2) / w[i].sum()
+        return w[i].sum() * (1 - (p ** 2).sum())
+    every = np.ones(500, bool)
+    best = max((gini(every) - gini(x[:, f] <= c) - gini(x[:, f] > c)) / w.sum() for f in range(6) for c in range(7) if 0 < (x[:, f] <= c).sum() < 500)
+    assert gain[0] == pytest.approx(best) and (feature[0], code[0]) == (2, 4)
+    # each node's weights are those of the rows that reach it; leaves keep the least rows, siblings that say the same are one
+    at = [(0, every)]
+    for node, rows in at:
+        assert total[node] == pytest.approx(np.bincount(y[rows], w[rows], 2))
+        if left[node] >= 0:
+            goes = x[:, feature[node]] > code[node]
+            at += [(left[node], rows & ~goes), (left[node] + 1, rows & goes)]
+            assert min(total[left[node]].sum(), total[left[node] + 1].sum()) >= 3
+            both = left[left[node]] < 0 and left[left[node] + 1] < 0
+            assert not both or total[left[node]].argmax() != total[left[node] + 1].argmax()
+    assert len(at) == len(left)
