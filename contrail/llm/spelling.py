@@ -214,7 +214,8 @@ def near_words(words: DataFrame, equal=EQUAL, longer=LONGER) -> DataFrame:
     one = signed(words, equal, longer)
     other = one.select("key", F.col("side").alias("side2"), F.col("word").alias("word2"), F.col("n").alias("n2"))
     meet = ((F.col("side") == SAME) & (F.col("side2") == SAME) & (F.col("word") < F.col("word2"))) | ((F.col("side") == SHORT) & (F.col("side2") == LONG))
-    met = one.join(other, "key").where(meet & (F.levenshtein("word", "word2", 1) == 1))
+    # never broadcast: the signatures of a word are taken for one row of its size
+    met = one.join(other.hint("merge"), "key").where(meet & (F.levenshtein("word", "word2", 1) == 1))
     both = F.array(F.struct(F.col("word").alias("w"), F.col("word2").alias("o"), F.col("n2").alias("m")),
                    F.struct(F.col("word2").alias("w"), F.col("word").alias("o"), F.col("n").alias("m")))
     # a pair may share several signatures
@@ -226,11 +227,12 @@ def near_words(words: DataFrame, equal=EQUAL, longer=LONGER) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of (word, form): the last of its forms, by pointer doubling.  Counts
-    at least double from a word to its form, so no chain is longer than their bits."""
+    at least double from a word to its form, so no chain is longer than their bits.
+    No side is broadcast: a file of words is far smaller than its rows."""
     links = stored(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
+        moved = stored(links.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
         links = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return links
@@ -247,12 +249,12 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     no words.
     """
     words = stored(word_counts(docs), "words")
-    near = words.join(near_words(words), "word", "left")
+    near = words.join(near_words(words).hint("merge"), "word", "left")
     is_form = F.col("form_n") >= 2 * F.col("n")
     near = near.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                        F.when(is_form, F.col("form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n"))
     near = stored(near, "near-words")
-    out = near.join(roots(near.where("form IS NOT NULL")), "word", "left")
+    out = near.join(roots(near.where("form IS NOT NULL")).hint("merge"), "word", "left")
     return out.withColumn("root", F.coalesce("root", "word"))
 
 

@@ -152,6 +152,17 @@ def test_spelling_equals_brute_force(spark):
     assert any(f for _, f, *_ in found) and any(f and rt != f for _, f, rt, *_ in found)
 
 
+def test_spelling_broadcasts_no_signatures(spark, tmp_path):
+    """A small file of words has many signatures, which are not to be built in the driver."""
+    spark.createDataFrame([("abcde", 9), ("abcdf", 2), ("vwxyz", 4)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    near = spelling.near_words(words)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(tuple(r) for r in near.collect()) == [("abcde", 1, "abcdf", 2), ("abcdf", 1, "abcde", 9)]
+
+
 def test_spelling_without_rows(spark, empty):
     assert spelling.spelling_variants(empty).count() == 0
     assert spelled(spark, [(1, None), (2, ""), (3, "abc abc abc 12345")]) == []
