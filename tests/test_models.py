@@ -209,3 +209,27 @@ def test_shared_steps_are_taken_once(L, monkeypatch):
     mo.pca2()
     assert len(scaled) == 1
     assert mo.churn_inputs()[0] is models.Models(L).churn_inputs()[0] and mo.assigned() is mo.assigned()
+
+
+def test_first_components_are_those_of_a_fit(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.linalg import Vectors
+    from contrail.operators import clustering as K
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(Vectors.dense(v),) for v in r.normal(size=(200, 5)) * [5, 4, 3, 2, 1]], ["features"])
+    kept, fitted = K.first_components(K.fit_pca(df, 5), 2), K.fit_pca(df, 2)
+    kept.write().save(str(tmp_path / "pca"))
+    want = np.array([row["pca"].toArray() for row in fitted.transform(df).collect()])
+    for model in (kept, PipelineModel.load(str(tmp_path / "pca"))):
+        assert model.stages[-1].getK() == 2
+        assert model.stages[-1].explainedVariance.toArray() == pytest.approx(fitted.stages[-1].explainedVariance.toArray())
+        assert np.array([row["pca"].toArray() for row in model.transform(df).collect()]) == pytest.approx(want)
+
+
+def test_a_query_reads_a_model_once(L, monkeypatch):
+    from contrail.plans import models
+    read = []
+    monkeypatch.setattr(models, "_load_or_fit", lambda loader, path, fit: read.append(path) or object())
+    mo = models.Models(L)
+    assert mo.forest() is mo.forest() and mo.pca_full() is mo.pca_full() and len(read) == 2
+    assert models.Models(L).forest() is not mo.forest()

@@ -36,7 +36,7 @@ def main():
         own = stored(N._together(tree.leaves.select("node", "u", "v"), tree.leaves, N._nearest_in_leaf(5), schema), "own")
         sizes = tree.leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         opened = N.asks_of(tree, own, 5)
-        asks = opened.groupBy("node").agg(F.count(F.lit(1)).alias("asks")) if opened is not None else sizes.limit(0).withColumnRenamed("n", "asks")
+        asks = opened.groupBy("node").agg(F.sum("n").alias("asks")) if opened is not None else sizes.limit(0).withColumnRenamed("n", "asks")
         own_pairs = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
         more, leaves_asked = asks.join(sizes, "node").agg(F.sum(F.col("n") * F.col("asks")), F.sum("asks")).first()
         print(f"{n} points, {sizes.count()} leaves, {len(tree.levels)} levels: {(own_pairs + (more or 0)) / n:.0f} distances a point "
