@@ -97,3 +97,44 @@ def test_a_leaf_adds_up_few_distances(spark, monkeypatch):
     got = by_ask(N._nearest_in_leaf(5)(points.select(["u", "v"]).append_column("most", most), points))
     assert got == {u: [n for n in want[u] if n[0] <= want[u][2][0]] for u in ids}
     assert sum(added) < 0.3 * 2 * len(x) ** 2
+
+
+def test_blocks_of_wide_points_meet_once(spark, monkeypatch):
+    """In many columns each point opens most leaves: its vector is not moved to each of them, and
+    comparing few columns first leaves out no neighbour (ties, copies and values that are no numbers among them)."""
+    for name, value in (("FAN", 4), ("LEAF", 24), ("RUN", 100), ("MEET", 150)):
+        monkeypatch.setattr(N, name, value)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(1e3, 1, (250, 40)), r.integers(0, 2, (150, 40)).astype(float), r.normal(size=(60, 40)) * (np.arange(40) < 3)])
+    ids = [f"{i:04d}" for i in r.permutation(len(x))]
+    points = spark.createDataFrame([(i, i, v) for i, v in zip(ids, x.tolist(), strict=True)], "u string, first string, v array<double>")
+    tree = N.build(points)
+    own = N._together(tree.leaves.select("node", "u", "v"), tree.leaves, N._nearest_in_leaf(5), N.FOUND)
+    leaves = tree.leaves.select("node").distinct().count()
+    opened = N.asks_of(tree, own, 5)
+    # a row for a block and a leaf, not for a point and a leaf
+    assert opened.count() <= 2 * leaves ** 2 < 0.5 * opened.agg(F.sum("n")).first()[0]
+    assert found(spark, ids, x, 5) == brute(ids, x, 5)
+
+
+def test_few_columns_rule_out_no_near_pair():
+    r = np.random.default_rng(2)
+    x, y = r.normal(1e4, 1, (300, 48)), r.normal(1e4, 1, (400, 48))
+    y[:100] = x[:100] + r.normal(0, 1e-4, (100, 48))
+    x[7], y[9] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        plain = N.distances(x, y)
+    most = np.array([np.quantile(d[d < np.inf], 0.02) if (d < np.inf).any() else 1.0 for d in plain])
+    most[5] = np.inf
+    sketch = N._Sketch(x)
+    assert sketch.axes.shape == (48, 6)
+    i, j = N._near_pairs(x, y, most, 5, sketch, sketch.of(x))
+    got = set(zip(i.tolist(), j.tolist()))
+    for a in range(len(x)):
+        near = sorted((d, b) for b, d in enumerate(plain[a]) if d <= most[a] and d < np.inf)[:5]
+        assert {(a, b) for _, b in near} <= got
+    assert len(got) < 0.1 * len(x) * len(y)
+    far = N._pair_distances(x, y, i, j, most[i])
+    kept = far < np.inf
+    assert (far[kept] == plain[i, j][kept]).all() and (plain[i, j][~kept] > most[i][~kept]).all()
+    assert N._Sketch(x[:, :4]).axes is None
